@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+DURATION = "decimal(28,6)"
 PERIODS = {"hourly": "hour", "daily": "day", "weekly": "week", "monthly": "month"}
 
 
+def mean_ms() -> Column:
+    """The mean duration over a sum in decimals: the same whatever order the rows come in."""
+    return F.sum(F.col("duration_ms").cast(DURATION)).cast("double") / F.count("duration_ms")
+
+
 def by_period(ops: DataFrame, period: str) -> DataFrame:
     """(period, n, success_rate, avg_ms, users) of each period."""
     return ops.groupBy(F.date_trunc(PERIODS[period], "timestamp").alias("period")).agg(
-        F.count("*").alias("n"), F.round(F.avg(F.col("success").cast("double")), 6).alias("success_rate"), F.round(F.avg("duration_ms"), 4).alias("avg_ms"), F.count_distinct("user_id").alias("users")
+        F.count("*").alias("n"), (F.sum(F.col("success").cast("bigint")) / F.count("*")).alias("success_rate"), mean_ms().alias("avg_ms"), F.count_distinct("user_id").alias("users")
     )
 
 
 def summary(ops: DataFrame) -> DataFrame:
     """One row: n, success_rate, avg_ms, peak_hour (the first of the busiest), most_common."""
     # one row an hour and type: a small table whatever the log's size
-    small = ops.groupBy(F.date_trunc("hour", "timestamp").alias("hour"), "operation_type").agg(F.count("*").alias("n"), F.sum(F.col("success").cast("bigint")).alias("good"), F.sum("duration_ms").alias("ms"), F.count("duration_ms").alias("timed"))
+    small = ops.groupBy(F.date_trunc("hour", "timestamp").alias("hour"), "operation_type").agg(F.count("*").alias("n"), F.sum(F.col("success").cast("bigint")).alias("good"), F.sum(F.col("duration_ms").cast(DURATION)).alias("ms"), F.count("duration_ms").alias("timed"))
     hours = small.groupBy("hour").agg(F.sum("n").alias("n")).agg(F.max(F.struct("n", (-F.unix_timestamp("hour")).alias("t"), "hour"))["hour"].alias("peak_hour"))
     kinds = small.groupBy("operation_type").agg(F.sum("n").alias("n")).agg(F.min(F.struct((-F.col("n")).alias("n"), "operation_type"))["operation_type"].alias("most_common"))
-    total = small.agg(F.sum("n").alias("n"), F.round(F.sum("good") / F.sum("n"), 6).alias("success_rate"), F.round(F.sum("ms") / F.sum("timed"), 4).alias("avg_ms"))
+    total = small.agg(F.sum("n").alias("n"), (F.sum("good") / F.sum("n")).alias("success_rate"), (F.sum("ms").cast("double") / F.sum("timed")).alias("avg_ms"))
     return total.crossJoin(hours).crossJoin(kinds)
 
 
@@ -29,7 +35,7 @@ def performance(ops: DataFrame) -> DataFrame:
     """(operation_type, n, p50, p95, p99, error_rate, per_second) with exact percentiles."""
     span = F.greatest(F.lit(1), F.unix_timestamp(F.max("timestamp")) - F.unix_timestamp(F.min("timestamp")))
     p = F.percentile("duration_ms", F.array(F.lit(0.5), F.lit(0.95), F.lit(0.99)))
-    out = ops.groupBy("operation_type").agg(F.count("*").alias("n"), p.alias("p"), F.round(F.avg((~F.col("success")).cast("double")), 6).alias("error_rate"), F.round(F.count("*") / span, 6).alias("per_second"))
+    out = ops.groupBy("operation_type").agg(F.count("*").alias("n"), p.alias("p"), (F.sum((~F.col("success")).cast("bigint")) / F.count("*")).alias("error_rate"), (F.count("*") / span).alias("per_second"))
     return out.select("operation_type", "n", F.round(F.col("p")[0], 4).alias("p50"), F.round(F.col("p")[1], 4).alias("p95"), F.round(F.col("p")[2], 4).alias("p99"), "error_rate", "per_second")
 
 
@@ -46,7 +52,7 @@ def top_operations(ops: DataFrame, k: int = 3) -> DataFrame:
 def cache_stats(log: DataFrame, by: str) -> DataFrame:
     """(by, n, hits, misses, hit_rate) of a log with cache_hit."""
     hit = F.col("cache_hit").cast("bigint")
-    return log.groupBy(by).agg(F.count("*").alias("n"), F.sum(hit).alias("hits"), F.sum(1 - hit).alias("misses"), F.round(F.avg(hit.cast("double")), 6).alias("hit_rate"))
+    return log.groupBy(by).agg(F.count("*").alias("n"), F.sum(hit).alias("hits"), F.sum(1 - hit).alias("misses"), (F.sum(hit) / F.count("*")).alias("hit_rate"))
 
 
 def insights(ops: DataFrame, slow_ms: float = 100.0, most_errors: float = 0.1) -> DataFrame:
@@ -56,15 +62,19 @@ def insights(ops: DataFrame, slow_ms: float = 100.0, most_errors: float = 0.1) -
         F.when(F.col("p95") > slow_ms, F.struct(F.lit("Performance").alias("insight"), F.when(F.col("p95") > 2 * slow_ms, "critical").otherwise("warning").alias("severity"))),
         F.when(F.col("error_rate") > most_errors, F.struct(F.lit("Reliability").alias("insight"), F.lit("warning").alias("severity"))),
     )
-    sure = F.round(1 - 1 / F.sqrt(F.col("n")), 6)
+    sure = 1 - 1 / F.sqrt(F.col("n"))
     found = perf.select("operation_type", sure.alias("confidence"), F.explode(F.filter(kinds, lambda x: x.isNotNull())).alias("i"))
     return found.select("operation_type", "i.insight", "i.severity", "confidence")
 
 
+def _micros(column: str) -> Column:
+    return F.unix_micros(F.col(column).cast("timestamp"))
+
+
 def session_gaps(events: DataFrame, gap_s: int = 60, key: str = "user_id") -> DataFrame:
     """(key, started, ended, n): runs of events of a key without a gap of gap_s seconds or more."""
     order = Window.partitionBy(key).orderBy("timestamp")
-    far = F.unix_micros("timestamp") - F.unix_micros(F.lag("timestamp").over(order)) >= gap_s * 1_000_000
+    far = _micros("timestamp") - F.lag(_micros("timestamp")).over(order) >= gap_s * 1_000_000
     rows = events.withColumn("opens", F.coalesce(far, F.lit(True)).cast("int"))
     rows = rows.withColumn("session", F.sum("opens").over(order.rangeBetween(Window.unboundedPreceding, 0)))
     return rows.groupBy(key, "session").agg(F.min("timestamp").alias("started"), F.max("timestamp").alias("ended"), F.count("*").alias("n")).drop("session")
@@ -72,7 +82,7 @@ def session_gaps(events: DataFrame, gap_s: int = 60, key: str = "user_id") -> Da
 
 def circuit_breaker(ops: DataFrame, most: int = 5, window_s: int = 30, pause_s: int = 60) -> DataFrame:
     """(operation_type, opened, half_open): failures after which more than `most` lie in the last window_s seconds."""
-    order = Window.partitionBy("operation_type").orderBy(F.unix_micros("timestamp")).rangeBetween(-window_s * 1_000_000, 0)
+    order = Window.partitionBy("operation_type").orderBy(_micros("timestamp")).rangeBetween(-window_s * 1_000_000, 0)
     failures = ops.where(~F.col("success")).withColumn("recent", F.count("*").over(order))
     return failures.where(F.col("recent") > most).select("operation_type", F.col("timestamp").alias("opened"), (F.col("timestamp") + F.make_dt_interval(secs=F.lit(pause_s))).alias("half_open")).distinct()
 

@@ -2,29 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from treeline.storage import cut
+
 EDGE_TYPES = ("Calls", "Imports", "Inherits", "Implements", "Uses", "DependsOn", "References", "Contains")
 #: From so many dependents on an impact has this severity.
 SEVERITY = ((100, "critical"), (20, "high"), (5, "medium"), (0, "low"))
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read again, so that plans of loops don't grow and survive lost executors."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="treeline-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder}/treeline/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def neighbours(edges: DataFrame, nodes: DataFrame, direction: str = "out", edge_types: list[str] | None = None) -> DataFrame:
     """(node_id, neighbour_id, edge_type) of nodes (node_id) in one direction, or in both."""
     if edge_types:
@@ -59,7 +46,7 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 10, reverse: boo
         found = newest.join(step, F.col("node_id") == F.col("at")).select("start_id", F.col("next").alias("node_id")).distinct()
         if done is not None:
             found = found.join(done, ["start_id", "node_id"], "left_anti")
-        newest = _cut(found.select("start_id", "node_id", F.lit(hops).alias("hops")))
+        newest = cut(found.select("start_id", "node_id", F.lit(hops).alias("hops")))
         if newest.isEmpty():
             break
         done = newest if done is None else done.unionByName(newest)
@@ -88,7 +75,7 @@ def reachability_update(closure: DataFrame, old_edges: DataFrame, new_edges: Dat
     changed = old_edges.select(*both).exceptAll(new_edges.select(*both)).union(new_edges.select(*both).exceptAll(old_edges.select(*both)))
     touched = changed.select(F.col("source_id").alias("node_id")).distinct()
     above = closure.join(touched, F.col("descendant_id") == F.col("node_id")).select(F.col("ancestor_id").alias("node_id"))
-    again = _cut(touched.union(above).distinct())
+    again = cut(touched.union(above).distinct())
     kept = closure.join(again, F.col("ancestor_id") == F.col("node_id"), "left_anti")
     fresh = reach(new_edges, again, max_depth).select(F.col("start_id").alias("ancestor_id"), F.col("node_id").alias("descendant_id"), "hops")
     return kept.unionByName(fresh)
@@ -111,7 +98,7 @@ def paths_between(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_d
         rows = rows.groupBy("start_id", "at").agg(F.min("path").alias("path"))
         if seen is not None:
             rows = rows.join(seen, ["start_id", "at"], "left_anti")
-        rows = _cut(rows)
+        rows = cut(rows)
         if rows.isEmpty():
             break
         seen = rows.select("start_id", "at") if seen is None else seen.unionByName(rows.select("start_id", "at"))

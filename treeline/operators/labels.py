@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from treeline.model import COLUMNS, NODE
+from treeline.sources.languages import ALIASES
 from treeline.sources.parsers import parse, parse_ranges
 
 
@@ -93,6 +94,21 @@ def rejected_sources(sources: DataFrame, most_bytes: int = 10 << 20) -> DataFram
     return sources.where(~usable(most_bytes)).select("file_id", F.struct(F.lit("parse").alias("code"), reason.alias("message")).alias("error"))
 
 
+def embedded_ranges(nodes: DataFrame) -> DataFrame:
+    """(file_id, language, start_char, end_char) of the scripts and styles in parsed HTML; a lang attribute overrides the language."""
+    host = nodes.where(F.col("kind").isin("script_element", "style_element")).select("file_id", F.col("pre").alias("element"), F.when(F.col("kind") == "script_element", "javascript").otherwise("css").alias("usual"))
+    raw = nodes.where("kind = 'raw_text'").select("file_id", F.col("parent").alias("element"), "start_char", "end_char")
+    value = F.regexp_extract("text", "(?i)^lang\\s*=\\s*[\"']?([^\"']+)", 1)
+    tags = nodes.where("kind = 'start_tag'").select("file_id", F.col("parent").alias("element"), F.col("pre").alias("tag"))
+    given = nodes.where("kind = 'attribute'").select("file_id", F.col("parent").alias("tag"), F.lower(value).alias("lang")).where("lang <> ''").groupBy("file_id", "tag").agg(F.min("lang").alias("lang"))
+    given = given.join(tags, ["file_id", "tag"]).select("file_id", "element", "lang")
+    names = F.col("lang")
+    for alias, name in ALIASES.items():
+        names = F.when(F.col("lang") == alias, name).otherwise(names)
+    rows = host.join(raw, ["file_id", "element"]).join(given, ["file_id", "element"], "left")
+    return rows.select("file_id", F.coalesce(names, "usual").alias("language"), "start_char", "end_char")
+
+
 def parse_embedded(sources: DataFrame, ranges: DataFrame) -> DataFrame:
     """The node table of ranges (file_id, language, start_char, end_char) within sources; offsets are the host's."""
 

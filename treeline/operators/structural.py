@@ -15,14 +15,27 @@ from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from treeline.operators.rules import ORDER, RuleError, nth_holds, parse_nth
 
 _fresh = itertools.count()
-_DOC = Window.partitionBy("file_id").orderBy("pre")
-_BEFORE = _DOC.rowsBetween(Window.unboundedPreceding, -1)
-_AFTER = _DOC.rowsBetween(1, Window.unboundedFollowing)
-_SIBLINGS = Window.partitionBy("file_id", "parent").orderBy("child_idx")
+
+
+def _doc() -> WindowSpec:
+    return Window.partitionBy("file_id").orderBy("pre")
+
+
+def _before() -> WindowSpec:
+    return _doc().rowsBetween(Window.unboundedPreceding, -1)
+
+
+def _after() -> WindowSpec:
+    return _doc().rowsBetween(1, Window.unboundedFollowing)
+
+
+def _siblings(reverse: bool = False) -> WindowSpec:
+    return Window.partitionBy("file_id", "parent").orderBy(F.desc("child_idx") if reverse else "child_idx")
 
 
 def supported(spec: Any) -> bool:
@@ -102,7 +115,7 @@ def _nth(nodes: DataFrame, value: Any, utils: dict[str, dict]) -> tuple[DataFram
     if "ofRule" in spec:
         nodes, of = mark(nodes, spec["ofRule"], utils)
         peer = peer & F.col(of)
-    order = _SIBLINGS if not spec.get("reverse") else Window.partitionBy("file_id", "parent").orderBy(F.desc("child_idx"))
+    order = _siblings(bool(spec.get("reverse")))
     nodes, at = nodes.withColumn(at := f"__m{next(_fresh)}", F.sum(peer.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0))), at
     rest = F.col(at) - offset
     if step == 0:
@@ -130,7 +143,7 @@ def _relation(nodes: DataFrame, key: str, value: dict, utils: dict[str, dict]) -
 
 def _sideways(nodes: DataFrame, key: str, hit: str, stop: Any, halt: str | None) -> tuple[DataFrame, str]:
     later = key == "precedes"
-    order = _SIBLINGS if later else Window.partitionBy("file_id", "parent").orderBy(F.desc("child_idx"))
+    order = _siblings(not later)
     has_peers = F.col("parent") >= 0
     if stop == "neighbor":
         return _named(nodes, has_peers & F.lead(hit).over(order))
@@ -156,7 +169,7 @@ def _inside(nodes: DataFrame, hit: str, stop: Any, halt: str | None, field: str
         nodes, name = _join(nodes, parents, ["file_id", "parent"])
         return (nodes, name) if field is None else _named(nodes, F.col(name) & (F.col("field") == field))
     if stop == "end" and field is None:
-        return _named(nodes, F.max(F.when(F.col(hit), F.col("end_pre"))).over(_BEFORE) >= F.col("pre"))
+        return _named(nodes, F.max(F.when(F.col(hit), F.col("end_pre"))).over(_before()) >= F.col("pre"))
     # ancestors that match, each with the child on the way down where a field is asked for
     up = nodes.where(F.col(hit) | (F.col(halt) if halt else F.lit(False))).select(
         "file_id", F.col("pre").alias("a_pre"), F.col("end_pre").alias("a_end"), F.col(hit).alias("a_hit"), (F.col(halt) if halt else F.lit(False)).alias("a_halt")
@@ -182,7 +195,7 @@ def _has(nodes: DataFrame, hit: str, stop: Any, halt: str | None, field: str | N
         kids = nodes.where(F.col(hit)).select("file_id", F.col("parent").alias("pre")).distinct()
         return _join(nodes, kids, ["file_id", "pre"])
     if stop == "end":
-        return _named(nodes, F.min(F.when(F.col(hit), F.col("pre"))).over(_AFTER) <= F.col("end_pre"))
+        return _named(nodes, F.min(F.when(F.col(hit), F.col("pre"))).over(_after()) <= F.col("end_pre"))
     # a descendant counts for the ancestors from its nearest one that stops on upwards to none above it
     low = nodes.where(F.col(hit)).select("file_id", F.col("pre").alias("d_pre"))
     stops = nodes.where(F.col(halt)).select("file_id", F.col("pre").alias("s_pre"), F.col("end_pre").alias("s_end"))
@@ -196,7 +209,7 @@ def _has(nodes: DataFrame, hit: str, stop: Any, halt: str | None, field: str | N
 def _has_field(nodes: DataFrame, hit: str, stop: Any, halt: str | None, field: str) -> tuple[DataFrame, str]:
     # where a field has several children, the first is meant
     first = F.row_number().over(Window.partitionBy("file_id", "parent").orderBy("child_idx"))
-    below = F.min(F.when(F.col(hit), F.col("pre"))).over(_AFTER)
+    below = F.min(F.when(F.col(hit), F.col("pre"))).over(_after())
     nodes = nodes.withColumn(b := f"__m{next(_fresh)}", F.coalesce(below <= F.col("end_pre"), F.lit(False)))
     kids = nodes.where((F.col("field") == field) & (F.col("parent") >= 0)).withColumn("__n", first).where("__n = 1")
     good = F.col(hit)
@@ -225,24 +238,24 @@ def first_descendant(nodes: DataFrame, up: dict, low: dict, utils: dict[str, dic
     """(file_id, pre, descendant_pre): for nodes that match up, the first descendant that matches low - a window, no join."""
     marked, a = mark(nodes, up, utils)
     marked, d = mark(marked, low, utils)
-    marked = marked.withColumn("descendant_pre", F.min(F.when(F.col(d), F.col("pre"))).over(_AFTER))
+    marked = marked.withColumn("descendant_pre", F.min(F.when(F.col(d), F.col("pre"))).over(_after()))
     return marked.where(F.col(a) & (F.col("descendant_pre") <= F.col("end_pre"))).select("file_id", "pre", "descendant_pre")
 
 
 def outermost(matches: DataFrame) -> DataFrame:
     """Matches that lie in no other one: pre beyond every end before."""
-    reach = F.max("end_pre").over(_BEFORE)
+    reach = F.max("end_pre").over(_before())
     return matches.withColumn("__reach", reach).where("__reach IS NULL OR pre > __reach").drop("__reach")
 
 
 def siblings(nodes: DataFrame) -> DataFrame:
     """nodes with next_pre and prev_pre."""
-    return nodes.withColumn("next_pre", F.lead("pre").over(_SIBLINGS)).withColumn("prev_pre", F.lag("pre").over(_SIBLINGS))
+    return nodes.withColumn("next_pre", F.lead("pre").over(_siblings())).withColumn("prev_pre", F.lag("pre").over(_siblings()))
 
 
 def first_match(matches: DataFrame) -> DataFrame:
     """The first match of each file in document order."""
-    return matches.withColumn("__n", F.row_number().over(_DOC)).where("__n = 1").drop("__n")
+    return matches.withColumn("__n", F.row_number().over(_doc())).where("__n = 1").drop("__n")
 
 
 def traversal(nodes: DataFrame, order: str) -> DataFrame:

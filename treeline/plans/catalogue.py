@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from treeline.plans import graphs, logs, structure, text  # noqa: F401  they register what they hold
+from treeline.plans.registry import ORACLES, QUERIES
+
+FLAGSHIP = "html_links_in_nav"
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]

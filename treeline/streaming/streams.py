@@ -6,21 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.types import StructType
+
+from treeline.operators.analytics import mean_ms
 
 LATENESS = "10 minutes"
 
 
-def change_feed(spark: SparkSession, folder: str, schema: str, max_files: int = 100) -> DataFrame:
-    """New Parquet files of a folder as a stream, a bounded number a batch."""
+def change_feed(spark: SparkSession, folder: str, schema: str | StructType, max_files: int = 100) -> DataFrame:
+    """New Parquet files of a folder, or of all that a pattern of paths fits, as a stream, a bounded number a batch."""
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files).parquet(folder)
 
 
+def run_once(writer: DataStreamWriter, checkpoint: str) -> None:
+    """Runs a stream over all that is there, then ends; errors are raised here."""
+    writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
 def periods(ops: DataFrame, length: str = "1 hour", slide: str | None = None, lateness: str = LATENESS) -> DataFrame:
     """(started, operation_type, n, failures, avg_ms) in tumbling windows, or sliding ones."""
     w = F.window("timestamp", length, slide) if slide else F.window("timestamp", length)
     out = ops.withWatermark("timestamp", lateness).groupBy(w.alias("w"), "operation_type").agg(
-        F.count("*").alias("n"), F.sum((~F.col("success")).cast("bigint")).alias("failures"), F.round(F.avg("duration_ms"), 4).alias("avg_ms")
+        F.count("*").alias("n"), F.sum((~F.col("success")).cast("bigint")).alias("failures"), mean_ms().alias("avg_ms")
     )
     return out.select(F.col("w.start").alias("started"), "operation_type", "n", "failures", "avg_ms")
 
