@@ -74,11 +74,11 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def chunks(buf: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Runs [a, b) of texts of about CHUNK_BYTES bytes together; each text is whole."""
+def chunks(buf: np.ndarray, off: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
+    """Runs [a, b) of texts of about size bytes together; each text is whole."""
     a, n = 0, len(off) - 1
     while a < n:
-        b = max(a + 1, int(np.searchsorted(off, off[a] + CHUNK_BYTES, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(off, off[a] + size, "right")) - 1)
         yield a, min(b, n)
         a = min(b, n)
 

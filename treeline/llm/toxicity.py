@@ -42,6 +42,8 @@ PADDING = 400
 #: Most labelled documents to train on: half of them toxic where there are as many. The classifier is fitted on this bounded sample, everything else covers all rows.
 MOST_LABELLED = 4000
 THRESHOLD = 0.7
+#: Texts are hashed in runs of about so many bytes; a longer text is a run of its own.
+RUN_BYTES = 512 << 10
 
 _U = np.uint64
 _BASE = _U(0x100000001B3 * 0x10001 | 1)
@@ -53,8 +55,8 @@ def _kinds() -> np.ndarray:
     return np.array([2 if chr(c).isspace() else int(unicodedata.category(chr(c))[0] in "LMN") for c in range(sys.maxunicode + 1)], np.uint8)
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all words and n-grams of the texts, and the text that each is in.
+def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of all words and n-grams of the texts, and the text that each is in, one length after another.
 
     Letter case is folded; words are what lies between white space, less all
     characters that aren't letters, marks or digits, so that a dot within a word
@@ -73,33 +75,29 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     mixed = ts.mix(np.where(gap, 32, chars).astype(np.uint64) + _U(1))
     gaps = np.flatnonzero(gap)
     # the blank that ends the word which begins at or after each place
-    end = np.append(gaps, n)[np.searchsorted(gaps, np.arange(n), "right")] if n else gaps
+    end = np.append(gaps, n)[np.searchsorted(gaps, np.arange(n), "right")].astype(np.int32) if n else gaps
+    places = np.arange(n, dtype=np.int32)
     acc = np.zeros(n, np.uint64)
-    found, where = [], []
     for k in range(max(GRAMS)):
         acc = acc[: n - k] * _BASE + mixed[k:]
         if k + 1 in GRAMS:
-            start = np.flatnonzero(end[: n - k] >= np.arange(k, n))
-            start = start[text[start] == text[start + k]]
-            found.append((ts.mix(acc[start] + _U(k)) & _U(BUCKETS - 1)).astype(np.int64))
-            where.append(text[start])
+            start = np.flatnonzero((end[: n - k] >= places[k:]) & (text[: n - k] == text[k:]))
+            yield (ts.mix(acc[start] + _U(k)) & _U(BUCKETS - 1)).astype(np.int32), text[start]
     if len(gaps) > 1:  # the whole words
         total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * ts.powers(n))])
         first, last = gaps[:-1], gaps[1:]
         real = (last > first + 1) & (text[first] == text[last])
         first, last = first[real], last[real]
         whole = (total[last] - total[first + 1]) * ts.powers(n, inverse=True)[first]
-        found.append((ts.mix(whole) & _U(BUCKETS - 1)).astype(np.int64))
-        where.append(text[first])
-    return np.concatenate(found), np.concatenate(where)
+        yield (ts.mix(whole) & _U(BUCKETS - 1)).astype(np.int32), text[first]
 
 
-def _by_text(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For runs [a, b) of texts: a, b, the n-grams' buckets, and the text in [0, b - a) of each."""
+def _by_text(texts: pa.Array) -> Iterator[tuple[int, int, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    """For runs [a, b) of texts: a, b, and pieces of the n-grams' buckets with the text in [0, b - a) of each."""
     texts = pc.fill_null(texts, "")
     _, off = ts.raw(texts)
-    for a, b in ts.chunks(np.zeros(0, np.uint8), off):
-        yield a, b, *_grams(texts.slice(a, b - a).to_pylist())
+    for a, b in ts.chunks(np.zeros(0, np.uint8), off, RUN_BYTES):
+        yield a, b, _grams(texts.slice(a, b - a).to_pylist())
 
 
 @dataclass
@@ -112,9 +110,11 @@ class Model:
     def probabilities(self, texts: pa.Array) -> np.ndarray:
         """Of being toxic; nan for a text without n-grams, null or blank."""
         out = np.full(len(texts), np.nan)
-        for a, b, buckets, text in _by_text(texts):
-            n = np.bincount(text, minlength=b - a)
-            total = np.bincount(text, self.weights[buckets], minlength=b - a)
+        for a, b, pieces in _by_text(texts):
+            n, total = np.zeros(b - a, np.int64), np.zeros(b - a)
+            for buckets, text in pieces:
+                n += np.bincount(text, minlength=b - a)
+                total += np.bincount(text, self.weights[buckets], minlength=b - a)
             with np.errstate(invalid="ignore", divide="ignore", over="ignore"):
                 out[a:b] = np.where(n > 0, 1 / (1 + np.exp(-(total / (n + PADDING) + self.bias))), np.nan)
         return out
@@ -123,21 +123,24 @@ class Model:
 def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
     """Fits table and softmax jointly. Texts without n-grams are skipped; without both classes nothing is toxic."""
     ids, parts, sizes, labels = [], [], [], []
-    for a, b, buckets, text in _by_text(pa.array(texts, pa.large_string())):
-        key, count = np.unique(text.astype(np.int64) * BUCKETS + buckets, return_counts=True)
+    for a, b, pieces in _by_text(pa.array(texts, pa.large_string())):
+        key, count = np.unique(np.concatenate([text.astype(np.int64) * BUCKETS + buckets for buckets, text in pieces]), return_counts=True)
         ids.append((key % BUCKETS).astype(np.int32))
         parts.append(count.astype(np.float32))
         sizes.append(np.bincount(key // BUCKETS, minlength=b - a))
         labels.append(toxic[a:b])
     if not ids:
         return Model(np.zeros(BUCKETS), -20.0)
-    idx, part, size, y = (np.concatenate(x) for x in (ids, parts, sizes, labels))
-    seen = np.bincount(idx, minlength=BUCKETS) >= LEAST_TEXTS
-    doc = np.repeat(np.arange(len(size)), size)
-    # the average is over all n-grams; those without a row are zero in it
-    part /= (np.bincount(doc, part, len(size)) + PADDING).astype(np.float32)[doc]
-    doc, idx, part = doc[seen[idx]], idx[seen[idx]], part[seen[idx]]
-    size = np.bincount(doc, minlength=len(size))
+    y = np.concatenate(labels)
+    seen = sum(np.bincount(i, minlength=BUCKETS) for i in ids) >= LEAST_TEXTS
+    # the average is over all n-grams; those without a row are zero in it. One run at a time, so that little is held twice
+    for k, (i, p, n) in enumerate(zip(ids, parts, sizes)):
+        doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
+        p /= (np.bincount(doc, p, len(n)) + PADDING).astype(np.float32)[doc]
+        kept = seen[i]
+        ids[k], parts[k], sizes[k] = i[kept], p[kept], np.bincount(doc[kept], minlength=len(n))
+    idx, part, size = np.concatenate(ids), np.concatenate(parts), np.concatenate(sizes)
+    del ids, parts
     used = np.flatnonzero(size > 0)
     if len(set(y[used].tolist())) < 2:
         return Model(np.zeros(BUCKETS), -20.0)
@@ -153,7 +156,8 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
         rows = order[s : s + BATCH]
         take = np.concatenate([np.arange(at[r], at[r + 1]) for r in rows])
         unique, back = np.unique(idx[take], return_inverse=True)
-        batches.append((rows, size[rows], unique, back, part[take]))
+        batches.append((rows, size[rows], unique, back.astype(np.int32), part[take]))
+    del idx, part
     for _ in range(epochs):
         for k in draw.permutation(len(batches)):
             rows, counts, unique, back, share = batches[k]
