@@ -1,14 +1,14 @@
 """Operator 8: toxicity, by averaged subword embeddings and a linear softmax.
 
 A word is the bag of its character n-grams with its ends marked, each hashed
-to a row of an embedding table. A document is the average of all its n-grams'
-rows; a softmax over two classes is linear in it. Table and softmax are trained
+to a row of an embedding table. A document is the average of its distinct words'
+n-grams' rows; a softmax over two classes is linear in it. Table and softmax are trained
 together by stochastic gradients in numpy. A misspelling that was never seen
 shares most n-grams with its word, and so its vectors.
 
 Scoring uses that the model is linear: the two classes' logits differ by the
 mean over a document's n-grams of one number a row. Texts are scored whole, by
-vectorised hashing of every n-gram at every position.
+vectorised hashing of every n-gram of every word.
 """
 
 from __future__ import annotations
@@ -60,7 +60,8 @@ def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
     Letter case is folded; words are what lies between white space, less all
     characters that aren't letters, marks or digits, so that a dot within a word
-    doesn't hide it. A word's n-grams count the blanks on both sides of it.
+    doesn't hide it. A word's n-grams count the blanks on both sides of it. Each
+    word of a text counts once, so that no word wins by repetition.
     """
     folded = [f" {t.lower()} " for t in texts]
     chars = np.frombuffer("".join(folded).encode("utf-32-le", "surrogatepass"), np.uint32)
@@ -71,25 +72,37 @@ def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     once = np.ones(len(chars), bool)
     once[1:] = ~(gap[1:] & gap[:-1]) | (text[1:] != text[:-1])
     chars, text, gap = chars[once], text[once], gap[once]
-    n = len(chars)
     mixed = ts.mix(np.where(gap, 32, chars).astype(np.uint64) + _U(1))
     gaps = np.flatnonzero(gap)
+    if len(gaps) < 2:
+        return
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * ts.powers(len(chars)))])
+    first, last = gaps[:-1], gaps[1:]
+    real = (last > first + 1) & (text[first] == text[last])
+    first, last = first[real], last[real]
+    whole = (total[last] - total[first + 1]) * ts.powers(len(chars), inverse=True)[first]
+    # a word that a text has again adds nothing
+    _, once = np.unique(ts.mix(whole + text[first].astype(np.uint64) * _BASE), return_index=True)
+    once.sort()
+    first, last, whole = first[once], last[once], whole[once]
+    yield (ts.mix(whole) & _U(BUCKETS - 1)).astype(np.int32), text[first]
+    edge = np.zeros(len(chars) + 1, np.int8)
+    edge[first + 1] += 1
+    edge[last + 1] -= 1
+    keep = np.cumsum(edge[:-1], dtype=np.int8) > 0
+    keep[0] = True
+    keep[1:] |= text[1:] != text[:-1]  # the blank before a text's first word
+    mixed, text, gaps = mixed[keep], text[keep], np.flatnonzero(gap[keep])
+    n = len(mixed)
     # the blank that ends the word which begins at or after each place
-    end = np.append(gaps, n)[np.searchsorted(gaps, np.arange(n), "right")].astype(np.int32) if n else gaps
+    end = np.append(gaps, n)[np.searchsorted(gaps, np.arange(n), "right")].astype(np.int32)
     places = np.arange(n, dtype=np.int32)
     acc = np.zeros(n, np.uint64)
-    for k in range(max(GRAMS)):
+    for k in range(min(max(GRAMS), n)):
         acc = acc[: n - k] * _BASE + mixed[k:]
         if k + 1 in GRAMS:
             start = np.flatnonzero((end[: n - k] >= places[k:]) & (text[: n - k] == text[k:]))
             yield (ts.mix(acc[start] + _U(k)) & _U(BUCKETS - 1)).astype(np.int32), text[start]
-    if len(gaps) > 1:  # the whole words
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed * ts.powers(n))])
-        first, last = gaps[:-1], gaps[1:]
-        real = (last > first + 1) & (text[first] == text[last])
-        first, last = first[real], last[real]
-        whole = (total[last] - total[first + 1]) * ts.powers(n, inverse=True)[first]
-        yield (ts.mix(whole) & _U(BUCKETS - 1)).astype(np.int32), text[first]
 
 
 def _by_text(texts: pa.Array) -> Iterator[tuple[int, int, Iterator[tuple[np.ndarray, np.ndarray]]]]:
