@@ -88,7 +88,7 @@ class _Table:
 class _Known:
     """Words already encoded by this process, by hash. Forgets all when ROOM are in it."""
 
-    ROOM = 2_000_000
+    ROOM = 1 << 19
 
     def __init__(self):
         self.clear()
@@ -412,7 +412,7 @@ def pre_split(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 def encode_column(automaton: Automaton, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
     """For runs [a, b) of texts: a, b, their tokens, b - a + 1 offsets into these, and whether each decodes to itself."""
     buf, off = ts.raw(texts)
-    for a, b in ts.chunks(buf, off):
+    for a, b in ts.chunks(off):
         part, local = buf[off[a] : off[b]], off[a : b + 1] - off[a]
         start, end, word_off = pre_split(part, local)
         out, ends = automaton.encode_all(part, start, end)

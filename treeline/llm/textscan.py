@@ -22,7 +22,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE_VALUE = np.random.RandomState(20240607).randint(1, 2**63 - 1, 256, dtype=np.int64).astype(U64) | U64(1)
 
 #: Texts are scanned in runs of about so many bytes; a longer text is a run of its own.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 512 << 10
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -74,11 +74,11 @@ def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def chunks(buf: np.ndarray, off: np.ndarray, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
-    """Runs [a, b) of texts of about size bytes together; each text is whole."""
+def chunks(off: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs [a, b) of texts of about CHUNK_BYTES bytes together; each text is whole."""
     a, n = 0, len(off) - 1
     while a < n:
-        b = max(a + 1, int(np.searchsorted(off, off[a] + size, "right")) - 1)
+        b = max(a + 1, int(np.searchsorted(off, off[a] + CHUNK_BYTES, "right")) - 1)
         yield a, min(b, n)
         a = min(b, n)
 
@@ -124,7 +124,7 @@ def window_hashes(hashes: np.ndarray, at: np.ndarray, width: int) -> np.ndarray:
 def scan(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """For runs [a, b) of texts: a, b, the hashes of their words, and b - a + 1 offsets into these."""
     buf, off = raw(texts)
-    for a, b in chunks(buf, off):
+    for a, b in chunks(off):
         part, local = buf[off[a] : off[b]], off[a : b + 1] - off[a]
         start, end, word_off = words(part, local)
         yield a, b, word_hashes(part, start, end), word_off

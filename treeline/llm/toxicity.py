@@ -42,8 +42,6 @@ PADDING = 400
 #: Most labelled documents to train on: half of them toxic where there are as many. The classifier is fitted on this bounded sample, everything else covers all rows.
 MOST_LABELLED = 4000
 THRESHOLD = 0.7
-#: Texts are hashed in runs of about so many bytes; a longer text is a run of its own.
-RUN_BYTES = 512 << 10
 
 _U = np.uint64
 _BASE = _U(0x100000001B3 * 0x10001 | 1)
@@ -109,7 +107,7 @@ def _by_text(texts: pa.Array) -> Iterator[tuple[int, int, Iterator[tuple[np.ndar
     """For runs [a, b) of texts: a, b, and pieces of the n-grams' buckets with the text in [0, b - a) of each."""
     texts = pc.fill_null(texts, "")
     _, off = ts.raw(texts)
-    for a, b in ts.chunks(np.zeros(0, np.uint8), off, RUN_BYTES):
+    for a, b in ts.chunks(off):
         yield a, b, _grams(texts.slice(a, b - a).to_pylist())
 
 
