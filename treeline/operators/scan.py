@@ -267,7 +267,7 @@ def suppression_comments(lines: DataFrame, marker: str = MARKER) -> DataFrame:
     """(file_id, line, rule_id) from lines (file_id, line, text): a marker hides findings on the next line, all of them without ids."""
     found = lines.where(F.col("text").contains(marker))
     ids = F.regexp_extract("text", re.escape(marker) + r"\s*:\s*([A-Za-z0-9_\-, ]+)", 1)
-    listed = F.filter(F.transform(F.split(ids, ","), F.trim), lambda x: x != "")
+    listed = F.filter(F.transform(F.split(ids, ","), lambda x: F.trim(x)), lambda x: x != "")
     some = F.when(F.size(listed) > 0, listed).otherwise(F.array(F.lit(None).cast("string")))
     return found.select("file_id", (F.col("line") + 1).alias("line"), F.explode(some).alias("rule_id"))
 

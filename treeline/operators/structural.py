@@ -10,6 +10,7 @@ or recursive utils go to the interpreter (`scan`).
 
 from __future__ import annotations
 
+import functools
 import itertools
 from typing import Any
 
@@ -47,10 +48,49 @@ def supported(spec: Any) -> bool:
 
 def select(nodes: DataFrame, spec: dict, utils: dict[str, dict] | None = None) -> DataFrame:
     """The nodes that match a rule."""
+    alone = condition(spec, utils or {})
+    if alone is not None:
+        return nodes.where(alone)
     marked, column = mark(nodes, spec, utils or {})
     return marked.where(column).select(*nodes.columns)
 
 
+def condition(spec: dict, utils: dict[str, dict]) -> Column | None:
+    """A rule that looks at the node alone as one condition, which the scan can take; None for any other rule."""
+    if not spec or not set(spec) <= {"kind", "regex", "range", "all", "any", "not", "matches"}:
+        return None
+    value = F.lit(True)
+    for key in ORDER:
+        if key not in spec:
+            continue
+        of = spec[key]
+        if key in ("kind", "regex", "range"):
+            value = value & _own(key, of)
+            continue
+        if key == "matches":
+            parts = [condition(utils[of], {k: v for k, v in utils.items() if k != of})] if of in utils else [None]
+        else:
+            parts = [condition(v, utils) for v in (of if isinstance(of, list) else [of])]
+        if any(p is None for p in parts):
+            return None
+        if key == "not":
+            value = value & ~F.coalesce(parts[0], F.lit(False))
+        elif key == "any":
+            value = value & functools.reduce(lambda a, b: a | b, parts, F.lit(False))
+        else:
+            value = functools.reduce(lambda a, b: a & b, parts, value)
+    return value
+
+
+def _own(key: str, value: Any) -> Column:
+    if key == "kind":
+        return F.col("is_error") if value == "ERROR" else F.col("kind") == value
+    if key == "regex":
+        return F.col("text").rlike(value)
+    points = [F.col(f"{end}_{part}") == value[end][of] for end in ("start", "end") for part, of in (("line", "line"), ("col", "column"))]
+    return points[0] & points[1] & points[2] & points[3]
+
+
 def mark(nodes: DataFrame, spec: dict, utils: dict[str, dict] | None = None) -> tuple[DataFrame, str]:
     """nodes with one more boolean column, and its name."""
     utils = utils or {}
@@ -81,13 +121,8 @@ def _combine(nodes: DataFrame, names: list[str], how: Any) -> tuple[DataFrame, s
 
 
 def _mark_key(nodes: DataFrame, key: str, value: Any, utils: dict[str, dict]) -> tuple[DataFrame, str]:
-    if key == "kind":
-        return _named(nodes, F.col("is_error") if value == "ERROR" else F.col("kind") == value)
-    if key == "regex":
-        return _named(nodes, F.col("text").rlike(value))
-    if key == "range":
-        points = [F.col(f"{end}_{part}") == value[end][of] for end in ("start", "end") for part, of in (("line", "line"), ("col", "column"))]
-        return _named(nodes, points[0] & points[1] & points[2] & points[3])
+    if key in ("kind", "regex", "range"):
+        return _named(nodes, _own(key, value))
     if key == "nthChild":
         return _nth(nodes, value, utils)
     if key in ("all", "any"):
@@ -167,7 +202,12 @@ def _inside(nodes: DataFrame, hit: str, stop: Any, halt: str | None, field: str
     if stop == "neighbor":
         parents = nodes.where(F.col(hit)).select("file_id", F.col("pre").alias("parent"))
         nodes, name = _join(nodes, parents, ["file_id", "parent"])
-        return (nodes, name) if field is None else _named(nodes, F.col(name) & (F.col("field") == field))
+        if field is None:
+            return nodes, name
+        # where a field has several children, the first is meant
+        first = F.min(F.when(F.col("field") == field, F.col("child_idx"))).over(Window.partitionBy("file_id", "parent"))
+        nodes = nodes.withColumn(at := f"__m{next(_fresh)}", first)
+        return _named(nodes, F.col(name) & (F.col("child_idx") == F.col(at)))
     if stop == "end" and field is None:
         return _named(nodes, F.max(F.when(F.col(hit), F.col("end_pre"))).over(_before()) >= F.col("pre"))
     # ancestors that match, each with the child on the way down where a field is asked for
