@@ -33,9 +33,8 @@ BITS = 256
 LANES = BITS // 64
 #: Two documents are near copies if their fingerprints differ in at most so many bits.
 DISTANCE = 52
-#: The recall that the filters of all levels together aim at, for two fingerprints DESIGN bits apart.
+#: The recall that the filters of all levels together aim at, for two fingerprints DISTANCE bits apart; closer ones meet more often.
 RECALL = 0.9
-DESIGN = 40
 #: A filter keeps a random fingerprint with about this probability.
 KEPT = 0.03
 #: Lists up to BRUTE are compared all with all; lists up to LOCAL stay in one task.
@@ -93,8 +92,8 @@ def _weight_limit(bits: int) -> int:
 
 
 def filters_needed(bits: int, levels: int) -> int:
-    """How many filters a level needs so that two fingerprints DESIGN of BITS apart meet in all levels with RECALL."""
-    limit, apart = _weight_limit(bits), round(DESIGN * bits / BITS)
+    """How many filters a level needs so that two fingerprints DISTANCE of BITS apart meet in all levels with RECALL."""
+    limit, apart = _weight_limit(bits), round(DISTANCE * bits / BITS)
     same = bits - apart
     both = 0.0
     for in_same in range(min(limit, same) + 1):
