@@ -211,6 +211,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     def cut(text: pa.Array, starts: pa.Array, stops: pa.Array) -> pa.Array:
         return pa.array([t if s is None else _cut(t, s, e) for t, s, e in zip(text.to_pylist(), starts.to_pylist(), stops.to_pylist())], pa.string())
 
+    cut = cut.asNondeterministic()  # else the filter below would cut every text once more
     joined = docs.withColumn("__cut_key", row_key()).join(found, "__cut_key", "left")
     joined = joined.withColumn("__cut_text", F.when(F.col("__cut_starts").isNotNull(), cut("text", "__cut_starts", "__cut_stops")).otherwise(F.col("text")))
     joined = joined.where(F.col("__cut_starts").isNull() | F.col("__cut_text").rlike(r"[^ \t\n\x0b\f\r]"))

@@ -8,6 +8,7 @@ per word, so the cost is a few nanoseconds a byte whatever the vocabulary.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,8 @@ import pyarrow.compute as pc
 U64 = np.uint64
 _BASE = U64(0x9E3779B97F4A7C15 | 5)
 _WORD_BASE = U64(0xC2B2AE3D27D4EB4F)
+#: glibc's; other C libraries have none.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BYTE_VALUE = np.random.RandomState(20240607).randint(1, 2**63 - 1, 256, dtype=np.int64).astype(U64) | U64(1)
@@ -81,6 +84,14 @@ def chunks(off: np.ndarray) -> Iterator[tuple[int, int]]:
         b = max(a + 1, int(np.searchsorted(off, off[a] + CHUNK_BYTES, "right")) - 1)
         yield a, min(b, n)
         a = min(b, n)
+    release()
+
+
+def release() -> None:
+    """Gives freed memory back to the system: a worker that is kept for later stages should hold little."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
