@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from treeline.llm import pivots
 
@@ -30,6 +31,25 @@ def test_recall_and_precision_against_brute_force(spark):
     assert len(got) >= 0.95 * len(want)
 
 
+@pytest.mark.parametrize("inner", [0.98, 0.94])
+def test_a_large_group_of_near_copies_against_brute_force(spark, inner):
+    """2,000 of 20,000 vectors, whose cosines with one another are about `inner`; pivots were drawn from the group by dozens."""
+    draw = np.random.RandomState(6)
+    x = draw.normal(size=(20_000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise = draw.normal(size=(2000, 64))
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    x[:2000] = np.sqrt(inner) * x[0] + np.sqrt(1 - inner) * noise
+    x = x.astype(np.float32)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    near = np.triu(u @ u.T, 1) >= pivots.COSINE
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA)
+    got = pivots.pairs(df).toArrow()
+    a, b = got["a"].to_numpy(), got["b"].to_numpy()
+    assert near[a, b].all() and len(set(zip(a.tolist(), b.tolist()))) == len(a)
+    assert near.sum() > 100_000 and len(a) >= 0.9 * near.sum()
+
+
 def test_blocks_change_nothing(spark):
     x = clusters(600, 16, 2)
     assert pairs(spark, x, block=16) == pairs(spark, x, block=100_000)

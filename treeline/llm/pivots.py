@@ -9,7 +9,8 @@ so that each pair comes up once - and candidates are verified by their cosine.
 The number of pivots grows with the root of the number of vectors, as do the
 lists: placing vectors and comparing lists both cost about n^1.5. Long lists are
 cut into blocks, and blocks are compared two by two, each pair of them a task's
-unit. Equal vectors are one to begin with, and come back as a chain of pairs.
+unit. No two pivots are close to one another: a dense group of vectors holds one,
+not many whose order among its members would be left to chance. Equal vectors are one to begin with, and come back as a chain of pairs.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ NEAREST = 8
 SHARED = 3
 #: So many pivots for each root of the number of vectors.
 DENSITY = 4
+#: So many vectors are drawn for each pivot, as those too close to another one are dropped.
+SPARE = 2
 #: Vectors in a block of a list.
 BLOCK = 2048
 SEED = 3
@@ -42,6 +45,26 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
 
 
+def _apart(drawn: np.ndarray, most: int, limit: float) -> np.ndarray:
+    """Up to `most` of the unit vectors, in their order, without those whose cosine with one kept before is over `limit`."""
+    kept = np.zeros((0, drawn.shape[1]), drawn.dtype)
+    for s in range(0, len(drawn), 1024):
+        part = drawn[s : s + 1024]
+        free = np.ones(len(part), bool)
+        for k in range(0, len(kept), 8192):
+            free &= (part @ kept[k : k + 8192].T <= limit).all(1)
+        part = part[free]
+        close = part @ part.T > limit
+        free = np.ones(len(part), bool)
+        for i in range(len(part)):
+            if free[i]:
+                free[i + 1 :] &= ~close[i, i + 1 :]
+        kept = np.concatenate([kept, part[free]])[:most]
+        if len(kept) == most:
+            break
+    return kept
+
+
 def pairs(vectors: DataFrame, cosine: float = COSINE, density: float = DENSITY, block: int = BLOCK) -> DataFrame:
     """(a, b, cosine): ids a < b of vectors whose cosine is at least `cosine`, rounded to 6 places.
 
@@ -70,9 +93,11 @@ def pairs(vectors: DataFrame, cosine: float = COSINE, density: float = DENSITY,
 def _near(one: DataFrame, width: int, n: int, cosine: float, density: float, block: int) -> DataFrame:
     spark = one.sparkSession
     many = min(n, math.ceil(density * math.sqrt(n)))
-    # pivots are vectors drawn by hash; their number is known beforehand and grows with the root of n
-    drawn = one.orderBy(F.xxhash64(F.lit(SEED), "v"), "id").limit(many).select("v").collect()
-    pivots = spark.sparkContext.broadcast(_unit(np.array([r.v for r in drawn], np.float32)))
+    # pivots are vectors drawn by hash; their number is bounded beforehand and grows with the root of n
+    drawn = one.orderBy(F.xxhash64(F.lit(SEED), "v"), "id").limit(SPARE * many).select("v").collect()
+    # no two pivots within root 2 of the distance that a pair may have
+    chosen = _apart(_unit(np.array([r.v for r in drawn], np.float32)), many, 2 * cosine - 1)
+    pivots, many = spark.sparkContext.broadcast(chosen), len(chosen)
     near = min(NEAREST, many)
     shared = min(SHARED, near) if many > NEAREST else 1
 
