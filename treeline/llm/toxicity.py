@@ -3,7 +3,9 @@
 A word is the bag of its character n-grams with its ends marked, each hashed
 to a row of an embedding table. A document is the average of its distinct words'
 n-grams' rows; a softmax over two classes is linear in it. Table and softmax are trained
-together by stochastic gradients in numpy. A misspelling that was never seen
+together by stochastic gradients in numpy, both classes with the same weight.
+Only n-grams whose rates in the two classes differ beyond chance have a row: the
+others would learn the sample by heart. A misspelling that was never seen
 shares most n-grams with its word, and so its vectors.
 
 Scoring uses that the model is linear: the two classes' logits differ by the
@@ -32,11 +34,13 @@ BUCKETS = 1 << 17
 DIMENSIONS = 8
 GRAMS = (3, 4, 5)
 EPOCHS = 12
+#: Few texts get more epochs, up to so many steps.
+LEAST_STEPS = 600
 BATCH = 64
 RATE = 0.3
 SEED = 11
-#: An n-gram in fewer of the training texts has no row.
-LEAST_TEXTS = 15
+#: An n-gram has a row where its rates in toxic and clean training texts differ: the least log-likelihood ratio statistic, so that the texts it takes follow how many are toxic.
+EVIDENCE = 8
 #: Empty n-grams that every document's average holds besides its own, so that a handful of odd ones doesn't decide.
 PADDING = 400
 #: Most labelled documents to train on: half of them toxic where there are as many. The classifier is fitted on this bounded sample, everything else covers all rows.
@@ -131,6 +135,16 @@ class Model:
         return out
 
 
+def _evidence(texts_with: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Of each n-gram, twice the log of the likelihood ratio of two rates, one a class, to one rate. texts_with[class, bucket]: texts that have it; known: texts by class."""
+
+    def log(k: np.ndarray, n: np.ndarray) -> np.ndarray:
+        share = np.clip(k / np.maximum(n, 1), 1e-12, 1 - 1e-12)
+        return k * np.log(share) + (n - k) * np.log(1 - share)
+
+    return 2 * (log(texts_with, known[:, None]).sum(0) - log(texts_with.sum(0), known.sum()))
+
+
 def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Model:
     """Fits table and softmax jointly. Texts without n-grams are skipped; without both classes nothing is toxic."""
     ids, parts, sizes, labels = [], [], [], []
@@ -143,7 +157,16 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
     if not ids:
         return Model(np.zeros(BUCKETS), -20.0)
     y = np.concatenate(labels)
-    seen = sum(np.bincount(i, minlength=BUCKETS) for i in ids) >= LEAST_TEXTS
+    used = np.flatnonzero(np.concatenate(sizes) > 0)
+    known = np.bincount(y[used], minlength=2)
+    if not known.all():
+        return Model(np.zeros(BUCKETS), -20.0)
+    texts_with = np.zeros((2, BUCKETS))
+    for i, n, toxic_or_not in zip(ids, sizes, labels):
+        mark = np.repeat(toxic_or_not, n)
+        for c in (0, 1):
+            texts_with[c] += np.bincount(i[mark == c], minlength=BUCKETS)
+    seen = _evidence(texts_with, known) >= EVIDENCE
     # the average is over all n-grams; those without a row are zero in it. One run at a time, so that little is held twice
     for k, (i, p, n) in enumerate(zip(ids, parts, sizes)):
         doc = np.repeat(np.arange(len(n), dtype=np.int32), n)
@@ -152,9 +175,10 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
         ids[k], parts[k], sizes[k] = i[kept], p[kept], np.bincount(doc[kept], minlength=len(n))
     idx, part, size = np.concatenate(ids), np.concatenate(parts), np.concatenate(sizes)
     del ids, parts
-    used = np.flatnonzero(size > 0)
-    if len(set(y[used].tolist())) < 2:
+    if not len(idx):
         return Model(np.zeros(BUCKETS), -20.0)
+    # both classes weigh the same, however few of the texts are toxic
+    weight = (len(used) / (2 * known)).astype(np.float32)
     at = np.concatenate([[0], np.cumsum(size)])
     draw = np.random.RandomState(seed)
     table = draw.uniform(-1, 1, (BUCKETS, DIMENSIONS)).astype(np.float32) / DIMENSIONS
@@ -169,19 +193,21 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
         unique, back = np.unique(idx[take], return_inverse=True)
         batches.append((rows, size[rows], unique, back.astype(np.int32), part[take]))
     del idx, part
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-LEAST_STEPS // len(batches)))):
         for k in draw.permutation(len(batches)):
             rows, counts, unique, back, share = batches[k]
             first = np.cumsum(counts) - counts
-            mean = np.add.reduceat(table[unique][back] * share[:, None], first, axis=0)
+            mean, some = np.zeros((len(rows), DIMENSIONS), np.float32), counts > 0  # a text may be left without rows
+            if some.any():
+                mean[some] = np.add.reduceat(table[unique][back] * share[:, None], first[some], axis=0)
             z = mean @ soft + bias
             p = np.exp(z - z.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
             p[np.arange(len(rows)), y[rows]] -= 1
-            p /= len(rows)
+            p *= (weight[y[rows]] / len(rows))[:, None]
             d_soft, d_bias, d_mean = mean.T @ p, p.sum(0), p @ soft.T
-            weight = np.repeat(np.arange(len(rows)), counts)
-            grad = np.stack([np.bincount(back, share * d_mean[weight, j], len(unique)) for j in range(DIMENSIONS)], 1)
+            doc = np.repeat(np.arange(len(rows)), counts)
+            grad = np.stack([np.bincount(back, share * d_mean[doc, j], len(unique)) for j in range(DIMENSIONS)], 1)
             # each row's steps are scaled by what its gradients have summed up to (Adagrad): an average's parts are small
             g_table[unique] += (grad**2).mean(1)
             g_soft += d_soft**2
