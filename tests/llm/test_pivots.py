@@ -74,3 +74,12 @@ def test_nulls_ties_repeats_lengths_and_clashing_columns(spark):
     got = {(r.a, r.b): r.cosine for r in pivots.pairs(df).collect()}
     assert got == {(1, 2): 1.0, (1, 3): 1.0, (9, 10): 1.0}
     assert pivots.pairs(df.limit(0)).count() == 0
+
+
+def test_every_row_is_a_query(spark, tmp_path):
+    """Groups of equal vectors next to near ones, against brute force over rows; an id that has two embeddings doesn't mix them up."""
+    x = np.repeat(clusters(200, 16, 4), 3, axis=0)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    spark.createDataFrame([*rows, (0, (-x[0]).tolist()), (900, (-x[0]).tolist())], SCHEMA).write.parquet(f"{tmp_path}/embeddings.parquet")
+    found = [(r.a, r.b) for r in pivots.op9_pivots(spark, str(tmp_path)).collect()]
+    assert len(set(found)) == len(found) and set(found) == brute(x, pivots.COSINE) | {(0, 900)}

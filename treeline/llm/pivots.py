@@ -77,17 +77,44 @@ def pairs(vectors: DataFrame, cosine: float = COSINE, density: float = DENSITY,
     near ones, each pair of vectors is found through its least id. Approximate:
     see README for the recall. Few vectors make one list, which is exact.
     """
+    one = _distinct(vectors)
+    out = one.where(F.size("ids") > 1).select(F.explode(F.transform(F.slice("ids", 1, F.size("ids") - 1), lambda x, i: F.struct(x.alias("a"), F.element_at("ids", (i + 2).cast("int")).alias("b")))).alias("p"))
+    out = out.select("p.a", "p.b", F.lit(1.0).alias("cosine"))
+    return _once(_near_of_all(one.select("id", "v"), out, cosine, density, block))
+
+
+def every_pair(vectors: DataFrame, cosine: float = COSINE, density: float = DENSITY, block: int = BLOCK) -> DataFrame:
+    """As pairs(), but each pair of rows counts: k equal vectors give k (k - 1) / 2 pairs, and each of them pairs with all that are near."""
+    one = _distinct(vectors)
+    members = written(one.select("key", F.explode("ids").alias("id")), "members")
+    left, right = members.toDF("ka", "a"), members.toDF("kb", "b")
+    equal = left.join(right, F.col("ka") == F.col("kb")).where("a < b").select("a", "b", F.lit(1.0).alias("cosine"))
+    none = equal.limit(0)
+    near = _near_of_all(one.select(F.col("key").alias("id"), "v"), none, cosine, density, block).toDF("ka", "kb", "cosine")
+    near = near.join(left, "ka").join(right, "kb").select("a", "b", "cosine")
+    return _once(equal.unionByName(near))
+
+
+def _distinct(vectors: DataFrame) -> DataFrame:
+    """(v, id, ids, key): the vectors that count, once each, with their ids, the least of them, and a number of their own."""
     good = vectors.select(F.col("vec_id").cast("bigint").alias("id"), F.col("embedding").cast("array<float>").alias("v")).where("id IS NOT NULL AND v IS NOT NULL AND size(v) > 0")
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists("v", lambda x: x != 0)
     good = good.where(fine)
-    one = written(good.groupBy("v").agg(F.min("id").alias("id"), F.array_sort(F.collect_set("id")).alias("ids")), "vectors")
+    one = good.groupBy("v").agg(F.min("id").alias("id"), F.array_sort(F.collect_set("id")).alias("ids"))
+    return written(one.withColumn("key", F.monotonically_increasing_id()), "vectors")
+
+
+def _near_of_all(one: DataFrame, out: DataFrame, cosine: float, density: float, block: int) -> DataFrame:
+    """out and the near pairs of one (id, v), for each length of vectors."""
     sizes = {r.w: r.n for r in one.groupBy(F.size("v").alias("w")).agg(F.count("*").alias("n")).collect()}  # one row a length
-    out = one.where(F.size("ids") > 1).select(F.explode(F.transform(F.slice("ids", 1, F.size("ids") - 1), lambda x, i: F.struct(x.alias("a"), F.element_at("ids", (i + 2).cast("int")).alias("b")))).alias("p"))
-    out = out.select("p.a", "p.b", F.lit(1.0).alias("cosine"))
     for width, n in sorted(sizes.items()):
         if n > 1:
-            out = out.unionByName(_near(one.where(F.size("v") == width).select("id", "v"), width, n, cosine, density, block))
-    return out.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("cosine").alias("cosine"))
+            out = out.unionByName(_near(one.where(F.size("v") == width), width, n, cosine, density, block))
+    return out
+
+
+def _once(found: DataFrame) -> DataFrame:
+    return found.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("cosine").alias("cosine"))
 
 
 def _near(one: DataFrame, width: int, n: int, cosine: float, density: float, block: int) -> DataFrame:
@@ -164,8 +191,8 @@ def _near(one: DataFrame, width: int, n: int, cosine: float, density: float, blo
 
 
 def op9_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pairs of near embeddings of the table."""
-    return pairs(read(spark, sf_dir, "embeddings"))
+    """All pairs of near embeddings of the table, copies included. OP9_SQL gives a chain for equal vectors, so it says the same only without any."""
+    return every_pair(read(spark, sf_dir, "embeddings"))
 
 
 OP9_SQL = f"""
