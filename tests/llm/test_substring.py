@@ -69,17 +69,45 @@ def test_repeats_within_a_text_and_one_word_texts(docs):
     assert found(substring.spans(docs(rows))) == {1: [(1, 300, [1])]}
 
 
+def test_partitions_small_flushes_and_hot_windows_change_nothing(docs, monkeypatch):
+    """What a task settles by itself, what it leaves to others and what is split, against brute force."""
+    rows = corpus(3) + [(None, corpus(3)[5][1]), (100, "x " * 900)]
+    want = brute(rows)
+    for parts, flush, hot in ((1, 1 << 20, 20_000), (7, 1 << 20, 2), (3, 64, 3), (1, 64, 20_000)):
+        monkeypatch.setattr(substring, "FLUSH", flush)
+        monkeypatch.setattr(substring, "HOT", hot)
+        assert found(substring.spans(docs(rows).repartition(parts))) == want
+
+
+def test_a_very_long_text(docs):
+    long = " ".join(f"n{i}" for i in range(300_000))
+    tail = " ".join(f"n{i}" for i in range(299_900, 300_000))
+    assert found(substring.spans(docs([(1, long), (2, "begin " + tail)]))) == {2: [(1, 101, [1])]}
+
+
+def test_texts_are_shuffled_once(spark, docs):
+    """The two joins with texts read one exchange, however large their other sides are."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = substring.without_repeats(docs(corpus(4)))
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "ReusedExchange" in plan
+
+
 def test_nulls_repeats_and_empty_tables(docs):
     text = " ".join(f"t{i}" for i in range(70))
     rows = [(1, text), (1, text), (None, text), (2, None), (3, ""), (4, " \n ")]
-    assert found(substring.spans(docs(rows, "key h m start"))) == {None: [(0, 70, [1])]}
+    assert found(substring.spans(docs(rows, "key h m i"))) == {None: [(0, 70, [1])]}
     assert substring.spans(docs([])).count() == 0
 
 
 def test_cut_keeps_the_first_and_drops_what_is_left_empty(docs):
     text = " ".join(f"t{i}" for i in range(70))
     rows = [(1, text), (2, f"before\n{text}  after"), (3, text), (4, None), (5, "é short"), (6, "")]
-    df = docs(rows, "places hashes")
+    df = docs(rows, "places hashes i t rest left")
     out = substring.without_repeats(df)
     assert out.columns == df.columns
     by = {r.doc_id: r for r in out.collect()}
