@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +40,29 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), F.col(text))
 
 
+def least_rows(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Joins the components of the rows a[k] and b[k]; root[i] leads, in one step or more, to the least row of i's component."""
+    while len(a):
+        ra, rb = root[a], root[b]
+        while True:
+            ga, gb = root[ra], root[rb]
+            if np.array_equal(ga, ra) and np.array_equal(gb, rb):
+                break
+            ra, rb = ga, gb
+        apart = ra != rb
+        if not apart.any():
+            return
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
+
+
+def settled(root: np.ndarray) -> np.ndarray:
+    """For each row the least row of its component."""
+    while not np.array_equal(root[root], root):
+        root = root[root]
+    return root
+
+
 def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """Connected components: (node, root), root the least node of its component.
 
