@@ -42,8 +42,10 @@ def test_order_and_partitions_change_nothing(docs):
 
 def test_nulls_repeats_and_empty_tables(docs):
     rows = [(1, "a", None), (1, "a", None), (None, None, "s"), (2, "", "s"), (3, "x" * 100_000, "s")]
-    out = mixing.mix(docs(rows, "w all target copies_of"))
-    assert sum(r.copies for r in out.collect()) == 5
+    out = mixing.mix(docs(rows, "w all target copies"), {})
+    assert sum(r.copies for r in out.collect()) == 5 and out.columns.count("copies") == 1
+    df = docs(rows, "copies copy n")
+    assert mixing.stage(None, df, "").columns == df.columns and {r.copies for r in mixing.stage(None, df, "").collect()} == {"x"}
     assert mixing.mix(docs([])).count() == 0
     assert mixing.mix(docs(rows), {"s": 0}, default_weight=0).count() == 0
 

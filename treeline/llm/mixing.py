@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from treeline.llm.shared import read, written
 
 #: Relative weights of sources; one that isn't named has DEFAULT_WEIGHT.
-WEIGHTS: dict[str, int] = {}
+WEIGHTS: dict[str, int] = {"src0": 5, "src1": 3, "src2": 2}
 DEFAULT_WEIGHT = 1
 SEED = "mix-1"
 _BINS = 1 << 16
@@ -28,7 +28,7 @@ _C = "__mix_"
 
 
 def mix(docs: DataFrame, weights: dict[str, int] | None = None, total: int | None = None, default_weight: int = DEFAULT_WEIGHT, seed: str = SEED) -> DataFrame:
-    """docs with one more column, copies BIGINT >= 1; rows with none are left out.
+    """docs with the column copies BIGINT >= 1; rows with none are left out. A column of that name is replaced.
 
     total: the size of the mix in documents, as many as docs by default; the
     sources' targets add up to it exactly. A null source is a source of its own
@@ -37,6 +37,12 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, total: int | Non
     doc_id, then n_chars. An empty table, or sources that all weigh 0, give no
     rows. Columns of docs may have any names but those that begin with __mix_.
     """
+    found = _mixed(docs, weights, total, default_weight, seed)
+    return found.select(*(F.col(f"`{c}`") for c in docs.columns if c != "copies"), F.col(_C + "copies").alias("copies"))
+
+
+def _mixed(docs: DataFrame, weights: dict[str, int] | None = None, total: int | None = None, default_weight: int = DEFAULT_WEIGHT, seed: str = SEED) -> DataFrame:
+    """docs with the column __mix_copies, of which `mix` tells."""
     weights = WEIGHTS if weights is None else weights
     w = F.lit(default_weight).cast("bigint")
     for name, value in weights.items():
@@ -75,24 +81,26 @@ def mix(docs: DataFrame, weights: dict[str, int] | None = None, total: int | Non
     full = ranked(docs).join(edge, F.col(_C + "source").eqNullSafe(F.col(_C + "s2")), "left")
     at_edge = F.col(_C + "bin") == F.col(_C + "edge")
     inside = F.coalesce(F.col(_C + "bin") < F.col(_C + "edge"), F.lit(False))
-    rest = full.where(~F.coalesce(at_edge, F.lit(False))).withColumn("copies", F.col(_C + "whole") + inside.cast("bigint"))
+    rest = full.where(~F.coalesce(at_edge, F.lit(False))).withColumn(_C + "copies", F.col(_C + "whole") + inside.cast("bigint"))
     rank = F.row_number().over(Window.partitionBy(_C + "source").orderBy(_C + "q", F.col("doc_id").asc_nulls_last(), F.col("n_chars").asc_nulls_last()))
-    border = full.where(at_edge).withColumn("copies", F.col(_C + "whole") + (rank <= F.col(_C + "left")).cast("bigint"))
-    names = [*(F.col(f"`{c}`") for c in docs.columns), "copies"]
-    return rest.where("copies > 0").select(*names).unionByName(border.where("copies > 0").select(*names))
+    border = full.where(at_edge).withColumn(_C + "copies", F.col(_C + "whole") + (rank <= F.col(_C + "left")).cast("bigint"))
+    names = [*(F.col(f"`{c}`") for c in docs.columns), _C + "copies"]
+    some = F.col(_C + "copies") > 0
+    return rest.where(some).select(*names).unionByName(border.where(some).select(*names))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole corpus mixed to equal weights of its sources: how many copies each document gets."""
+    """The whole corpus mixed to the WEIGHTS of its sources: how many copies each document gets, by `mix`."""
     return mix(read(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"))
 
 
+_CASES = " ".join(f"WHEN '{k}' THEN {v}" for k, v in WEIGHTS.items())
 OP5_SQL = f"""
 WITH d AS (
   SELECT doc_id, source, n_chars, 1 + CAST(floor(sqrt(CAST(greatest(coalesce(n_chars, 0), 0) AS DOUBLE))) AS BIGINT) AS x,
     (CAST(CAST('0x' || substr(md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0 AS u
   FROM documents),
-s AS (SELECT source, count(*) AS n, CAST(sum(x) AS BIGINT) AS all_x, {DEFAULT_WEIGHT} AS w FROM d GROUP BY source),
+s AS (SELECT source, count(*) AS n, CAST(sum(x) AS BIGINT) AS all_x, CASE source {_CASES} ELSE {DEFAULT_WEIGHT} END AS w FROM d GROUP BY source),
 c AS (SELECT source, all_x, w, sum(n) OVER () AS total, sum(w) OVER (ORDER BY source NULLS LAST) AS cum, sum(w) OVER () AS weight FROM s),
 t AS (SELECT source, all_x, CAST((total * cum) // weight - (total * (cum - w)) // weight AS BIGINT) AS target FROM c),
 e AS (SELECT doc_id, d.source, n_chars, u, all_x, (target * x) // all_x AS whole, (target * x) % all_x AS rem
@@ -106,6 +114,6 @@ WHERE whole + CASE WHEN rem > 0 AND rank <= k THEN 1 ELSE 0 END > 0
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix itself: every document as many times as it has copies, with the columns of docs."""
-    mixed = mix(docs).withColumn(_C + "copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("copies"))))
+    """The mix itself: every document as many times as it has copies, with the columns of docs, on the terms of `mix`."""
+    mixed = _mixed(docs).withColumn(_C + "copy", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col(_C + "copies"))))
     return mixed.select(*(F.col(f"`{c}`") for c in docs.columns))
