@@ -1,4 +1,6 @@
+import math
 import random
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -79,12 +81,124 @@ def test_recall_on_the_tables_with_few_labels(spark):
         assert p[y].mean() >= least and (~p[~y]).mean() > 0.98
 
 
+M, BITS = (1 << 64) - 1, toxicity.BUCKETS - 1
+
+
+def naive_mix(x):
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & M
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & M
+    return x ^ (x >> 31)
+
+
+def naive_grams(text):
+    """The buckets of a text's distinct words and their n-grams, one by one."""
+    base, byte_base = int(toxicity._BASE), int(toxicity.ts._BASE)
+    out = []
+    for word in {"".join(c for c in w if unicodedata.category(c)[0] in "LMN") for w in text.lower().split()} - {""}:
+        code = [naive_mix(ord(c) + 1) for c in word]
+        out.append(naive_mix(sum(c * pow(byte_base, k + 1, 1 << 64) for k, c in enumerate(code)) & M) & BITS)
+        code = [naive_mix(33), *code, naive_mix(33)]
+        for n in toxicity.GRAMS:
+            for k in range(len(code) - n + 1):
+                acc = 0
+                for c in code[k : k + n]:
+                    acc = (acc * base + c) & M
+                out.append(naive_mix((acc + n - 1) & M) & BITS)
+    return out
+
+
+def naive_probability(model, text):
+    grams = naive_grams(text)
+    if not grams:
+        return None
+    return 1 / (1 + math.exp(-(sum(model.weights[g] for g in grams) / (len(grams) + toxicity.PADDING) + model.bias)))
+
+
+def naive_train(texts, y):
+    """The same fit over dense vectors: a row of counts a text, the softmax written out."""
+    grams = [naive_grams(t) for t in texts]
+    used = np.array([k for k, g in enumerate(grams) if g])
+    known = np.bincount(y[used], minlength=2)
+    has = np.zeros((2, toxicity.BUCKETS))
+    for k in used:
+        has[y[k], list(set(grams[k]))] += 1
+
+    def log(k, n):
+        return 0 if k in (0, n) else k * math.log(k / n) + (n - k) * math.log(1 - k / n)
+
+    rows = [g for g in np.flatnonzero(has.sum(0)) if 2 * (log(has[0, g], known[0]) + log(has[1, g], known[1]) - log(has[:, g].sum(), known.sum())) >= toxicity.EVIDENCE]
+    at = {g: k for k, g in enumerate(rows)}
+    x = np.zeros((len(texts), len(rows)), np.float64)
+    for k in used:
+        for g in grams[k]:
+            if g in at:
+                x[k, at[g]] += 1 / (len(grams[k]) + toxicity.PADDING)
+    draw = np.random.RandomState(toxicity.SEED)
+    table = draw.uniform(-1, 1, (toxicity.BUCKETS, toxicity.DIMENSIONS))[rows] / toxicity.DIMENSIONS
+    soft, bias = np.zeros((toxicity.DIMENSIONS, 2)), np.zeros(2)
+    sums = [np.full(len(rows), 1e-8), np.full_like(soft, 1e-8), np.full_like(bias, 1e-8)]
+    weight = len(used) / (2 * known)
+    order = draw.permutation(used)
+    batches = [order[s : s + toxicity.BATCH] for s in range(0, len(order), toxicity.BATCH)]
+    for _ in range(max(toxicity.EPOCHS, -(-toxicity.LEAST_STEPS // len(batches)))):
+        for k in draw.permutation(len(batches)):
+            b = batches[k]
+            mean = x[b] @ table
+            z = mean @ soft + bias
+            p = np.exp(z) / np.exp(z).sum(1, keepdims=True)
+            p = (p - np.eye(2)[y[b]]) * weight[y[b]][:, None] / len(b)
+            steps = [x[b].T @ (p @ soft.T), mean.T @ p, p.sum(0)]
+            for s, g in zip(sums, ((steps[0] ** 2).mean(1), steps[1] ** 2, steps[2] ** 2)):
+                s += g
+            table -= toxicity.RATE * steps[0] / np.sqrt(sums[0])[:, None]
+            soft -= toxicity.RATE * steps[1] / np.sqrt(sums[1])
+            bias -= toxicity.RATE * steps[2] / np.sqrt(sums[2])
+    weights = np.zeros(toxicity.BUCKETS)
+    weights[rows] = table @ (soft[:, 1] - soft[:, 0])
+    return toxicity.Model(weights, float(bias[1] - bias[0]))
+
+
+def test_scores_equal_those_of_single_n_grams(model):
+    texts = corpus(20, 4)[0] + ["Stu-pid!  MORON\u0301 ünïcode", "a", "ab stupid", "x1 2y", "!?", ""]
+    want = [naive_probability(model, t) for t in texts]
+    got = [None if np.isnan(p) else p for p in model.probabilities(pa.array(texts))]
+    assert [w is None for w in want] == [g is None for g in got]
+    assert all(w is None or w == pytest.approx(g, abs=1e-9) for w, g in zip(want, got))
+
+
+def test_training_equals_a_dense_softmax():
+    texts, y = corpus(150, 9)
+    texts, y = [*texts, "", "!"], np.append(y, [0, 1])
+    fast, slow = toxicity.train(texts, y), naive_train(texts, y)
+    assert (fast.weights != 0).sum() == (slow.weights != 0).sum() > 10
+    held = corpus(60, 10)[0]
+    assert [naive_probability(slow, t) for t in held] == pytest.approx(fast.probabilities(pa.array(held)).tolist(), abs=2e-3)
+
+
+def test_the_query_against_brute_force(spark, sf):
+    """op8_toxicity over the whole table: the naive fit and the naive scores reject the same documents."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    model = naive_train(*toxicity.sample(docs, labels))
+    want = {r.doc_id: naive_probability(model, r.text) for r in docs.where("text IS NOT NULL").collect()}
+    near = {d for d, p in want.items() if p is not None and abs(p - toxicity.THRESHOLD) < 2e-3}
+    got = {r.doc_id: r.probability for r in toxicity.op8_toxicity(spark, sf).collect()}
+    assert set(got) - near == {d for d, p in want.items() if p is not None and p >= toxicity.THRESHOLD} - near and len(got) > 0
+    assert all(p == pytest.approx(want[d], abs=2e-3) for d, p in got.items())
+
+
+def test_the_sample_is_bounded_whatever_repeats(spark, docs):
+    df = docs([(1, f"text {k}") for k in range(500)] + [(k, "other") for k in range(2, 40)])
+    marks = spark.createDataFrame([(k % 40, k % 2) for k in range(400)] + [(None, 1), (1, None)], "doc_id bigint, toxic int")
+    texts, y = toxicity.sample(df, marks, most=10)
+    assert len(texts) == len(y) <= 10
+
+
 def test_stage_keeps_null_texts_and_columns(spark, docs, tmp_path):
     texts, labels = corpus(200, 7)
     rows = list(enumerate(texts)) + [(900, None), (901, ""), (None, "stupid moron stupid worthless"), (902, "the river"), (902, "the river")]
     marks = spark.createDataFrame([(i, int(t)) for i, t in enumerate(labels)] + [(None, 1), (3, None)], "doc_id bigint, toxic int")
     marks.write.parquet(f"{tmp_path}/labels.parquet")
-    df = docs(rows, "toxic probability")
+    df = docs(rows, "toxic probability __toxicity __toxic")
     out = toxicity.stage(spark, df, str(tmp_path))
     assert out.columns == df.columns
     ids = [r.doc_id for r in out.collect()]

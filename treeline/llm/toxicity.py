@@ -219,13 +219,18 @@ def train(texts: list[str], toxic: np.ndarray, epochs: int = EPOCHS, seed: int =
 
 
 def sample(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> tuple[list[str], np.ndarray]:
-    """At most `most` labelled texts with their toxic label, in an order fixed by the ids' hashes."""
-    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select("doc_id", F.col("toxic").cast("int").alias("__toxic"))
+    """At most `most` labelled texts with their toxic label, one a document, in an order fixed by the ids' hashes.
+
+    An id with several labels is toxic if one of them says so; of several texts
+    of one id the least counts. Rows without an id, a label or a text are left out.
+    """
+    known = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("__toxic"))
     known = known.withColumn("__h", F.xxhash64("doc_id"))
     halves = [known.where(F.col("__toxic") == c).orderBy("__h", "doc_id").limit(most // 2) for c in (0, 1)]
     picked = halves[0].unionByName(halves[1])
-    # at most `most` rows, so small enough to be broadcast
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "__toxic").collect()
+    # at most `most` rows, so small enough to be broadcast; and as many come to the driver
+    texts = docs.select("doc_id", "text").where("text IS NOT NULL").join(F.broadcast(picked), "doc_id")
+    rows = texts.groupBy("doc_id", "__toxic").agg(F.min("text").alias("text")).collect()
     rows.sort(key=lambda r: (r.doc_id, r["__toxic"], r.text))
     return [r.text for r in rows], np.array([r["__toxic"] for r in rows], np.int64)
 
@@ -234,12 +239,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_LABELLED) -> Model:
     return train(*sample(docs, labels, most))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """docs with the column __toxicity DOUBLE in [0, 1]; null where the text is null or has no letter or digit.
+def score(docs: DataFrame, model: Model, name: str = "__toxicity") -> DataFrame:
+    """docs with one more column `name` DOUBLE in [0, 1]; null where the text is null or has no letter or digit.
 
     Every row is scored by itself, so ties, repeats and further columns change
-    nothing; columns keep their names. Texts are scored whole.
+    nothing; columns keep their names, and one that is called `name` already is
+    an error. Texts are scored whole. An empty table gives no rows.
     """
+    if name in docs.columns:
+        raise ValueError(f"docs has a column {name}")
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.arrow_udf("double")
@@ -248,17 +256,20 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         return pa.array(p, pa.float64(), mask=np.isnan(p))
 
     # else a filter on the score would be pushed below it, and every text scored twice
-    return docs.withColumn("__toxicity", run.asNondeterministic()(F.col("text")))
+    return docs.withColumn(name, run.asNondeterministic()(F.col("text")))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents that are rejected as toxic, with their probability."""
+    """The documents that are rejected as toxic, with their probability: THRESHOLD or more. Those without a score aren't."""
     docs = read(spark, sf_dir, "documents")
     scored = score(docs.select("doc_id", "text"), fit(docs, read(spark, sf_dir, "labels")))
     return scored.where(F.col("__toxicity") >= THRESHOLD).select("doc_id", F.col("__toxicity").alias("probability"), F.lit(True).alias("toxic"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """docs without those that are toxic; a document without a score stays."""
-    scored = score(docs, fit(docs, read(spark, sf_dir, "labels")))
-    return scored.where(~F.coalesce(F.col("__toxicity") >= THRESHOLD, F.lit(False))).drop("__toxicity")
+    """The pipeline's first stage: docs without those that are toxic, by THRESHOLD or more; a document without a score stays. Columns of docs may have any names."""
+    name = "__toxicity"
+    while name in docs.columns:
+        name += "_"
+    scored = score(docs, fit(docs, read(spark, sf_dir, "labels")), name)
+    return scored.where(~F.coalesce(F.col(name) >= THRESHOLD, F.lit(False))).drop(name)
