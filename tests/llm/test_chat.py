@@ -1,5 +1,7 @@
 import json
 
+import pyarrow as pa
+
 from treeline.llm import chat
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string"
@@ -33,3 +35,20 @@ def test_nulls_repeats_long_and_empty(spark):
     assert got[1].prompt == "<|user|>\nx<|end|>\n" * 2 + "<|unknown|>\n<|end|>\n" and got[1].attachments == "[]"
     assert got[None].n_turns == 1 and got[2].n_tokens == 100_002 and got[3].n_tokens == 2
     assert run(spark, []) == {}
+
+
+def test_tokens_of_the_automaton(spark):
+    """Text tokens may be those of operator 1."""
+    from treeline.llm import bpe
+
+    rows = [(1, 0, "user", "Hello, wörld's <|end|> tokens"), (1, 1, "assistant", None), (2, 0, "user", ""), (3, 0, "user", "word " * 50_000)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.conv_id: r.n_tokens for r in chat.format_chats(df, chat.Visitor(chat.tokens(spark))).collect()}
+    automaton = bpe.compiled()
+    alone = lambda t: sum(len(x[2]) for x in bpe.encode_column(automaton, pa.array([t])))
+    assert got == {1: alone(rows[0][3]) + 2 * chat.TURN_TOKENS, 2: chat.TURN_TOKENS, 3: alone(rows[3][3]) + chat.TURN_TOKENS}
+
+
+def test_the_query_has_attachments_of_all_types(spark, sf):
+    found = [a for r in chat.op6_chat(spark, sf).collect() for a in json.loads(r.attachments)]
+    assert {a["type"] for a in found} == set(chat.TOKENS) and all(a["tokens"] > 0 and a["uri"] for a in found)

@@ -8,9 +8,14 @@ expands to are recorded. Numbers run through the whole conversation.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from treeline.llm import bpe
 from treeline.llm.shared import read
 
 PART = "struct<type:string,text:string,uri:string,units:bigint>"
@@ -20,6 +25,23 @@ TURN_TOKENS = 2
 _PIECE = r"[A-Za-z0-9_]+|[^A-Za-z0-9_ \t\r\n]"
 
 
+def pieces(text: Column) -> Column:
+    """Words and single marks of a text: a count that needs no vocabulary."""
+    return F.regexp_count(text, F.lit(_PIECE)).cast("bigint")
+
+
+def tokens(spark: SparkSession, vocabulary: str = bpe.VOCABULARY) -> Callable[[Column], Column]:
+    """A count by the automaton of operator 1."""
+    shared = spark.sparkContext.broadcast(bpe.compiled(vocabulary))
+
+    @F.arrow_udf("bigint")
+    def count(texts: pa.Array) -> pa.Array:
+        found = [np.zeros(0, np.int64), *(np.diff(off) for _, _, _, off, _ in bpe.encode_column(shared.value, texts))]
+        return pa.array(np.concatenate(found).astype(np.int64))
+
+    return count
+
+
 def parts_of(text: Column) -> Column:
     """A content as a list of parts: a JSON list of parts is taken apart, anything else is one text part, null none."""
     listed = F.when(F.substring(F.trim(text), 1, 1) == "[", F.from_json(text, f"array<{PART}>", {"mode": "PERMISSIVE"}))
@@ -29,12 +51,15 @@ def parts_of(text: Column) -> Column:
 
 
 class Visitor:
-    """What becomes of a part of each type, as columns over type, text, uri, units and number."""
+    """What becomes of a part of each type, as columns over type, text, uri, units and number. count: tokens of a text."""
+
+    def __init__(self, count: Callable[[Column], Column] = pieces):
+        self.count = count
 
     def text(self) -> tuple[Column, Column]:
         # a marker inside a text must not look like ours
         body = F.coalesce(F.replace(F.col("text"), F.lit("<|"), F.lit("< |")), F.lit(""))
-        return body, F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(_PIECE)).cast("bigint")
+        return body, self.count(F.coalesce(F.col("text"), F.lit("")))
 
     def image(self) -> tuple[Column, Column]:
         return self._attachment("image")
@@ -92,17 +117,46 @@ def format_chats(turns: DataFrame, visitor: Visitor | None = None) -> DataFrame:
     )
 
 
+def with_parts(turns: DataFrame) -> DataFrame:
+    """turns with typed contents: by turn number an image after the text, audio before it, or a document and an image; every fourth stays plain."""
+    uri = lambda kind: F.concat(F.lit(kind + "/"), F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    units = F.lit(1).cast("bigint") + F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(5))
+    none = F.lit(None).cast("string")
+    said = F.struct(F.lit("text").alias("type"), F.col("text"), none.alias("uri"), F.lit(None).cast("bigint").alias("units"))
+    image, audio, document = (F.struct(F.lit(k).alias("type"), none.alias("text"), uri(k).alias("uri"), units.alias("units")) for k in TOKENS)
+    kind = F.when(F.col("text").isNotNull(), F.pmod("turn", F.lit(4)))
+    typed = F.when(kind == 1, F.array(said, image)).when(kind == 2, F.array(audio, said)).when(kind == 3, F.array(said, document, image))
+    return turns.select("conv_id", "turn", "role", F.coalesce(F.to_json(typed), "text").alias("text"))
+
+
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return format_chats(read(spark, sf_dir, "conversations"))
+    """All conversations, with attachments of all types among their turns, as prompts: `format_chats` of the whole table."""
+    return format_chats(with_parts(read(spark, sf_dir, "conversations")))
 
 
 OP6_SQL = rf"""
 WITH t AS (
-  SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'unknown'), text NULLS LAST) AS n,
-    '<|' || coalesce(role, 'unknown') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '< |') || '<|end|>' || chr(10) AS piece,
-    len(regexp_extract_all(coalesce(text, ''), '{_PIECE}')) AS tokens
-  FROM conversations)
-SELECT conv_id, count(*) AS n_turns, string_agg(piece, '' ORDER BY n) AS prompt,
-  CAST(sum(tokens) + {TURN_TOKENS} * count(*) AS BIGINT) AS n_tokens, CAST(0 AS BIGINT) AS n_attachments, '[]' AS attachments
-FROM t GROUP BY conv_id
+  SELECT conv_id, turn, coalesce(role, 'unknown') AS role, coalesce(text, '') AS text, CASE WHEN text IS NULL OR turn IS NULL THEN 0 ELSE ((turn % 4) + 4) % 4 END AS k,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS LAST, coalesce(role, 'unknown'), text NULLS LAST) AS n,
+    1 + ((coalesce(conv_id, 0) % 5) + 5) % 5 AS units, concat_ws('-', CAST(conv_id AS VARCHAR), CAST(turn AS VARCHAR)) AS place
+  FROM conversations),
+b AS (SELECT *, coalesce(sum(CASE k WHEN 3 THEN 2 WHEN 0 THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t),
+a AS (
+  SELECT conv_id, before + 1 AS number, CASE k WHEN 1 THEN 'image' WHEN 2 THEN 'audio' ELSE 'document' END AS type, place, units FROM b WHERE k > 0
+  UNION ALL SELECT conv_id, before + 2, 'image', place, units FROM b WHERE k = 3),
+j AS (SELECT *, units * CASE type WHEN 'image' THEN {TOKENS["image"]} WHEN 'audio' THEN {TOKENS["audio"]} ELSE {TOKENS["document"]} END AS tokens FROM a),
+g AS (
+  SELECT conv_id, count(*) AS n_attachments, sum(tokens) AS tokens,
+    string_agg('{{"number":' || number || ',"type":"' || type || '","uri":"' || type || '/' || place || '","tokens":' || tokens || '}}', ',' ORDER BY number) AS listed
+  FROM j GROUP BY conv_id),
+p AS (
+  SELECT *, replace(text, '<|', '< |') AS body, len(regexp_extract_all(text, '{_PIECE}')) AS tokens FROM b),
+c AS (
+  SELECT conv_id, count(*) AS n_turns, sum(tokens) AS tokens,
+    string_agg('<|' || role || '|>' || chr(10) || CASE k WHEN 2 THEN '<|audio_' || (before + 1) || '|>' ELSE '' END || body
+      || CASE k WHEN 1 THEN '<|image_' || (before + 1) || '|>' WHEN 3 THEN '<|document_' || (before + 1) || '|><|image_' || (before + 2) || '|>' ELSE '' END || '<|end|>' || chr(10), '' ORDER BY n) AS prompt
+  FROM p GROUP BY conv_id)
+SELECT c.conv_id, n_turns, prompt, CAST(c.tokens + coalesce(g.tokens, 0) + {TURN_TOKENS} * n_turns AS BIGINT) AS n_tokens,
+  CAST(coalesce(n_attachments, 0) AS BIGINT) AS n_attachments, '[' || coalesce(listed, '') || ']' AS attachments
+FROM c LEFT JOIN g ON c.conv_id IS NOT DISTINCT FROM g.conv_id
 """
