@@ -38,6 +38,25 @@ def test_broken_streams_name_the_problem():
     assert stream() == []
 
 
+def test_records_behind_a_broken_member_come_back():
+    block = bytes(range(256)) * 40 + b"\x1f\x8b\x08" * 5
+    one = warc.member(block, {"WARC-Type": "resource", "WARC-Block-Digest": warc.digest(block)})
+    torn = one[: len(one) // 2] + b"\0" * 20 + one[len(one) // 2 + 20 :]
+    for broken in (torn, one[:60], b"noise \x1f\x8b\x08 noise", one[:-4]):
+        rows = stream(one, broken, one, one)
+        assert [r.get("block_digest_ok") for r in rows if not r["problem"]].count(True) == 3, broken[:10]
+        assert sum(bool(r["problem"]) for r in rows) >= 1
+
+
+def test_damaged_and_missing_files_of_a_table(spark, tmp_path):
+    one = warc.member(b"x" * 1000, {"WARC-Type": "resource", "WARC-Block-Digest": warc.digest(b"x" * 1000)})
+    (tmp_path / "a.gz").write_bytes(one + b"torn" + one)
+    (tmp_path / "b.gz").write_bytes(b"")
+    rows = warc.read_warc(spark, [f"file://{tmp_path}/{n}.gz" for n in "abc"]).collect()
+    by = {n: sorted(r.problem or "" for r in rows if r.file.endswith(f"{n}.gz")) for n in "abc"}
+    assert by == {"a": ["", "", "not a gzip member"], "b": [], "c": ["no such file"]}
+
+
 def test_pages_round_trip(spark, tmp_path):
     rows = [(1, "http://a.b/c", "<p>é</p>"), (1, "http://a.b/c", "<p>é</p>"), (None, None, None), (2, "http://x\ny", ""), (3, "u", "long " * 100_000)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").selectExpr("*", "'x' AS payload", "'y' AS file")

@@ -56,8 +56,11 @@ def member(block: bytes, headers: dict[str, str], level: int = 6) -> bytes:
     return pack.compress(head.encode() + block + b"\r\n\r\n") + pack.flush()
 
 
+_MAGIC = b"\x1f\x8b\x08"
+
+
 class Records:
-    """The records of one stream, as dicts. A broken member ends the stream with a row that names the problem."""
+    """The records of one stream, as dicts. A broken member is a row that names the problem; the next record is looked for behind it."""
 
     def __init__(self, read_block: Callable[[int], bytes]):
         self._read = read_block
@@ -69,20 +72,44 @@ class Records:
                 self._rest = self._read(BLOCK)
                 if not self._rest:
                     return
-            unpack, parts = zlib.decompressobj(31), []
+            unpack, parts, raw, problem = zlib.decompressobj(31), [], [], None
             try:
                 while not unpack.eof:
                     if not self._rest:
                         self._rest = self._read(BLOCK)
                         if not self._rest:
-                            yield b"".join(parts), "truncated member"
-                            return
+                            problem = "truncated member"
+                            break
+                    raw.append(self._rest)
                     parts.append(unpack.decompress(self._rest))
                     self._rest = unpack.unused_data if unpack.eof else b""
             except zlib.error:
-                yield b"".join(parts), "not a gzip member"
-                return
-            yield b"".join(parts), None
+                problem = "not a gzip member"
+            yield b"".join(parts), problem
+            if problem:
+                self._rest = self._next(b"".join(raw))
+
+    def _next(self, data: bytes) -> bytes:
+        """The stream from the next member on that begins as a record does; data: what was read from the start of the broken one."""
+        at, ended = 1, False
+        while True:
+            at = data.find(_MAGIC, at)
+            if at < 0:
+                more = self._read(BLOCK)
+                if not more:
+                    return b""
+                data, at = data[-2:] + more, 0
+                continue
+            if len(data) - at < 4096 and not ended:
+                more = self._read(BLOCK)
+                data, at, ended = data[at:] + more, 0, not more
+                continue
+            try:
+                if zlib.decompressobj(31).decompress(data[at : at + 4096], 5) == b"WARC/":
+                    return data[at:]
+            except zlib.error:
+                pass
+            at += 1
 
     def __iter__(self) -> Iterator[dict]:
         for n, (data, problem) in enumerate(self._members()):
@@ -133,7 +160,9 @@ def read_warc(spark: SparkSession, paths: list[str]) -> DataFrame:
 
     An empty list or file gives no rows. A record without digests has null in
     the two columns; one that can't be framed keeps what was read, with problem
-    set. Payloads are those of the HTTP message where the record holds one.
+    set. A damaged member is one row with a problem, and so is a file that can't
+    be opened; all other records come back. Payloads are those of the HTTP
+    message where the record holds one.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -141,7 +170,12 @@ def read_warc(spark: SparkSession, paths: list[str]) -> DataFrame:
         for frame in frames:
             for path in frame["file"]:
                 system, place = _filesystem(path)
-                with system.open_input_stream(place, compression=None) as stream:
+                try:
+                    opened = system.open_input_stream(place, compression=None)
+                except FileNotFoundError:
+                    yield pd.DataFrame([{**dict.fromkeys(names), "file": path, "record_no": 0, "problem": "no such file"}], columns=names)
+                    continue
+                with opened as stream:
                     rows, held = [], 0
                     for row in Records(stream.read):
                         rows.append({**dict.fromkeys(names), "file": path, **row})
