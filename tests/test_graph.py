@@ -44,6 +44,18 @@ def test_cycles_and_paths(spark, edges):
     assert graph.reach(edges, nodes(8)).count() == 0 and graph.reach(edges, nodes(5), edge_types=["Calls"]).count() == 0
 
 
+def test_long_chains_and_cycles_are_followed_to_the_end(spark):
+    chain = spark.createDataFrame([(i, i + 1, "Calls", 1.0) for i in range(14)], EDGE)
+    assert graph.reachability(chain).count() == 105 and graph.reachability(chain, 3).count() == 39
+    ring = spark.createDataFrame([(i, (i + 1) % 12, "Calls", 1.0) for i in range(12)], EDGE)
+    assert {(r.node_id, r.hops) for r in graph.cycles(ring).collect()} == {(i, 12) for i in range(12)}
+    nodes = lambda *x: spark.createDataFrame([(i,) for i in x], "node_id int")
+    (one,) = graph.paths_between(chain, nodes(0), nodes(14)).collect()
+    assert one.path == list(range(15))
+    none = graph.paths_between(chain, nodes(99), nodes(14))
+    assert none.count() == 0 and none.columns == ["start_id", "target_id", "path"]
+
+
 def test_update_equals_a_new_closure(spark):
     draw = random.Random(2)
     old = {(draw.randrange(15), draw.randrange(15)) for _ in range(25)}

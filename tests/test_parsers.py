@@ -1,7 +1,7 @@
 import json
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from treeline.operators import labels
@@ -11,6 +11,9 @@ from treeline.sources.parsers import parse, parse_ranges
 ANY = st.text(st.sampled_from("<>/=\"'ab {}[]():,;\n$A1é-!"), max_size=60)
 
 
+@example("{1:,", "json")
+@example('{"a":]', "json")
+@example('{"a": [1, {"b":}]}', "json")
 @settings(max_examples=300, deadline=None)
 @given(ANY, st.sampled_from(["html", "json", "yaml", "python", "javascript", "css"]))
 def test_any_text_gives_a_tree_whose_spans_nest(source, language):
@@ -104,3 +107,10 @@ def test_rejected_sources(spark):
     df = spark.createDataFrame([("a", "json", None), ("b", "json", ""), ("c", "json", "1" * 50), ("d", "json", "1")], "file_id string, language string, content string")
     assert {r.file_id: r.error.message for r in labels.rejected_sources(df, 20).collect()} == {"a": "no content", "b": "empty", "c": "too large"}
     assert {r.file_id for r in labels.parse_sources(df, 20).collect()} == {"d"}
+
+
+def test_deep_texts_are_total():
+    assert parse("[" * 2000 + "]" * 2000, "yaml").nodes
+    assert parse("x = " + "[" * 150 + "]" * 150, "python").nodes
+    assert parse("(" * 3000 + ")" * 3000, "javascript").nodes
+    assert parse("{" * 3000, "json").nodes

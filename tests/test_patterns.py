@@ -88,3 +88,13 @@ def test_a_failed_match_binds_nothing():
 
 def test_fixed_text():
     assert compile_pattern("print($A, 'needle')", "javascript").fixed_text() == "'needle'"
+
+
+def test_an_ellipsis_at_the_end_needs_a_candidate():
+    """Once the candidates have run out, goals that are left don't match, be it an ellipsis."""
+    def hits(pattern, source):
+        matcher = Matcher(compile_pattern(pattern, "javascript", selector="program"))
+        return sum(matcher.match(n, Env()) for n in parse(source, "javascript").nodes)
+
+    assert hits("a\n$$$B", "a") == 0
+    assert hits("a\n$$$B", "a\nb\nc") >= 1

@@ -74,6 +74,43 @@ def test_plans_equal_the_interpreter(forest, spec):
     assert {(r.file_id, r.pre) for r in structural.select(nodes, {"all": [spec]}).collect()} == want
 
 
+BARE = [
+    {"has": {"kind": "a"}}, {"has": {"kind": "a", "stopBy": "end"}}, {"has": {"regex": "x", "stopBy": {"kind": "c"}}}, {"has": {"kind": "b", "field": "f"}}, {"has": {"kind": "b", "field": "f", "stopBy": "end"}},
+    {"any": [{"has": {"kind": "a"}}, {"kind": "b"}, {"has": {"kind": "c", "stopBy": "end"}}]}, {"matches": "u"},
+]
+
+
+@pytest.mark.parametrize("spec", BARE)
+def test_a_rule_that_is_nothing_but_has_gives_what_it_finds(forest, spec):
+    trees, nodes = forest
+    utils = {"u": {"any": [{"kind": "c"}, {"has": {"kind": "b", "stopBy": "end"}}]}}
+    rule = from_dict({"id": "t", "language": "json", "rule": spec, "utils": utils}, need_kinds=False)
+    want = sorted((k, found[0].pre) for k, t in trees.items() for n in t.nodes if (found := rule.match(n)) is not None)
+    assert sorted((r.file_id, r.pre) for r in structural.select(nodes, spec, utils).collect()) == want
+
+
+def test_regexes_see_long_nodes(spark):
+    """Inner nodes beyond what a row keeps: the node table finds what the interpreter finds."""
+    from treeline.operators.rules import load
+
+    long = "<div><p>" + "word " * 2000 + "end</p></div>"
+    sources = spark.createDataFrame([("1", "a.html", "html", long), ("2", "b.html", "html", "<div><p>end</p></div>"), ("3", "c.html", "html", "<p>x</p>")], "file_id string, path string, language string, content string")
+    nodes = labels.parse_sources(sources)
+    assert nodes.where("file_id = '1' AND parent >= 0 AND kind = 'element' AND text IS NULL").count() == 2
+    spec = {"kind": "element", "regex": "end</p>"}
+    rule = load("id: t\nlanguage: html\nrule: {kind: element, regex: 'end</p>'}\n")
+    want = {(r.file_id, r.pre, r.text) for r in scan.scan_sources(sources, rule, report_unused=False).collect()}
+    assert {(r.file_id, r.pre, r.text) for r in structural.select(nodes, spec).collect()} == want and len(want) == 4
+    assert {(r.file_id, r.pre) for r in scan.scan_nodes(nodes, {"t": spec}).collect()} == {w[:2] for w in want}
+    assert {len(r.text) for r in structural.with_text(structural.select(nodes, {"kind": "element"}), nodes).where("file_id = '1'").collect()} == {len(long), len(long) - 11}
+
+
+def test_labels_of_a_deep_tree(spark):
+    rows = [("f", i, i - 1 if i else None, 0) for i in range(100)]
+    got = labels.label_tree(spark.createDataFrame(rows, "file_id string, id int, parent_id int, ord int")).collect()
+    assert {r.id: (r.pre, r.end_pre, r.depth) for r in got} == {i: (i, 99, i) for i in range(100)}
+
+
 def test_regions_nest_or_are_apart():
     for seed in range(30):
         t = random_tree(seed, 40)
@@ -120,7 +157,8 @@ def test_errors(forest, spec, code):
 
 def test_a_rule_about_the_node_alone_reaches_the_scan(spark, forest, tmp_path):
     forest[1].write.parquet(f"{tmp_path}/n")
-    df = structural.select(spark.read.parquet(f"{tmp_path}/n"), {"kind": "a", "any": [{"regex": "x"}, {"matches": "u"}]}, {"u": {"kind": "a", "not": {"regex": "y"}}})
+    point = {"line": 0, "column": 1}
+    df = structural.select(spark.read.parquet(f"{tmp_path}/n"), {"kind": "a", "any": [{"kind": "b"}, {"matches": "u"}]}, {"u": {"kind": "a", "not": {"range": {"start": point, "end": point}}}})
     plan = df.select("file_id", "pre")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(kind,a)" in plan and "Window" not in plan and "Exchange" not in plan
     assert "end_byte" not in plan.split("ReadSchema")[-1]

@@ -101,7 +101,7 @@ class Tree:
         return line, char - self._lines[line]
 
     def rows(self, file_id: str, most_text: int = 256) -> list[tuple]:
-        """The node table's rows; the text of a node that isn't a leaf is kept up to most_text characters."""
+        """The node table's rows. Leaves and the root have their text, other nodes up to most_text characters: longer ones are slices of the root's (`structural.with_text`)."""
         ascii_only = self.source.isascii()
         byte_at = None
         if not ascii_only:
@@ -113,7 +113,7 @@ class Tree:
             (l0, c0), (l1, c1) = self.position(n.start), self.position(n.end)
             b0, b1 = (n.start, n.end) if ascii_only else (byte_at[n.start], byte_at[n.end])
             named_idx = sum(1 for s in n.parent.children[: n.index] if s.named) if n.parent and n.named else None
-            text = n.text if n.is_leaf or n.end - n.start <= most_text else None
+            text = n.text if n.is_leaf or n.parent is None or n.end - n.start <= most_text else None
             out.append((
                 file_id, n.pre, n.end_pre, n.parent.pre if n.parent else -1, n.depth, n.index, named_idx, len(n.children), sum(c.named for c in n.children),
                 n.field, n.kind, n.named, n.error, n.missing, b0, b1, n.start, n.end, l0, c0, l1, c1, text,

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +32,8 @@ def callees(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return neighbours(edges, nodes, "out", ["Calls"])
 
 
-def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 10, reverse: bool = False, edge_types: list[str] | None = None) -> DataFrame:
-    """(start_id, node_id, hops): what starts (node_id) reach within max_depth, at the least number of hops.
+def reach(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, reverse: bool = False, edge_types: list[str] | None = None) -> DataFrame:
+    """(start_id, node_id, hops): what starts (node_id) reach, at the least number of hops; within max_depth where it is given.
 
     A fix-point: each round joins the newest rows with the edges and keeps what
     wasn't there, so cycles end. A start reaches itself only around a cycle.
@@ -42,7 +44,7 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 10, reverse: boo
     step = edges.select(F.col(a).alias("at"), F.col(b).alias("next")).distinct()
     newest = starts.select(F.col("node_id").alias("start_id"), F.col("node_id")).distinct()
     done = None
-    for hops in range(1, max_depth + 1):
+    for hops in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         found = newest.join(step, F.col("node_id") == F.col("at")).select("start_id", F.col("next").alias("node_id")).distinct()
         if done is not None:
             found = found.join(done, ["start_id", "node_id"], "left_anti")
@@ -51,25 +53,25 @@ def reach(edges: DataFrame, starts: DataFrame, max_depth: int = 10, reverse: boo
             break
         done = newest if done is None else done.unionByName(newest)
     if done is None:
-        return newest.select("start_id", "node_id", F.lit(0).alias("hops")).limit(0)
+        return newest.select("start_id", "node_id", F.lit(0).alias("hops")).where("false")
     return done
 
 
-def dependencies(edges: DataFrame, starts: DataFrame, max_depth: int = 10, edge_types: list[str] | None = None) -> DataFrame:
+def dependencies(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, edge_types: list[str] | None = None) -> DataFrame:
     return reach(edges, starts, max_depth, False, edge_types)
 
 
-def reverse_dependencies(edges: DataFrame, starts: DataFrame, max_depth: int = 10, edge_types: list[str] | None = None) -> DataFrame:
+def reverse_dependencies(edges: DataFrame, starts: DataFrame, max_depth: int | None = None, edge_types: list[str] | None = None) -> DataFrame:
     return reach(edges, starts, max_depth, True, edge_types)
 
 
-def reachability(edges: DataFrame, max_depth: int = 10) -> DataFrame:
+def reachability(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """The closure (ancestor_id, descendant_id, hops) from all sources."""
     starts = edges.select(F.col("source_id").alias("node_id")).distinct()
     return reach(edges, starts, max_depth).select(F.col("start_id").alias("ancestor_id"), F.col("node_id").alias("descendant_id"), "hops")
 
 
-def reachability_update(closure: DataFrame, old_edges: DataFrame, new_edges: DataFrame, max_depth: int = 10) -> DataFrame:
+def reachability_update(closure: DataFrame, old_edges: DataFrame, new_edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """The closure of new_edges: only ancestors of changed edges' sources are worked out again."""
     both = ["source_id", "target_id"]
     changed = old_edges.select(*both).exceptAll(new_edges.select(*both)).union(new_edges.select(*both).exceptAll(old_edges.select(*both)))
@@ -86,13 +88,13 @@ def is_reachable(closure: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.join(closure.select("ancestor_id", "descendant_id"), ["ancestor_id", "descendant_id"], "left_semi")
 
 
-def paths_between(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_depth: int = 6) -> DataFrame:
+def paths_between(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(start_id, target_id, path): one shortest path of each pair, the least of several in the order of ids."""
     step = edges.select(F.col("source_id").alias("at"), F.col("target_id").alias("next")).distinct()
     goals = targets.select(F.col("node_id").alias("next")).distinct()
     rows = starts.select(F.col("node_id").alias("start_id"), F.col("node_id").alias("at"), F.array("node_id").alias("path")).distinct()
-    found, seen = None, None
-    for _ in range(max_depth):
+    found, seen = rows.select("start_id", F.col("at").alias("target_id"), "path").where("false"), None
+    for _ in itertools.count() if max_depth is None else range(max_depth):
         rows = rows.join(step, "at").where(~F.array_contains("path", F.col("next")))
         rows = rows.select("start_id", F.col("next").alias("at"), F.concat("path", F.array("next")).alias("path"))
         rows = rows.groupBy("start_id", "at").agg(F.min("path").alias("path"))
@@ -103,11 +105,11 @@ def paths_between(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_d
             break
         seen = rows.select("start_id", "at") if seen is None else seen.unionByName(rows.select("start_id", "at"))
         hit = rows.join(goals, F.col("at") == F.col("next"), "left_semi").select("start_id", F.col("at").alias("target_id"), "path")
-        found = hit if found is None else found.unionByName(hit)
+        found = found.unionByName(hit)
     return found
 
 
-def cycles(edges: DataFrame, max_depth: int = 10) -> DataFrame:
+def cycles(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(node_id, hops): nodes on a cycle and the length of the shortest one through them."""
     return reachability(edges, max_depth).where("ancestor_id = descendant_id").select(F.col("ancestor_id").alias("node_id"), "hops")
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from treeline.model import COLUMNS, NODE
 from treeline.sources.languages import ALIASES
 from treeline.sources.parsers import parse, parse_ranges
+from treeline.storage import cut
 
 
 def label_paths(rows: DataFrame, levels: list[str], keep: list[str]) -> DataFrame:
@@ -36,7 +37,7 @@ def label_paths(rows: DataFrame, levels: list[str], keep: list[str]) -> DataFram
     return rows.withColumn("child_idx", index.cast("int")).select("file_id", "pre", "end_pre", "parent", "depth", "child_idx", *keep)
 
 
-def label_tree(edges: DataFrame, most_depth: int = 64) -> DataFrame:
+def label_tree(edges: DataFrame) -> DataFrame:
     """Labels (file_id, id, parent_id, ord) rows of any depth: file_id, id, pre, end_pre, parent, depth, child_idx.
 
     Siblings go by ord, then id. Paths grow by one join a level, each round
@@ -45,11 +46,12 @@ def label_tree(edges: DataFrame, most_depth: int = 64) -> DataFrame:
     a parent that isn't there - are left out.
     """
     step = F.array(F.struct(F.col("ord"), F.col("id")))
-    level = edges.where("parent_id IS NULL").select("file_id", "id", step.alias("path"))
+    level = cut(edges.where("parent_id IS NULL").select("file_id", "id", step.alias("path")), "level")
     done = level
-    for _ in range(most_depth):
+    while True:  # rows in a cycle are never reached, so the levels end
         level = edges.where("parent_id IS NOT NULL").alias("c").join(level.alias("p"), (F.col("c.file_id") == F.col("p.file_id")) & (F.col("c.parent_id") == F.col("p.id")))
         level = level.select("c.file_id", "c.id", F.concat("p.path", F.array(F.struct(F.col("c.ord").alias("ord"), F.col("c.id").alias("id")))).alias("path"))
+        level = cut(level, "level")
         if level.isEmpty():
             break
         done = done.unionByName(level)

@@ -339,7 +339,4 @@ class Matcher:
             if g == len(goals):
                 return all(_trailing_ok(x, strictness) for x in nodes[n:])
             if n >= len(nodes):
-                # an ellipsis at the end may stand for nothing
-                if not all(_leftover_ok(x, strictness) for x in goals[g:]):
-                    return False
-                return all(env.bind_many(x.var.name, []) for x in goals[g:] if x.var and x.var.many and x.var.name)
+                return False

@@ -239,7 +239,7 @@ def _needle(rule: Config) -> str:
 
 def scan_nodes(nodes: DataFrame, rules: dict[str, dict], severity: dict[str, str] | None = None, messages: dict[str, str] | None = None, utils: dict[str, dict] | None = None) -> DataFrame:
     """(file_id, pre, rule_id, severity, message) of rules without bindings: one scan, one sort, a column a rule."""
-    marked, pieces = nodes, []
+    marked, pieces = structural.with_text(nodes) if structural.reads_text(list(rules.values()), utils or {}) else nodes, []
     for rule_id, spec in sorted(rules.items()):
         level = (severity or {}).get(rule_id, "hint")
         if level == "off":

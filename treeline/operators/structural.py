@@ -46,13 +46,101 @@ def supported(spec: Any) -> bool:
     return "pattern" not in spec and all(supported(v) for k, v in spec.items() for v in (v if isinstance(v, list) else [v]))
 
 
+def with_text(nodes: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """nodes with the texts that are too long to be kept in their rows; roots: a table that has the files' roots, nodes by default.
+
+    Such a text is a slice of its root's. Only the long nodes are joined with
+    the roots, all others pass by.
+    """
+    if not {"start_char", "end_char", "parent", "text"} <= set(nodes.columns):
+        return nodes
+    long = F.coalesce(F.col("text").isNull() & (F.col("end_char") > F.col("start_char")), F.lit(False))
+    tops = (nodes if roots is None else roots).where("parent < 0").select(F.col("file_id").alias("__f"), F.col("text").alias("__t"), F.col("start_char").alias("__s"))
+    cut = F.substring(F.col("__t"), F.col("start_char") - F.col("__s") + 1, F.col("end_char") - F.col("start_char"))
+    held = nodes.where(long).join(tops, F.col("file_id") == F.col("__f"), "left")
+    return nodes.where(~long).unionByName(held.select(*(cut.alias(c) if c == "text" else F.col(f"`{c}`") for c in nodes.columns)))
+
+
+def _without(utils: dict[str, dict], name: str) -> dict[str, dict]:
+    return {k: v for k, v in utils.items() if k != name}
+
+
+def reads_text(spec: Any, utils: dict[str, dict]) -> bool:
+    """Whether a rule has a regex anywhere."""
+    if isinstance(spec, list):
+        return any(reads_text(v, utils) for v in spec)
+    if not isinstance(spec, dict):
+        return False
+    if "regex" in spec or spec.get("matches") in utils and reads_text(utils[spec["matches"]], _without(utils, spec["matches"])):
+        return True
+    return any(reads_text(v, utils) for k, v in spec.items() if k != "matches")
+
+
+def rebinds(spec: dict, utils: dict[str, dict]) -> bool:
+    """Whether a rule can stand for another node than the one it is tried on: nothing but `has`, or an `any` or `matches` that comes down to one."""
+    if set(spec) == {"has"}:
+        return True
+    if set(spec) == {"any"}:
+        return any(rebinds(v, utils) for v in spec["any"])
+    return set(spec) == {"matches"} and spec["matches"] in utils and rebinds(utils[spec["matches"]], _without(utils, spec["matches"]))
+
+
 def select(nodes: DataFrame, spec: dict, utils: dict[str, dict] | None = None) -> DataFrame:
-    """The nodes that match a rule."""
-    alone = condition(spec, utils or {})
+    """The nodes that match a rule. A regex sees texts of any length.
+
+    As in the interpreter, a rule that is nothing but `has` gives the descendant
+    that it finds, once for each node that has it, and so does an `any` or a
+    `matches` that comes down to one.
+    """
+    utils = utils or {}
+    read = with_text(nodes) if reads_text(spec, utils) else nodes
+    alone = condition(spec, utils)
     if alone is not None:
-        return nodes.where(alone)
-    marked, column = mark(nodes, spec, utils or {})
-    return marked.where(column).select(*nodes.columns)
+        return read.where(alone)
+    return _bound(read, spec, utils, F.lit(True)).select(*nodes.columns)
+
+
+def _bound(nodes: DataFrame, spec: dict, utils: dict[str, dict], where: Column) -> DataFrame:
+    """What a rule stands for on those nodes for which `where` holds."""
+    if rebinds(spec, utils):
+        if "has" in spec:
+            return _found_by_has(nodes, spec["has"], utils, where)
+        if "matches" in spec:
+            return _bound(nodes, utils[spec["matches"]], _without(utils, spec["matches"]), where)
+        out = None
+        for v in spec["any"]:  # a node goes by the first alternative that it matches
+            nodes, name = mark(nodes, v, utils)
+            part = _bound(nodes, v, utils, where & F.col(name))
+            out = part.drop(*(c for c in part.columns if c.startswith("__m"))) if out is None else out.unionByName(part.drop(*(c for c in part.columns if c.startswith("__m"))))
+            where = where & ~F.col(name)
+        return out
+    marked, column = mark(nodes, spec, utils)
+    return marked.where(where & F.col(column))
+
+
+def _found_by_has(nodes: DataFrame, value: dict, utils: dict[str, dict], where: Column) -> DataFrame:
+    """For each node that `has` holds for, the descendant that it finds."""
+    inner, stop, field = {k: v for k, v in value.items() if k not in ("stopBy", "field")}, value.get("stopBy", "neighbor"), value.get("field")
+    if rebinds(inner, utils) or field is not None and isinstance(stop, dict):
+        raise RuleError("needs_interpreter", "has")
+    marked, hit = mark(nodes, inner, utils)
+    marked = marked.withColumn("__w", where)
+    if field is not None:
+        first = F.row_number().over(Window.partitionBy("file_id", "parent").orderBy("child_idx"))
+        below = F.min(F.when(F.col(hit), F.col("pre"))).over(_doc().rowsBetween(0, Window.unboundedFollowing))
+        at = F.when(F.col(hit), F.col("pre")) if stop == "neighbor" else F.when(F.col("__b") <= F.col("end_pre"), F.col("__b"))
+        kids = marked.withColumn("__b", below).where((F.col("field") == field) & (F.col("parent") >= 0)).withColumn("__n", first).where("__n = 1")
+        found = kids.select("file_id", F.col("parent").alias("__up"), at.alias("pre")).where("pre IS NOT NULL")
+    elif stop == "neighbor":
+        found = marked.where(F.col(hit) & (F.col("parent") >= 0)).groupBy("file_id", F.col("parent").alias("__up")).agg(F.min("pre").alias("pre"))
+    elif stop == "end":
+        below = F.min(F.when(F.col(hit), F.col("pre"))).over(_after())
+        found = marked.withColumn("__b", below).where("__b <= end_pre").select("file_id", F.col("pre").alias("__up"), F.col("__b").alias("pre"))
+    else:
+        marked, halt = mark(marked, stop, utils)
+        found = _free_pairs(marked, hit, halt).groupBy("file_id", F.col("pre").alias("__up")).agg(F.min("d_pre").alias("pre"))
+    ups = marked.where("__w").select("file_id", F.col("pre").alias("__up"))
+    return nodes.join(found.join(ups, ["file_id", "__up"]), ["file_id", "pre"]).drop("__up")
 
 
 def condition(spec: dict, utils: dict[str, dict]) -> Column | None:
@@ -236,14 +324,17 @@ def _has(nodes: DataFrame, hit: str, stop: Any, halt: str | None, field: str | N
         return _join(nodes, kids, ["file_id", "pre"])
     if stop == "end":
         return _named(nodes, F.min(F.when(F.col(hit), F.col("pre"))).over(_after()) <= F.col("end_pre"))
-    # a descendant counts for the ancestors from its nearest one that stops on upwards to none above it
+    return _join(nodes, _free_pairs(nodes, hit, halt).select("file_id", "pre").distinct(), ["file_id", "pre"])
+
+
+def _free_pairs(nodes: DataFrame, hit: str, halt: str) -> DataFrame:
+    """(file_id, pre, d_pre): descendants that hit, for the ancestors from their nearest one that stops on down to them."""
     low = nodes.where(F.col(hit)).select("file_id", F.col("pre").alias("d_pre"))
     stops = nodes.where(F.col(halt)).select("file_id", F.col("pre").alias("s_pre"), F.col("end_pre").alias("s_end"))
     nearest = low.join(stops, "file_id").where("s_pre < d_pre AND d_pre <= s_end").groupBy("file_id", "d_pre").agg(F.max("s_pre").alias("s_pre"))
     low = low.join(nearest, ["file_id", "d_pre"], "left")
     up = nodes.select("file_id", "pre", "end_pre")
-    found = up.join(low, "file_id").where("pre < d_pre AND d_pre <= end_pre AND pre >= coalesce(s_pre, -1)").select("file_id", "pre").distinct()
-    return _join(nodes, found, ["file_id", "pre"])
+    return up.join(low, "file_id").where("pre < d_pre AND d_pre <= end_pre AND pre >= coalesce(s_pre, -1)").select("file_id", "pre", "d_pre")
 
 
 def _has_field(nodes: DataFrame, hit: str, stop: Any, halt: str | None, field: str) -> tuple[DataFrame, str]:

@@ -21,7 +21,13 @@ IMPORTS = {
     "typescript": "{kind: statement, regex: '^import '}",
     "rust": "{kind: statement, regex: '^use '}",
 }
-SYMBOL_KINDS = ("function", "method", "class", "struct", "enum", "interface", "trait", "module", "variable", "constant", "type", "field", "parameter")
+#: Node kinds by the symbol that they declare.
+SYMBOL_KINDS = {
+    **{f"{what}_{form}": what for what in ("function", "class", "type", "method") for form in ("declaration", "definition")},
+    **{f"{what}_declaration": what for what in ("interface", "variable", "module", "namespace", "enum", "field", "property", "constructor")},
+    "let_declaration": "variable", "const_declaration": "constant", "constant": "constant",
+}
+VISIBILITIES = {"pub": "public", "public": "public", "priv": "private", "private": "private", "protected": "protected", "internal": "internal", "package": "package"}
 
 
 def _scan(sources: DataFrame, forms: dict[str, str]) -> DataFrame:
@@ -60,18 +66,19 @@ def argument_count(args: Column) -> Column:
 
 
 def symbol_kind(kind: Column) -> Column:
-    """One of SYMBOL_KINDS by the node kind's words, or other."""
-    out = F.lit("other")
-    for name in reversed(SYMBOL_KINDS):
-        out = F.when(F.lower(kind).contains(name), name).otherwise(out)
-    return out
+    """What a node kind declares, by SYMBOL_KINDS; any other kind is `other:` and itself."""
+    return _named(SYMBOL_KINDS, kind)
 
 
 def visibility(modifier: Column) -> Column:
-    low = F.lower(F.trim(modifier))
-    out = F.lit("other")
-    for words, value in ((("pub", "public"), "public"), (("priv", "private"), "private"), (("protected",), "protected"), (("internal",), "internal"), (("package",), "package")):
-        out = F.when(low.isin(*words), value).otherwise(out)
+    """One of VISIBILITIES; any other modifier is `other:` and itself."""
+    return _named(VISIBILITIES, modifier)
+
+
+def _named(names: dict[str, str], value: Column) -> Column:
+    out = F.concat(F.lit("other:"), value)
+    for word, name in names.items():
+        out = F.when(value == word, name).otherwise(out)
     return out
 
 

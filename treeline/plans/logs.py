@@ -88,9 +88,9 @@ def cache_hit_rate(spark, sf_dir):
     return analytics.cache_stats(trees.lineage(spark, sf_dir), "node_id")
 
 
-@query("stale_nodes", "SELECT user_id AS node_id, max(ts) AS last_access FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-25 00:00:00'")
+@query("stale_nodes", "SELECT user_id AS node_id, max(ts) AS last_access FROM events GROUP BY 1 HAVING max(ts) < TIMESTAMP '2024-01-30 12:00:00'")
 def stale_nodes(spark, sf_dir):
-    return analytics.stale(trees.lineage(spark, sf_dir), "2024-01-30 00:00:00", 5 * 86400)
+    return analytics.stale(trees.lineage(spark, sf_dir), "2024-01-31 00:00:00", 12 * 3600)
 
 
 @query("lineage_timeline", "SELECT user_id AS node_id, string_agg(event_type, '>' ORDER BY ts, event_id) AS steps, count(*) AS n FROM events GROUP BY 1")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from treeline.operators import scan, structural
+from treeline.operators import labels, scan, structural
 from treeline.plans.registry import query
 from treeline.sources import trees
 
@@ -55,7 +55,14 @@ _rule("rule_all", {"all": [URGENT, {"has": RETURNED}]}, _ORDER + " WHERE t = '1-
 _rule("rule_any", {"any": [URGENT, RETURNED]}, _ORDER + " WHERE t = '1-URGENT' UNION ALL " + _LINE + " WHERE t = 'R'")
 _rule("rule_not", {"kind": "order", "not": {"has": RETURNED}}, _ORDER + " WHERE NOT EXISTS (SELECT 1 FROM l WHERE l.ok = o.ok AND l.t = 'R')")
 _rule("rule_matches_util", {"matches": "bad"}, _LINE + " JOIN o ON l.ok = o.ok WHERE l.t = 'R' AND o.t = '1-URGENT'")
-_rule("kind_error", {"kind": "ERROR"}, _ORDER + " WHERE FALSE")
+
+
+@query("kind_error", """SELECT event_id, '!' AS text, CAST(position('!' IN props || '!') - 1 AS INT) AS start_char FROM events""")
+def kind_error(spark, sf_dir):
+    """What the parser can't understand: a mark behind each of the events' props."""
+    sources = trees.prop_sources(spark, sf_dir).withColumn("content", F.concat("content", F.lit("!")))
+    found = structural.select(labels.parse_sources(sources), {"kind": "ERROR"})
+    return found.select(F.col("file_id").cast("bigint").alias("event_id"), "text", "start_char")
 
 
 @query("match_all_none", WITH + "SELECT 5 AS n_kinds, (SELECT 3 * count(*) FROM c) + (SELECT count(*) FROM o) + (SELECT count(*) FROM l) AS n_all, CAST(0 AS BIGINT) AS n_none")
@@ -132,8 +139,8 @@ _turns("follows_prev", {**USER, "follows": REPLY}, _T + "WHERE role = 'user' AND
 _turns("precedes_end", {**USER, "precedes": {**REPLY, "stopBy": "end"}}, _T + "WHERE role = 'user' AND EXISTS (SELECT 1 FROM conversations x WHERE x.conv_id = t.conv_id AND x.turn > t.turn AND x.role = 'assistant')")
 _turns("follows_end", {**USER, "follows": {"regex": "(?i)\\bthe\\b", "stopBy": "end"}}, _T + "WHERE role = 'user' AND EXISTS (SELECT 1 FROM conversations x WHERE x.conv_id = t.conv_id AND x.turn < t.turn AND regexp_matches(x.text, '(?i)\\bthe\\b'))")
 _turns(
-    "follows_stop_rule", {**USER, "follows": {**USER, "regex": "\\?|is", "stopBy": {"kind": "assistant"}}},
-    _T + "WHERE role = 'user' AND EXISTS (SELECT 1 FROM conversations x WHERE x.conv_id = t.conv_id AND x.turn < t.turn AND x.role = 'user' AND regexp_matches(x.text, '\\?|is')"
+    "follows_stop_rule", {"follows": {"any": [USER, {"kind": "system"}], "regex": "[ae]", "stopBy": REPLY}},
+    _T + "WHERE EXISTS (SELECT 1 FROM conversations x WHERE x.conv_id = t.conv_id AND x.turn < t.turn AND x.role IN ('user', 'system') AND regexp_matches(x.text, '[ae]')"
     " AND NOT EXISTS (SELECT 1 FROM conversations y WHERE y.conv_id = t.conv_id AND y.turn > x.turn AND y.turn < t.turn AND y.role = 'assistant'))",
 )
 

@@ -52,7 +52,8 @@ def html_embedded_lang(spark, sf_dir):
 def html_embedded_calls(spark, sf_dir):
     """Calls in the pages' scripts, parsed in place."""
     ranges = labels.embedded_ranges(trees.pages(spark, sf_dir)).where("language = 'javascript'")
-    found = structural.select(labels.parse_embedded(trees.page_sources(spark, sf_dir), ranges), {"kind": "call"})
+    nodes = labels.parse_embedded(trees.page_sources(spark, sf_dir), ranges)
+    found = structural.with_text(structural.select(nodes, {"kind": "call"}), nodes)
     return found.select(F.split("file_id", "#")[0].cast("bigint").alias("page_id"), F.col("text").alias("call"))
 
 
@@ -60,15 +61,16 @@ def html_embedded_calls(spark, sf_dir):
 def json_pairs(spark, sf_dir):
     nodes = trees.props(spark, sf_dir)
     pairs = structural.select(nodes, {"kind": "pair"}).select("file_id", F.col("pre").alias("parent"))
-    parts = nodes.where("field IN ('key', 'value')").join(pairs, ["file_id", "parent"])
+    parts = structural.with_text(nodes.where("field IN ('key', 'value')"), nodes).join(pairs, ["file_id", "parent"])
     pick = lambda f: F.max(F.when(F.col("field") == f, F.regexp_replace("text", '^"|"$', "")))
     return parts.groupBy("file_id", "parent").agg(pick("key").alias("key"), pick("value").alias("value")).select(F.col("file_id").cast("bigint").alias("event_id"), "key", "value")
 
 
 @query("range_match", """SELECT event_id, regexp_extract(props, '"[a-z]"') AS text FROM events WHERE regexp_matches(props, '^\\{"[a-z]"')""")
 def range_match(spark, sf_dir):
-    found = structural.select(trees.props(spark, sf_dir), {"kind": "string", "range": {"start": {"line": 0, "column": 1}, "end": {"line": 0, "column": 4}}})
-    return found.select(F.col("file_id").cast("bigint").alias("event_id"), "text")
+    nodes = trees.props(spark, sf_dir)
+    found = structural.select(nodes, {"kind": "string", "range": {"start": {"line": 0, "column": 1}, "end": {"line": 0, "column": 4}}})
+    return structural.with_text(found, nodes).select(F.col("file_id").cast("bigint").alias("event_id"), "text")
 
 
 @query("node_spans", "SELECT page_id, CAST(strlen(html) AS BIGINT) AS bytes, CAST(length(html) AS BIGINT) AS chars, CAST(len(string_split(html, chr(10))) AS BIGINT) AS lines FROM pages WHERE html <> ''")
@@ -198,11 +200,17 @@ def line_table(spark, sf_dir):
     return trees.lines(spark, sf_dir).select("doc_id", F.col("line").cast("bigint").alias("line"), "start_char", "end_char")
 
 
-@query("symbol_kinds", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 'public' WHEN '2-HIGH' THEN 'private' WHEN '3-MEDIUM' THEN 'protected' ELSE 'other' END AS visibility, CASE o_orderstatus WHEN 'F' THEN 'function' WHEN 'O' THEN 'class' ELSE 'other' END AS symbol FROM orders")
+_KINDS = "function_declaration function_definition class_declaration class_definition interface_declaration variable_declaration let_declaration const_declaration constant type_declaration type_definition module_declaration namespace_declaration enum_declaration field_declaration property_declaration method_declaration method_definition constructor_declaration comment class_body Class_Declaration".split()
+_SYMBOLS = "function function class class interface variable variable constant constant type type module namespace enum field property method method constructor other:comment other:class_body other:Class_Declaration".split()
+_MODIFIERS = "pub public priv private protected internal package static Pub".split()
+_SEEN = "public public private private protected internal package other:static other:Pub".split()
+
+
+@query("symbol_kinds", f"SELECT o_orderkey, ({_SEEN})[o_orderkey % {len(_SEEN)} + 1] AS visibility, ({_SYMBOLS})[o_orderkey % {len(_SYMBOLS)} + 1] AS symbol FROM orders")
 def symbol_kinds(spark, sf_dir):
-    modifier = F.when(F.col("o_orderpriority") == "1-URGENT", " Pub").when(F.col("o_orderpriority") == "2-HIGH", "private").when(F.col("o_orderpriority") == "3-MEDIUM", "protected").otherwise("static")
-    kind = F.when(F.col("o_orderstatus") == "F", "function_definition").when(F.col("o_orderstatus") == "O", "Class_Declaration").otherwise("comment")
-    return read(spark, sf_dir, "orders").select("o_orderkey", symbols.visibility(modifier).alias("visibility"), symbols.symbol_kind(kind).alias("symbol"))
+    """Every kind and modifier that has a name of its own, and some that have none."""
+    pick = lambda words: F.element_at(F.array(*map(F.lit, words)), (F.col("o_orderkey") % len(words) + 1).cast("int"))
+    return read(spark, sf_dir, "orders").select("o_orderkey", symbols.visibility(pick(_MODIFIERS)).alias("visibility"), symbols.symbol_kind(pick(_KINDS)).alias("symbol"))
 
 
 # --- patterns, scans and rewriting ------------------------------------------

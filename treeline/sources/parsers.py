@@ -143,7 +143,7 @@ def parse_json(source: str) -> Node:
         top = stack[-1]
         if t in "}]" and t:
             while stack[-1].kind == "pair":
-                stack.pop().end = a
+                stack.pop()
             want = {"}": "object", "]": "array"}[t]
             if stack[-1].kind == want:
                 stack[-1].add(Node(t, a, b, named=False))
@@ -157,6 +157,8 @@ def parse_json(source: str) -> Node:
             stack[-1].add(Node(t, a, b, named=False))
         elif t == ":":
             top.add(Node(t, a, b, named=False, error=top.kind != "pair"))
+            if top.kind == "pair":
+                top.end = b
         else:
             if top.kind == "object" and not (t.startswith("$$$")):
                 top = top.add(Node("pair", a, b))
@@ -219,7 +221,7 @@ def parse_yaml(source: str) -> Node:
             if document is not None:
                 node = root.add(Node("document", document.start_mark.index, max(document.start_mark.index, document.end_mark.index)))
                 build(document, node)
-    except yaml.YAMLError:
+    except (yaml.YAMLError, RecursionError):
         root.add(Node("ERROR", root.children[-1].end if root.children else 0, len(source), error=True))
     return root
 
@@ -283,8 +285,11 @@ def parse_python(source: str) -> Node:
                 if isinstance(child, ast.AST):
                     visit(child, here, _PY_FIELDS.get((name, part), part if part in ("body", "value", "test") else None))
 
-    visit(module, root, None)
-    _hang(root, leaves)
+    try:
+        visit(module, root, None)
+        _hang(root, leaves)
+    except RecursionError:
+        return parse_brackets(source)
     for node in spans:  # the name of a definition is the identifier after def or class
         if node.kind in ("function_definition", "class_definition"):
             for child in node.children:

@@ -10,6 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from pyspark.sql.types import StructType
 
 from treeline.operators.analytics import mean_ms
+from treeline.storage import exists
 
 LATENESS = "10 minutes"
 
@@ -57,10 +58,9 @@ def graph_updates(versions: DataFrame, state: str, sink: str, checkpoint: str) -
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         newest = batch.groupBy("file_id").agg(F.max_by("content_hash", "version").alias("content_hash"))
-        try:
-            old = spark.read.parquet(f"{state}/{batch_id - 1}")
-        except Exception:  # the first batch has no state before it
-            old = newest.limit(0)
+        before = f"{state}/{batch_id - 1}"
+        # only the first batch has no state before it; a state that can't be read is an error
+        old = spark.read.parquet(before) if exists(spark, before) else newest.where("false")
         changes = changed_files(old.join(newest.select("file_id"), "file_id", "left_semi"), newest).where("change <> 'same'")
         changes.withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
         old.join(newest.select("file_id"), "file_id", "left_anti").unionByName(newest).write.mode("overwrite").parquet(f"{state}/{batch_id}")
