@@ -1,13 +1,38 @@
+import math
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from treeline.llm import simhash
+from treeline.llm.shared import least_rows, settled
 
 
 def brute_roots(x):
-    return simhash._roots(len(x), iter([simhash._brute(x, np.arange(len(x)))]))
+    root = np.arange(len(x))
+    for a, b in simhash._brute(x, np.arange(len(x))):
+        least_rows(root, a, b)
+    return settled(root)
+
+
+def flipped(draw, base, most):
+    """Each fingerprint with `most` of its bits turned."""
+    bits = np.unpackbits(base.view(np.uint8).reshape(len(base), -1), axis=1)
+    for row in bits:
+        row[draw.choice(simhash.BITS, most, replace=False)] ^= 1
+    return np.packbits(bits, axis=1).view(np.uint64)
+
+
+def random_prints(draw, n):
+    return np.packbits(draw.randint(0, 2, (n, simhash.BITS)).astype(np.uint8), axis=1).view(np.uint64)
+
+
+def searched(x, level=0, recall=simhash.RECALL):
+    root = np.arange(len(x))
+    simhash._search(x, np.arange(len(x)), root, level, 7, None, recall)
+    return settled(root)
 
 
 def near_copies(seed, groups=60, size=5, words=150, changed=2):
@@ -30,21 +55,53 @@ def test_near_copies_are_grouped_and_others_arent(spark, docs):
     assert got == {d: 5 * g for d, _, g in rows if g is not None}
 
 
-def test_recursion_has_the_recall_against_brute_force():
-    """Pairs somewhat closer than the limit are found, list by list, at least as often as asked for."""
+@pytest.mark.parametrize(("n", "apart"), [(12_000, 0), (3000, 8), (40_000, 0)])
+def test_recursion_has_the_recall_against_brute_force(n, apart):
+    """Pairs at the limit itself, and somewhat closer ones, are found at least as often as asked for."""
     draw = np.random.RandomState(3)
-    base = np.packbits(draw.randint(0, 2, (6000, simhash.BITS)).astype(np.uint8), axis=1).view(np.uint64)
-    bits = np.unpackbits(base[:3000].view(np.uint8).reshape(3000, -1), axis=1)
-    for row in bits:
-        row[draw.choice(simhash.BITS, simhash.DISTANCE - 8, replace=False)] ^= 1
-    x = np.concatenate([base, np.packbits(bits, axis=1).view(np.uint64)])
-    want = set(zip(*(v.tolist() for v in simhash._brute(x, np.arange(len(x))))))
-    levels = simhash.depth_of(len(x), simhash.BRUTE)
-    assert levels >= 1 and len(want) >= 3000
-    got = set()
-    for a, b in simhash._search(x, np.arange(len(x)), 0, levels, 7):
-        got |= set(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist()))
-    assert got <= want and len(got) >= 0.9 * len(want)
+    base = random_prints(draw, n)
+    x = np.concatenate([base, flipped(draw, base[:1500], simhash.DISTANCE - apart)])
+    root = searched(x)
+    found = (root[np.arange(1500)] == root[n : n + 1500]).mean()
+    assert found >= simhash.RECALL - 0.015 and (np.bincount(root, minlength=len(x)) > 1).sum() <= 1500
+
+
+def test_the_spread_level_has_its_recall_and_grows_without_a_step():
+    """Rows that a fingerprint sends, as lists are held down to LOCAL: never a jump, and far less than in proportion."""
+    draw = np.random.RandomState(4)
+    base = random_prints(draw, 3000)
+    other = flipped(draw, base, simhash.DISTANCE)
+    before = None
+    for n in (10**5 * 2**k for k in range(11)):
+        kept = simhash.spread_kept(n)
+        sent = simhash.filters_needed(simhash.BITS // 2, simhash.RECALL**0.5, kept) * sum(math.comb(128, i) for i in range(simhash._weight_limit(128, kept) + 1)) / 2.0**128
+        assert before is None or sent <= before * 1.6
+        assert kept * n <= simhash.LOCAL + 1 or kept == simhash.KEPT
+        assert sent < 100
+        before = sent
+    together = np.zeros(3000, bool)
+    for _, rows in simhash.Filters(simhash.SEED, 0, simhash.RECALL**0.5).passing(np.concatenate([base, other])):
+        low = np.zeros(6000, bool)
+        low[rows] = True
+        together |= low[:3000] & low[3000:]
+    assert together.mean() >= simhash.RECALL**0.5 - 0.015
+
+
+def test_a_large_group_of_close_fingerprints_in_one_list():
+    """50,000 different fingerprints around one centre, and others: in seconds, and as by brute force where that is feasible."""
+    draw = np.random.RandomState(6)
+    x = np.concatenate([flipped(draw, np.repeat(random_prints(draw, 1), 50_000, axis=0), 10), random_prints(draw, 5000)])
+    began = time.monotonic()
+    root = searched(x)
+    assert (root[:50_000] == 0).all() and np.array_equal(root[50_000:], np.arange(50_000, 55_000))
+    assert time.monotonic() - began < 60
+    # a chain of groups, each within the limit of the next one's rim, and rows that only reach the rim
+    centre = random_prints(draw, 1)
+    chain = [centre]
+    for _ in range(6):
+        chain.append(flipped(draw, chain[-1], 30))
+    y = np.concatenate([*(flipped(draw, np.repeat(c, 300, axis=0), 14) for c in chain), random_prints(draw, 900)])
+    assert np.array_equal(searched(y), brute_roots(y))
 
 
 def test_spread_over_tasks_as_within_one(spark):

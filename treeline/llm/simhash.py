@@ -10,16 +10,24 @@ others. Each filter's list is filtered again on the coordinates left, and so on
 until lists are small, which are compared by brute force. The number of
 filters at each level follows from the recall that is asked for.
 
-Equal fingerprints are one to begin with. The first levels spread the lists
-over the cluster; from a size that fits a task on, the recursion stays inside
-it. A list gives each of its close fingerprints one link, to the least of its
-component there, so that thousands of copies cost thousands of links.
+Equal fingerprints are one to begin with. One level spreads the lists over the
+cluster: its filters keep KEPT of all fingerprints, or less where lists would
+outgrow LOCAL, so that the lists of a fingerprint grow slowly and without a step
+with the number of all. From there on the recursion stays inside a task. A list
+gives each of its close fingerprints one link, to the least of its component
+there, so that thousands of copies cost thousands of links.
+
+Fingerprints that are close to one another pass filters together. Before a list
+is filtered, groups that make up much of it are taken out: all that are close to
+one of them are linked to it, and by the triangle inequality only the few that
+are within twice the distance of it can be close to one of the group.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +35,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from treeline.llm import textscan as ts
-from treeline.llm.shared import components, read, written
+from treeline.llm.shared import components, least_rows, read, settled, written
 
 BITS = 256
 LANES = BITS // 64
@@ -35,11 +43,13 @@ LANES = BITS // 64
 DISTANCE = 52
 #: The recall that the filters of all levels together aim at, for two fingerprints DISTANCE bits apart; closer ones meet more often.
 RECALL = 0.9
-#: A filter keeps a random fingerprint with about this probability.
+#: A filter keeps a random fingerprint with about this probability, or less where the spread lists would be longer than LOCAL.
 KEPT = 0.03
-#: Lists up to BRUTE are compared all with all; lists up to LOCAL stay in one task.
-BRUTE = 700
-LOCAL = 400_000
+#: Lists up to BRUTE are compared all with all: about where a level of filters costs more.
+BRUTE = 3000
+LOCAL = 20_000
+#: So many rows of a list are tried as centres of a group, and a group is taken out if it has MUCH of the list.
+TRIED, MUCH = 64, 0.02
 SEED = 5
 
 _U = np.uint64
@@ -81,33 +91,48 @@ def _majority(x: np.ndarray) -> np.ndarray:
 # --- filters ----------------------------------------------------------------
 
 
-def _weight_limit(bits: int) -> int:
-    """The largest t with P(Bin(bits, 1/2) <= t) at most KEPT."""
+@lru_cache(maxsize=None)
+def _weight_limit(bits: int, kept: float = KEPT) -> int:
+    """The largest t with P(Bin(bits, 1/2) <= t) at most kept."""
     total, t = 0.0, -1
     while True:
         total += math.comb(bits, t + 1) / 2.0**bits
-        if total > KEPT:
+        if total > kept:
             return max(t, 0)
         t += 1
 
 
-def filters_needed(bits: int, levels: int) -> int:
-    """How many filters a level needs so that two fingerprints DISTANCE of BITS apart meet in all levels with RECALL."""
-    limit, apart = _weight_limit(bits), round(DISTANCE * bits / BITS)
-    same = bits - apart
-    both = 0.0
-    for in_same in range(min(limit, same) + 1):
-        # weights of the two on the coordinates where they differ are i and apart - i
-        lo, hi = max(0, apart - (limit - in_same)), min(apart, limit - in_same)
-        if lo <= hi:
-            both += math.comb(same, in_same) * sum(math.comb(apart, i) for i in range(lo, hi + 1)) / 2.0**bits
-    return math.ceil(math.log(1 - RECALL ** (1 / levels)) / math.log(1 - both))
+@lru_cache(maxsize=None)
+def filters_needed(bits: int, recall: float, kept: float = KEPT) -> int:
+    """How many filters on one strip of so many bits let two fingerprints DISTANCE apart meet with this recall.
+
+    All filters of a level share the strip; how many of the differing bits are
+    on it is left to chance, and the failures of all splits are averaged.
+    """
+    limit = _weight_limit(bits, kept)
+    splits = []
+    for apart in range(max(0, DISTANCE - (BITS - bits)), min(DISTANCE, bits) + 1):
+        same, both = bits - apart, 0.0
+        for in_same in range(min(limit, same) + 1):
+            # weights of the two on the coordinates where they differ are i and apart - i
+            lo, hi = max(0, apart - (limit - in_same)), min(apart, limit - in_same)
+            if lo <= hi:
+                both += math.comb(same, in_same) * sum(math.comb(apart, i) for i in range(lo, hi + 1)) / 2.0**bits
+        splits.append((math.comb(bits, apart) * math.comb(BITS - bits, DISTANCE - apart) / math.comb(BITS, DISTANCE), both))
+    least, most = 1, 1 << 40
+    while least < most:
+        half = (least + most) // 2
+        if sum(share * (1 - both) ** half for share, both in splits) <= 1 - recall:
+            most = half
+        else:
+            least = half + 1
+    return least
 
 
 class Filters:
     """The filters of one node of the recursion, fixed by its seed."""
 
-    def __init__(self, seed: int, level: int, levels: int):
+    def __init__(self, seed: int, level: int, recall: float, kept: float = KEPT):
         draw = np.random.RandomState(seed & 0x7FFFFFFF)
         # strips of two levels are each other's complement; deeper ones are drawn anew
         order = np.random.RandomState((SEED + level // 2) & 0x7FFFFFFF).permutation(BITS)
@@ -115,9 +140,9 @@ class Filters:
         on = np.zeros(BITS, np.uint8)
         on[strip] = 1
         self.mask = np.packbits(on).view(_U)
-        self.limit = _weight_limit(len(strip))
-        n = filters_needed(len(strip), levels)
-        self.centres = np.packbits(draw.randint(0, 2, (n, BITS)).astype(np.uint8), axis=1).view(_U) & self.mask
+        self.limit = _weight_limit(len(strip), kept)
+        n = filters_needed(len(strip), recall, kept)
+        self.centres = np.frombuffer(draw.bytes(n * BITS // 8), _U).reshape(n, LANES) & self.mask
 
     def passing(self, x: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """For each filter the rows of x that it keeps."""
@@ -130,55 +155,85 @@ class Filters:
             yield j, np.flatnonzero(weight <= self.limit)
 
 
-def depth_of(n: int, stop: int) -> int:
-    """Levels until n fingerprints are down to lists of stop."""
-    return max(1, math.ceil(math.log(max(1.0, n / stop)) / -math.log(KEPT)))
+def spread_kept(n: int, local: int = LOCAL) -> float:
+    """What the filters of the first level keep of n fingerprints."""
+    return min(KEPT, local / max(n, 1))
+
+
+def depth_of(n: int) -> int:
+    """Levels until a list of n is down to BRUTE."""
+    return max(0, math.ceil(math.log(max(1.0, n / BRUTE)) / -math.log(KEPT)))
 
 
-def _brute(x: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows within DISTANCE."""
-    a, b = [], []
+def _distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Between each of the one and each of the other."""
+    d = np.bitwise_count(left[:, None, 0] ^ right[None, :, 0]).astype(np.uint16)
+    for k in range(1, LANES):
+        d += np.bitwise_count(left[:, None, k] ^ right[None, :, k])
+    return d
+
+
+def _brute(x: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows within DISTANCE, a block of them at a time."""
     for s in range(0, len(rows), 256):
-        left, right = x[rows[s : s + 256]], x[rows[s:]]
-        d = np.bitwise_count(left[:, None, 0] ^ right[None, :, 0]).astype(np.uint16)
-        for k in range(1, LANES):
-            d += np.bitwise_count(left[:, None, k] ^ right[None, :, k])
-        i, j = np.nonzero(d <= DISTANCE)
-        up = j > i
-        a.append(rows[s + i[up]])
-        b.append(rows[s + j[up]])
-    return (np.concatenate(a), np.concatenate(b)) if a else (rows[:0], rows[:0])
-
-
-def _search(x: np.ndarray, rows: np.ndarray, level: int, levels: int, seed: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """The recursion inside a task."""
-    if len(rows) <= BRUTE or level >= levels + 2:
-        yield _brute(x, rows)
+        for t in range(s, len(rows), 1 << 15):
+            i, j = np.nonzero(_distances(x[rows[s : s + 256]], x[rows[t : t + (1 << 15)]]) <= DISTANCE)
+            up = t + j > s + i
+            yield rows[s + i[up]], rows[t + j[up]]
+
+
+def _tops(root: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """The least known row of the component of each row."""
+    top = root[rows]
+    while not np.array_equal(up := root[top], top):
+        top = up
+    root[rows] = top
+    return top
+
+
+def _sparse(x: np.ndarray, rows: np.ndarray, root: np.ndarray, seed: int) -> np.ndarray:
+    """rows without the groups that make up much of them, all of whose links are made."""
+    draw = np.random.RandomState(seed & 0x7FFFFFFF)
+    while len(rows) > BRUTE:
+        tried = rows[draw.choice(len(rows), TRIED, replace=False)]
+        near = np.zeros(TRIED, np.int64)
+        for s in range(0, len(rows), 1 << 14):
+            near += (_distances(x[tried], x[rows[s : s + (1 << 14)]]) <= DISTANCE).sum(1)
+        if near.max() < max(TRIED, MUCH * len(rows)):
+            break
+        leader = tried[near.argmax()]
+        d = _distances(x[leader : leader + 1], x[rows])[0]
+        inside = d <= DISTANCE
+        group = rows[inside]
+        least_rows(root, np.full(len(group), leader), group)
+        around = rows[~inside & (d <= DISTANCE + int(d[inside].max()))]
+        for s in range(0, len(group), 256):
+            around = around[_tops(root, around) != _tops(root, group[:1])]
+            if not len(around):
+                break
+            for t in range(0, len(around), 1 << 14):
+                i, j = np.nonzero(_distances(x[group[s : s + 256]], x[around[t : t + (1 << 14)]]) <= DISTANCE)
+                least_rows(root, group[s + i], around[t + j])
+        rows = rows[~inside]
+    return rows
+
+
+def _search(x: np.ndarray, rows: np.ndarray, root: np.ndarray, level: int, seed: int, left: int | None = None, recall: float = RECALL) -> None:
+    """The recursion inside a task: joins in root what is close. left: levels to go; recall: that of each of them."""
+    top = _tops(root, rows)
+    if (top == top[:1]).all():
+        return
+    rows = _sparse(x, rows, root, seed)
+    if len(rows) <= BRUTE:
+        for a, b in _brute(x, rows):
+            least_rows(root, a, b)
         return
-    for j, kept in Filters(seed, level, levels).passing(x[rows]):
+    if not left:  # at the start, or where more are left than were to be expected
+        left = max(1, depth_of(len(rows)))
+        recall = recall ** (1 / left)
+    for j, kept in Filters(seed, level, recall).passing(x[rows]):
         if len(kept) > 1:
-            yield from _search(x, rows[kept], level + 1, levels, seed * 1_000_003 + j + 1)
-
-
-def _roots(n: int, pairs: Iterator[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """For each of n rows the least row of its component."""
-    root = np.arange(n)
-    for a, b in pairs:
-        while len(a):
-            ra, rb = root[a], root[b]
-            while True:
-                ga, gb = root[ra], root[rb]
-                if np.array_equal(ga, ra) and np.array_equal(gb, rb):
-                    break
-                ra, rb = ga, gb
-            apart = ra != rb
-            if not apart.any():
-                break
-            a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-            np.minimum.at(root, np.maximum(ra, rb), np.minimum(ra, rb))
-    while not np.array_equal(root[root], root):
-        root = root[root]
-    return root
+            _search(x, rows[kept], root, level + 1, seed * 1_000_003 + j + 1, left - 1 or None, recall if left > 1 else RECALL**0.5)
 
 
 # --- on Spark ---------------------------------------------------------------
@@ -200,25 +255,16 @@ def fingerprint_table(docs: DataFrame) -> DataFrame:
 
 def links(nodes: DataFrame, n: int, local: int = LOCAL) -> DataFrame:
     """Close fingerprints as (a, b) links that join each component. nodes: (node, f0 .. f3), n of them, all different."""
-    spread = depth_of(n, local)
-    levels = spread + max(0, depth_of(max(1, int(n * KEPT**spread)), BRUTE) if n * KEPT**spread > BRUTE else 0)
+    kept_share, half = spread_kept(n, local), RECALL**0.5  # one half of the failures for the spread, one for the tasks
 
-    def spread_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        filters = Filters(SEED, 0, half, kept_share)
         for batch in batches:
             x = np.stack([batch.column(k + 1).to_numpy() for k in range(LANES)], 1).view(_U)
-
-            def down(rows: np.ndarray, level: int, seed: int) -> Iterator[tuple[np.ndarray, int]]:
-                if level == spread:
-                    yield rows, seed
-                    return
-                for j, kept in Filters(seed, level, levels).passing(x[rows]):
-                    if len(kept):
-                        yield from down(rows[kept], level + 1, seed * 1_000_003 + j + 1)
-
             held, size = [], 0
-            for rows, seed in down(np.arange(len(x)), 0, SEED):
-                held.append((np.full(len(rows), seed & 0x7FFFFFFFFFFFFFFF, np.int64), rows))
-                size += len(rows)
+            for j, kept in filters.passing(x):
+                held.append((np.full(len(kept), j, np.int64), kept))
+                size += len(kept)
                 if size > 200_000:
                     yield _rows(batch, held)
                     held, size = [], 0
@@ -232,8 +278,10 @@ def links(nodes: DataFrame, n: int, local: int = LOCAL) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def one(key: int, parts: list[np.ndarray]) -> pa.RecordBatch:
             table = np.concatenate(parts)
-            node, x = table[:, 0], np.ascontiguousarray(table[:, 1:]).view(_U)
-            root = _roots(len(node), _search(x, np.arange(len(node)), spread, levels, key))
+            parts.clear()
+            node, x, root = table[:, 0], np.ascontiguousarray(table[:, 1:]).view(_U), np.arange(len(table))
+            _search(x, np.arange(len(node)), root, 1, key + 1, None, half)
+            root = settled(root)
             linked = np.flatnonzero(root != np.arange(len(node)))
             return pa.RecordBatch.from_arrays([pa.array(node[linked]), pa.array(node[root[linked]])], ["a", "b"])
 
@@ -254,7 +302,7 @@ def links(nodes: DataFrame, n: int, local: int = LOCAL) -> DataFrame:
             yield one(now, parts)
 
     fields = ", ".join(f"{f} bigint" for f in _FIELDS)
-    lists = nodes.select("node", *_FIELDS).mapInArrow(spread_out, f"list bigint, node bigint, {fields}")
+    lists = nodes.select("node", *_FIELDS).mapInArrow(spread, f"list bigint, node bigint, {fields}")
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return lists.repartition(parts, "list").sortWithinPartitions("list").mapInArrow(search, "a bigint, b bigint")
 
@@ -276,6 +324,7 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that have a near copy, with their group: `groups` of the whole table."""
     return groups(read(spark, sf_dir, "documents"))
 
 
