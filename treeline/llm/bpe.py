@@ -430,7 +430,7 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, token_ids ARRAY<INT>, n_tokens BIGINT, round_trip BOOLEAN) of every row of docs.
 
     A null text gives null tokens, null count and null round_trip; an empty
-    text gives an empty array. Rows and ids repeat as they do in docs, other
+    text gives an empty array, an empty table no rows. Rows and ids repeat as they do in docs, other
     columns are left out. Texts of any length are encoded whole; special
     tokens' names in a text are ordinary text.
     """
@@ -454,23 +454,33 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
 
 def decode(encoded: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, text) from doc_id and token_ids. Null tokens give a null text; unknown ids raise."""
+    """(doc_id, text) from doc_id and token_ids. Null tokens give a null text, no tokens an empty one; unknown ids raise. A batch's tokens are decoded at once and cut where texts end."""
     shared = encoded.sparkSession.sparkContext.broadcast(compiled(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = shared.value
         for batch in batches:
-            texts = [None if t is None else automaton.decode(np.array(t, np.int64)).tobytes().decode("utf-8", "surrogatepass") for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["doc_id", "text"])
+            lists = batch.column(1)
+            tokens, sizes = lists.flatten().to_numpy().astype(np.int64), pa.compute.fill_null(pa.compute.list_value_length(lists), 0).to_numpy()
+            if len(tokens) and tokens.min() < 0:
+                raise ValueError("a token id below 0")
+            data = automaton.decode(tokens)
+            # bytes before each token, and so before each text
+            before = np.concatenate([[0], np.cumsum(automaton.length[tokens])])
+            ends = before[np.concatenate([[0], np.cumsum(sizes)])]
+            valid = pa.compute.is_valid(lists).to_numpy(zero_copy_only=False)
+            texts = pa.Array.from_buffers(pa.large_string(), len(lists), [pa.py_buffer(np.packbits(valid, bitorder="little").tobytes()), pa.py_buffer(ends.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())])
+            yield pa.RecordBatch.from_arrays([batch.column(0), texts.cast(pa.string())], ["doc_id", "text"])
 
     id_type = encoded.schema["doc_id"].dataType.simpleString()
     return encoded.select("doc_id", "token_ids").mapInArrow(run, f"doc_id {id_type}, text string")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of every document of the table: `encode` with the default vocabulary."""
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Last stage of the pipeline: the tokens of every document, beside its source."""
+    """Last stage of the pipeline: the tokens of every document, on the terms of `encode`."""
     return encode(docs).select("doc_id", "token_ids", "n_tokens", F.col("round_trip"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from treeline.llm.shared import read, row_key, written
+from treeline.llm.shared import identity, read, written
 
 #: A line is removed if more than this share of its host's documents have it, and more than MOST_DOCS.
 MOST_SHARE = 0.01
@@ -34,18 +34,21 @@ def line_rules(docs: DataFrame, host: str = "source", most_share: float = MOST_S
     could be removed and stays as it is, with 0 lines. Ties can't arise: a line
     is over the limits or it isn't. Other columns are left out.
     """
-    base = docs.select("doc_id", F.col(host).alias("host"), "text", row_key().alias("key"))
+    i, t = identity()
+    base = docs.select("doc_id", F.col(f"`{host}`").alias("host"), "text", i.alias("i"), t.alias("t"))
     lines = F.split("text", "\n", -1)
-    # of each document's lines only hashes and lengths travel
-    rows = base.where("text IS NOT NULL").select("key", "host", F.posexplode(lines).alias("at", "line"))
-    rows = rows.withColumn("norm", normalised(F.col("line"))).where("norm <> ''").select("key", "host", "at", F.xxhash64("norm").alias("h"))
-    hosts = base.select("host", "key").groupBy("host").agg(F.count_distinct("key").alias("docs"))
-    counts = rows.groupBy("host", "h").agg(F.count_distinct("key").alias("n")).where(F.col("n") > most_docs)
+    full = F.coalesce(F.col("text") != "", F.lit(False))
+    # of each document's lines only hashes travel; they are normalised once
+    rows = base.where(full).select("i", "t", "host", F.posexplode(lines).alias("at", "line"))
+    rows = written(rows.withColumn("norm", normalised(F.col("line"))).where("norm <> ''").select("i", "t", "host", "at", F.xxhash64("norm").alias("h")), "lines")
+    hosts = base.select("host", "i", "t").groupBy("host").agg(F.count_distinct("i", "t").alias("docs"))
+    counts = rows.groupBy("host", "h").agg(F.count_distinct("i", "t").alias("n")).where(F.col("n") > most_docs)
     common = counts.alias("c").join(hosts.alias("t"), F.col("c.host").eqNullSafe(F.col("t.host")))
-    common = written(common.where(F.col("n") > F.col("docs") * F.lit(float(most_share))).select(F.col("c.host").alias("host"), "h"), "lines")
-    hits = rows.alias("r").join(common.alias("c"), F.col("r.host").eqNullSafe(F.col("c.host")) & (F.col("r.h") == F.col("c.h")))
-    removed = hits.groupBy("key").agg(F.collect_set("at").alias("removed"))
-    joined = base.join(removed, "key", "left").withColumn("lines", lines)
+    common = written(common.where(F.col("n") > F.col("docs") * F.lit(float(most_share))).select(F.col("c.host").alias("c_host"), F.col("h").alias("c_h")), "common")
+    marked = rows.join(common, F.col("host").eqNullSafe(F.col("c_host")) & (F.col("h") == F.col("c_h")), "left")
+    # rows that are there twice have each of their lines twice
+    told = marked.groupBy("i", "t").agg(F.count_distinct("at").alias("n_lines"), F.collect_set(F.when(F.col("c_h").isNotNull(), F.col("at"))).alias("removed"))
+    joined = base.where(full).join(told, ["i", "t"], "left").withColumn("removed", F.when(F.size("removed") > 0, F.col("removed"))).withColumn("lines", lines)
     kept = F.filter("lines", lambda x, i: ~F.array_contains(F.col("removed"), i))
     joined = joined.withColumn("kept", F.when(F.col("removed").isNull(), F.col("lines")).otherwise(kept))
 
@@ -53,16 +56,20 @@ def line_rules(docs: DataFrame, host: str = "source", most_share: float = MOST_S
         return F.aggregate(F.transform(column, F.length), F.lit(0).cast("bigint"), lambda a, x: a + x)
 
     stays = F.col("removed").isNull() | (chars("kept") >= chars("lines") * F.lit(float(least_kept)))
-    return joined.where(stays).select(
+    told = joined.where(stays).select(
         "doc_id",
         "host",
         F.when(F.col("removed").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n")).alias("text"),
-        F.coalesce(F.size(F.filter("lines", lambda x: normalised(x) != "")), F.lit(0)).cast("bigint").alias("n_lines"),
+        F.coalesce("n_lines", F.lit(0)).cast("bigint").alias("n_lines"),
         F.coalesce(F.size("removed"), F.lit(0)).cast("bigint").alias("n_removed"),
     )
+    # those without any line are all of one text: they take no part in the join
+    none = F.lit(0).cast("bigint")
+    return told.unionByName(base.where(~full).select("doc_id", "host", "text", none.alias("n_lines"), none.alias("n_removed")))
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents that `line_rules` keep of the whole table, a source being a host."""
     return line_rules(read(spark, sf_dir, "documents"))
 
 

@@ -15,9 +15,11 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one where that is unset, as in tests."""
+    """The folder in spark.checkpoint.dir, which all executors share. Only a session with a local master may do without: it gets a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="treeline-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -35,9 +37,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
-    """A key of a document's identity: rows alike in id and text are one document."""
-    return F.xxhash64(F.col(doc_id), F.col(text))
+_NONE = (1 << 63) - 1
+
+
+def identity(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
+    """What names a document: its id, null being the greatest, and a hash of its text, whose last bit tells that the id is null. Rows alike in id and text are one document."""
+    mark = F.xxhash64(text).bitwiseAND(F.lit(-2)).bitwiseOR(F.col(doc_id).isNull().cast("bigint"))
+    return F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_NONE)), mark
 
 
 def least_rows(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeline.llm import textscan as ts
-from treeline.llm.shared import read, written
+from treeline.llm.shared import identity, read, written
 
 #: A perfect difference set: 6 of 31 positions are hashed.
 PERIOD, COVER = 31, (0, 1, 3, 8, 12, 18)
@@ -50,13 +50,6 @@ CELL = 256
 
 _COVERED = np.zeros(PERIOD, bool)
 _COVERED[list(COVER)] = True
-_NONE = (1 << 63) - 1
-
-
-def identity(doc_id: str = "doc_id", text: str = "text") -> tuple[Column, Column]:
-    """What names a document: its id, null being the greatest, and a hash of its text, whose last bit tells that the id is null."""
-    mark = F.xxhash64(text).bitwiseAND(F.lit(-2)).bitwiseOR(F.col(doc_id).isNull().cast("bigint"))
-    return F.coalesce(F.col(doc_id).cast("bigint"), F.lit(_NONE)), mark
 
 
 def _places(off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -15,6 +15,7 @@ from __future__ import annotations
 import bisect
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -82,48 +83,70 @@ def match_rules(pages: DataFrame, rules: DataFrame, parts: int | None = None) ->
     copies = [1] + [bounds.count(c) for c in cuts]  # ranges 0 .. len(cuts); the range from a hot key on gets more parts
     first = [sum(copies[:i]) for i in range(len(copies))]
 
+    at, wide, begins = np.array([c.decode("utf-8", "surrogatepass") for c in cuts], object), np.array(copies), np.array(first)
+
+    @F.arrow_udf("int")
+    def place_page(key: pa.Array, salt: pa.Array) -> pa.Array:
+        """One part of its range. Strings compare by code points, as their UTF-8 does."""
+        lo = np.searchsorted(at, key.to_numpy(zero_copy_only=False), "right") if len(at) else np.zeros(len(key), np.int64)
+        return pa.array((begins[lo] + salt.to_numpy() % wide[lo]).astype(np.int32))
+
     @F.pandas_udf("array<int>")
-    def place(key, end, salt):
+    def place_rule(prefix: pd.Series) -> pd.Series:
+        """All parts of all ranges that its interval meets."""
         out = []
-        for k, e, s in zip(key, end, salt):
+        for k in prefix:
             k = k.encode("utf-8", "surrogatepass")
-            lo = bisect.bisect_right(cuts, k)
-            if e is None:  # a page: one part of its range
-                out.append([first[lo] + s % copies[lo]])
-            else:  # a rule: all parts of all ranges that its interval meets
-                hi = bisect.bisect_left(cuts, k + b"\xff")
-                out.append([p for i in range(lo, hi + 1) for p in range(first[i], first[i] + copies[i])])
+            lo, hi = bisect.bisect_right(cuts, k), bisect.bisect_left(cuts, k + b"\xff")
+            out.append([p for i in range(lo, hi + 1) for p in range(first[i], first[i] + copies[i])])
         return pd.Series(out)
 
     spec = "page_id {}, url string, key string, rule_id bigint, action string".format(pages.schema["page_id"].dataType.simpleString())
     salt = F.pmod(F.xxhash64("page_id", "url"), F.lit(1 << 30)).cast("int")
     left = keyed.where("key IS NOT NULL").select("page_id", "url", "key", F.lit(None).cast("bigint").alias("rule_id"), F.lit(None).cast("string").alias("action"), F.lit(1).alias("side"),
-                                                place(F.col("key"), F.lit(None).cast("string"), salt)[0].alias("part"))
+                                                place_page(F.col("key"), salt).alias("part"))
     right = rules.where("prefix IS NOT NULL").select(F.lit(None).cast(pages.schema["page_id"].dataType).alias("page_id"), F.lit(None).cast("string").alias("url"), F.col("prefix").alias("key"),
                                                     F.col("rule_id").cast("bigint").alias("rule_id"), "action", F.lit(0).alias("side"),
-                                                    F.explode(place(F.col("prefix"), F.col("prefix"), F.lit(0))).alias("part"))
+                                                    F.explode(place_rule(F.col("prefix"))).alias("part"))
     # rules come before the pages of their key, shorter prefixes sort before longer ones
     sorted_rows = left.unionByName(right).repartition(max(1, sum(copies)), "part").sortWithinPartitions("part", "key", "side", "rule_id")
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Goes from event to event - a rule that opens, a rule that closes, a new range; the pages between two of them have the same stack."""
         stack: list[tuple[str, int, str]] = []
         now = None
         for batch in batches:
             page, url, key, rule, action, side, part = (batch.column(i) for i in range(7))
-            keep, depth, top = [], [], []
-            for i, (k, s, p) in enumerate(zip(key.to_pylist(), side.to_pylist(), part.to_pylist())):
-                if p != now:
-                    stack, now = [], p
-                while stack and not k.startswith(stack[-1][0]):
+            keys, parts_of, opens = key.to_numpy(zero_copy_only=False), part.to_numpy(), np.flatnonzero(side.to_numpy() == 0)
+            edges = np.append(np.flatnonzero(np.diff(parts_of)) + 1, len(keys))
+            depth, top, names = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), [(None, None)]
+            i = 0
+            while i < len(keys):
+                if parts_of[i] != now:
+                    stack, now = [], parts_of[i]
+                while stack and not keys[i].startswith(stack[-1][0]):
                     stack.pop()
-                if s == 0:
-                    stack.append((k, rule[i].as_py(), action[i].as_py()))
-                else:
-                    keep.append(i)
-                    depth.append(len(stack))
-                    top.append(stack[-1][1:] if stack else (None, None))
-            at = pa.array(keep, pa.int32())
-            yield pa.RecordBatch.from_arrays([page.take(at), url.take(at), pa.array(depth, pa.int64()), pa.array([t[0] for t in top], pa.int64()), pa.array([t[1] for t in top], pa.string())], ["page_id", "url", "n_rules", "rule_id", "action"])
+                next_open = np.searchsorted(opens, i)
+                if next_open < len(opens) and opens[next_open] == i:
+                    stack.append((keys[i], rule[i].as_py(), action[i].as_py()))
+                    depth[i] = -1
+                    i += 1
+                    continue
+                stop = min(int(edges[np.searchsorted(edges, i, "right")]), int(opens[next_open]) if next_open < len(opens) else len(keys))
+                if stack:  # keys that begin with the top stand together: the first that doesn't closes it
+                    lo, hi = i, stop
+                    while lo < hi:
+                        mid = (lo + hi) // 2
+                        lo, hi = (mid + 1, hi) if keys[mid].startswith(stack[-1][0]) else (lo, mid)
+                    stop = lo
+                    names.append(stack[-1][1:])
+                    top[i:stop] = len(names) - 1
+                depth[i:stop] = len(stack)
+                i = stop
+            at = pa.array(np.flatnonzero(depth >= 0))
+            of = pa.array(top).take(at)
+            rules_of, actions = pa.array([n[0] for n in names], pa.int64()), pa.array([n[1] for n in names], pa.string())
+            yield pa.RecordBatch.from_arrays([page.take(at), url.take(at), pa.array(depth).take(at), rules_of.take(of), actions.take(of)], ["page_id", "url", "n_rules", "rule_id", "action"])
 
     out = spec.replace("key string", "n_rules bigint")
     matched = sorted_rows.mapInArrow(sweep, out)
@@ -132,6 +155,7 @@ def match_rules(pages: DataFrame, rules: DataFrame, parts: int | None = None) ->
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What RULES say of every page of the table: `match_rules`."""
     return match_rules(read(spark, sf_dir, "pages"), spark.createDataFrame(RULES, "rule_id bigint, prefix string, action string"))
 
 
