@@ -25,6 +25,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of what the stages keep of the table's documents.
+
+    Nulls, empty and long texts, repeated rows and further columns are dealt
+    with stage by stage, as each stage's docstring says; an empty table gives
+    no rows.
+    """
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name)
