@@ -45,9 +45,9 @@ DISTANCE = 52
 RECALL = 0.9
 #: A filter keeps a random fingerprint with about this probability, or less where the spread lists would be longer than LOCAL.
 KEPT = 0.03
-#: Lists up to BRUTE are compared all with all: about where a level of filters costs more.
-BRUTE = 3000
-LOCAL = 20_000
+#: Lists up to BRUTE are compared all with all: about where a level of filters begins to cost less.
+BRUTE = 8000
+LOCAL = 8000
 #: So many rows of a list are tried as centres of a group, and a group is taken out if it has MUCH of the list.
 TRIED, MUCH = 64, 0.02
 SEED = 5
@@ -165,21 +165,29 @@ def depth_of(n: int) -> int:
     return max(0, math.ceil(math.log(max(1.0, n / BRUTE)) / -math.log(KEPT)))
 
 
-def _distances(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Between each of the one and each of the other."""
-    d = np.bitwise_count(left[:, None, 0] ^ right[None, :, 0]).astype(np.uint16)
-    for k in range(1, LANES):
-        d += np.bitwise_count(left[:, None, k] ^ right[None, :, k])
-    return d
+def _close(left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which of the one and which of the other are within DISTANCE; both lane by lane, (LANES, n). Most pairs are told apart by half of their bits."""
+    half = np.bitwise_count(left[0][:, None] ^ right[0][None, :])
+    for k in range(1, LANES // 2):
+        half += np.bitwise_count(left[k][:, None] ^ right[k][None, :])
+    at = np.flatnonzero(half <= DISTANCE)
+    i, j = np.divmod(at, right.shape[1])
+    d = half.ravel()[at].astype(np.uint16)
+    for k in range(LANES // 2, LANES):
+        d += np.bitwise_count(left[k][i] ^ right[k][j])
+    near = d <= DISTANCE
+    return i[near], j[near]
 
 
 def _brute(x: np.ndarray, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows within DISTANCE, a block of them at a time."""
-    for s in range(0, len(rows), 256):
-        for t in range(s, len(rows), 1 << 15):
-            i, j = np.nonzero(_distances(x[rows[s : s + 256]], x[rows[t : t + (1 << 15)]]) <= DISTANCE)
+    own = np.ascontiguousarray(x[rows].T)
+    for s in range(0, len(rows), 64):
+        for t in range(s, len(rows), 1 << 14):
+            i, j = _close(own[:, s : s + 64], own[:, t : t + (1 << 14)])
             up = t + j > s + i
-            yield rows[s + i[up]], rows[t + j[up]]
+            if up.any():
+                yield rows[s + i[up]], rows[t + j[up]]
 
 
 def _tops(root: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -198,11 +206,11 @@ def _sparse(x: np.ndarray, rows: np.ndarray, root: np.ndarray, seed: int) -> np.
         tried = rows[draw.choice(len(rows), TRIED, replace=False)]
         near = np.zeros(TRIED, np.int64)
         for s in range(0, len(rows), 1 << 14):
-            near += (_distances(x[tried], x[rows[s : s + (1 << 14)]]) <= DISTANCE).sum(1)
+            near += np.bincount(_close(x[tried].T, np.ascontiguousarray(x[rows[s : s + (1 << 14)]].T))[0], minlength=TRIED)
         if near.max() < max(TRIED, MUCH * len(rows)):
             break
         leader = tried[near.argmax()]
-        d = _distances(x[leader : leader + 1], x[rows])[0]
+        d = np.bitwise_count(x[rows] ^ x[leader]).sum(1, dtype=np.uint16)
         inside = d <= DISTANCE
         group = rows[inside]
         least_rows(root, np.full(len(group), leader), group)
@@ -212,7 +220,7 @@ def _sparse(x: np.ndarray, rows: np.ndarray, root: np.ndarray, seed: int) -> np.
             if not len(around):
                 break
             for t in range(0, len(around), 1 << 14):
-                i, j = np.nonzero(_distances(x[group[s : s + 256]], x[around[t : t + (1 << 14)]]) <= DISTANCE)
+                i, j = _close(x[group[s : s + 256]].T, np.ascontiguousarray(x[around[t : t + (1 << 14)]].T))
                 least_rows(root, group[s + i], around[t + j])
         rows = rows[~inside]
     return rows
@@ -220,9 +228,10 @@ def _sparse(x: np.ndarray, rows: np.ndarray, root: np.ndarray, seed: int) -> np.
 
 def _search(x: np.ndarray, rows: np.ndarray, root: np.ndarray, level: int, seed: int, left: int | None = None, recall: float = RECALL) -> None:
     """The recursion inside a task: joins in root what is close. left: levels to go; recall: that of each of them."""
-    top = _tops(root, rows)
-    if (top == top[:1]).all():
-        return
+    if len(rows) > 512:
+        top = _tops(root, rows)
+        if (top == top[:1]).all():
+            return
     rows = _sparse(x, rows, root, seed)
     if len(rows) <= BRUTE:
         for a, b in _brute(x, rows):
