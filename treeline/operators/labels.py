@@ -8,11 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from treeline.model import COLUMNS, NODE
+from treeline.model import COLUMNS, NODE, Node, Tree
 from treeline.sources.languages import ALIASES
-from treeline.sources.parsers import parse, parse_ranges
+from treeline.sources.parsers import parse, parse_brackets, parse_ranges
 from treeline.storage import cut
 
+#: Further tries of a parser that raised, under the recovery "retry".
+ATTEMPTS = 2
+
 
 def label_paths(rows: DataFrame, levels: list[str], keep: list[str]) -> DataFrame:
     """Labels rows that carry the sort keys of all their ancestors.
@@ -64,18 +67,38 @@ def label_tree(edges: DataFrame) -> DataFrame:
     return rows.select("file_id", "id", "pre", (F.col("pre") + F.col("size") - 1).cast("int").alias("end_pre"), F.coalesce("parent", F.lit(-1)).alias("parent"), (F.size("path") - 1).alias("depth"), index.cast("int").alias("child_idx"))
 
 
-def parse_sources(sources: DataFrame, most_bytes: int = 10 << 20) -> DataFrame:
+def recovered(content: str, language: str, recovery: str) -> Tree | None:
+    """The tree of a text whatever its parser does: see parse_sources."""
+    for _ in range(ATTEMPTS if recovery == "retry" else 1):
+        try:
+            return parse(content, language)
+        except Exception:  # a parser may be anyone's (`parsers.register`)
+            if recovery == "abort":
+                raise
+    if recovery == "retry":
+        return parse(content, language)
+    if recovery == "fallback":
+        return Tree(content, parse_brackets(content), language)
+    return None if recovery == "skip" else Tree(content, Node("ERROR", 0, len(content), error=True), language)
+
+
+def parse_sources(sources: DataFrame, most_bytes: int = 10 << 20, recovery: str = "partial") -> DataFrame:
     """The node table of sources (file_id, language, content).
 
     Empty, null and oversized contents are left out; `rejected_sources` names
-    them. Files are packed into Arrow batches, nothing is shuffled.
+    them. Files are packed into Arrow batches, nothing is shuffled. Where a
+    parser raises, recovery says what becomes of the file: partial - one ERROR
+    node for all of it; fallback - its tree as bracketed code; skip - nothing;
+    retry - ATTEMPTS more, then as abort - the job fails. `parse_errors` tells
+    which files these are.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows: list[tuple] = []
             for fid, language, content in zip(frame.file_id, frame.language, frame.content):
-                rows += parse(content, language).rows(fid)
+                tree = recovered(content, language, recovery)
+                rows += tree.rows(fid) if tree is not None else []
                 if len(rows) > 50_000:
                     yield _frame(rows)
                     rows = []
@@ -86,6 +109,23 @@ def parse_sources(sources: DataFrame, most_bytes: int = 10 << 20) -> DataFrame:
     return good.mapInPandas(run, NODE)
 
 
+def parse_errors(sources: DataFrame, most_bytes: int = 10 << 20) -> DataFrame:
+    """(file_id, _error) of the sources whose parser raises, `_error` being STRUCT<code, message, file, line, op>."""
+    kind = "file_id string, _error struct<code:string,message:string,file:string,line:int,op:string>"
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = []
+            for fid, language, content in zip(frame.file_id, frame.language, frame.content):
+                try:
+                    parse(content, language)
+                except Exception as e:
+                    rows.append((fid, {"code": "parse", "message": f"{type(e).__name__}: {e}", "file": fid, "line": getattr(e, "lineno", None), "op": language}))
+            yield pd.DataFrame(rows, columns=["file_id", "_error"])
+
+    return sources.where(usable(most_bytes)).select("file_id", "language", "content").mapInPandas(run, kind)
+
+
 def usable(most_bytes: int = 10 << 20) -> Column:
     return F.coalesce(F.octet_length("content").between(1, most_bytes), F.lit(False))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,7 +80,7 @@ class Store:
 
 
 def read_text_files(spark: SparkSession, folder: str, glob: str = "*", recursive: bool = False) -> DataFrame:
-    """(file_id, path, content) of the files in a folder, one row a file."""
+    """(file_id, path, content) of the files in a folder, one row a file; an empty file has none."""
     df = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", str(recursive).lower()).load(folder)
     return df.select(F.col("path").alias("file_id"), "path", F.col("content").cast("string").alias("content"))
 
@@ -87,3 +88,66 @@ def read_text_files(spark: SparkSession, folder: str, glob: str = "*", recursive
 def from_memory(spark: SparkSession, files: dict[str, str]) -> DataFrame:
     """(file_id, path, content) of a mapping from names to contents."""
     return spark.createDataFrame([(k, k, v) for k, v in files.items()], "file_id string, path string, content string")
+
+
+def write_text_files(sources: DataFrame, folder: str) -> DataFrame:
+    """Writes sources (path, content) as files under a folder, directories made as needed; (path, bytes) of what was written.
+
+    Each file is written beside its place and then moved there, so that a task
+    that runs again leaves the same. Null contents are not written; a path that
+    leaves the folder is an error.
+    """
+    import pyarrow.fs as pafs
+
+    def run(frames):
+        system, root = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+        for frame in frames:
+            rows = []
+            for path, content in zip(frame["path"], frame["content"]):
+                if content is None:
+                    continue
+                parts = [p for p in path.split("/") if p not in ("", ".")]
+                if ".." in parts or not parts:
+                    raise ValueError(f"{path} is outside the folder")
+                place, data = "/".join([root.rstrip("/"), *parts]), content.encode("utf-8", "surrogatepass")
+                system.create_dir(place.rpartition("/")[0], recursive=True)
+                tmp = f"{place}.{uuid.uuid4().hex}.tmp"
+                with system.open_output_stream(tmp) as out:
+                    out.write(data)
+                system.move(tmp, place)
+                rows.append((path, len(data)))
+            yield pd.DataFrame(rows, columns=["path", "bytes"])
+
+    return sources.select("path", "content").mapInPandas(run, "path string, bytes bigint")
+
+
+def save_jdbc(df: DataFrame, url: str, table: str, batch: int = 10_000, **options: str) -> None:
+    """Appends df to a table of a SQL database, `batch` rows a statement, by as many connections as df has partitions."""
+    df.write.mode("append").format("jdbc").options(url=url, dbtable=table, batchsize=str(batch), **options).save()
+
+
+def load_jdbc(spark: SparkSession, url: str, table: str, column: str | None = None, bounds: tuple[int, int] = (0, 1), parts: int = 1, **options: str) -> DataFrame:
+    """A table of a SQL database; with a numeric column its range is read by `parts` connections."""
+    split = {} if column is None else {"partitionColumn": column, "lowerBound": str(bounds[0]), "upperBound": str(bounds[1]), "numPartitions": str(parts)}
+    return spark.read.format("jdbc").options(url=url, dbtable=table, **split, **options).load()
+
+
+REPOSITORIES = ("local", "git", "s3")
+
+
+def repository(spark: SparkSession, kind: str, location: str, glob: str = "*") -> DataFrame:
+    """(file_id, path, content) of a repository's files; path is relative to it, file_id the repository's location and path.
+
+    local: a folder; git: a working tree, without its own .git; s3: a bucket and
+    prefix through the Hadoop file system. Hosted services have to be cloned first.
+    """
+    if kind not in REPOSITORIES:
+        raise ValueError(f"{kind}: one of {', '.join(REPOSITORIES)}; clone others first")
+    root = location.rstrip("/") if kind != "s3" or "://" in location else f"s3a://{location.strip('/')}"
+    files = read_text_files(spark, root, glob, recursive=True)
+    plain = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
+    bare = F.regexp_replace(F.lit(root), "^[a-z0-9]+:/+", "/")
+    files = files.withColumn("path", F.substring(plain, F.length(bare) + 2, 1 << 30))
+    if kind == "git":
+        files = files.where("path NOT LIKE '.git/%'")
+    return files.withColumn("file_id", F.concat(F.lit(root + "/"), "path"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
 from treeline.operators.analytics import mean_ms
@@ -68,17 +70,83 @@ def graph_updates(versions: DataFrame, state: str, sink: str, checkpoint: str) -
     return versions.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def conflict_updates(changes: DataFrame, calls: DataFrame, emit: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """For each micro-batch of symbol changes emits tier 1 at once, then tier 2 with callers."""
+def conflict_updates(changes: DataFrame, calls: DataFrame, emit: Callable[[DataFrame, int], None], checkpoint: str, dependents: DataFrame | None = None) -> StreamingQuery:
+    """For each micro-batch of symbol changes emits tier 1 at once, then tier 2 with callers, then tier 3 with all that depends on them (dependents: name, n)."""
     from treeline.operators.versions import conflicts
 
     def step(batch: DataFrame, batch_id: int) -> None:
         emit(conflicts(batch), 1)
         emit(conflicts(batch, calls), 2)
+        if dependents is not None:
+            emit(conflicts(batch, calls, dependents), 3)
 
     return changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def session_progress(done: DataFrame, totals: DataFrame, emit: Callable[[DataFrame], None], checkpoint: str, state: str) -> StreamingQuery:
+    """After each micro-batch of processed files (session_id, file_id) emits (session_id, files_processed, total_files).
+
+    totals: session_id, total_files. A file counts once a session, however often
+    it is processed; a batch that runs again counts the same.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        before = f"{state}/{batch_id - 1}"
+        new = batch.select("session_id", "file_id").distinct()
+        known = spark.read.parquet(before).unionByName(new).distinct() if exists(spark, before) else new
+        known.write.mode("overwrite").parquet(f"{state}/{batch_id}")
+        counts = spark.read.parquet(f"{state}/{batch_id}").groupBy("session_id").agg(F.count("*").alias("files_processed"))
+        emit(counts.join(totals, "session_id").join(new.select("session_id").distinct(), "session_id", "left_semi").select("session_id", "files_processed", "total_files"))
+
+    return done.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+CLOSED, OPEN, HALF_OPEN = "CLOSED", "OPEN", "HALF-OPEN"
+
+
+def advance(state: tuple, at: float, success: bool, most: int = 5, window_s: float = 30, pause_s: float = 60) -> tuple[tuple, str | None]:
+    """One step of a breaker. state: (name, when it opened, times of recent failures). Returns the next state, and its name where it changed.
+
+    More than `most` failures within window_s seconds open it; after pause_s
+    seconds it is half open, and the next operation closes it or opens it again.
+    """
+    name, since, recent = state
+    if name == OPEN:
+        if at - since < pause_s:
+            return state, None
+        name = HALF_OPEN
+    if name == HALF_OPEN:
+        return ((CLOSED, 0.0, []), CLOSED) if success else ((OPEN, at, []), OPEN)
+    recent = [t for t in recent if at - t <= window_s] + ([] if success else [at])
+    if len(recent) > most:
+        return (OPEN, at, []), OPEN
+    return (CLOSED, 0.0, recent), None
+
+
+def breaker_states(ops: DataFrame, most: int = 5, window_s: float = 30, pause_s: float = 60) -> DataFrame:
+    """(operation_type, at, state): each change of each operation's breaker, over a stream (operation_type, timestamp, success).
+
+    State is a few numbers an operation: the failures within the window, `most` at most.
+    """
+    out = "operation_type string, at timestamp, state string"
+
+    def step(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        state = held.get if held.exists else (CLOSED, 0.0, [])
+        state = (state[0], state[1], list(state[2]))
+        rows = []
+        events = sorted((t, s) for f in frames for t, s in zip(f["timestamp"], f["success"]))
+        for at, success in events:
+            state, changed = advance(state, at.timestamp(), bool(success), most, window_s, pause_s)
+            if changed:
+                rows.append((key[0], at, changed))
+        held.update(state)
+        yield pd.DataFrame(rows, columns=["operation_type", "at", "state"])
+
+    kept = "name string, since double, recent array<double>"
+    return ops.select("operation_type", "timestamp", "success").groupBy("operation_type").applyInPandasWithState(step, out, kept, "append", GroupStateTimeout.NoTimeout)
+
+
 def in_batches(df: DataFrame, size: int = 100):
     """Rows in lists of `size`, partition by partition; the driver holds one partition at a time."""
     held = []
