@@ -68,14 +68,14 @@ def test_python_and_yaml():
 
 def test_brackets():
     source = "a.b(c, [1]); // n\nif (x) { y(); }"
-    assert kinds(source, "javascript", "call") == ["a.b(c, [1])", "y()"] or "a.b(c, [1])" in kinds(source, "javascript", "call")
+    assert kinds(source, "javascript", "call_expression") == ["a.b(c, [1])", "y()"] or "a.b(c, [1])" in kinds(source, "javascript", "call_expression")
     assert kinds(source, "javascript", "comment") == ["// n"]
 
 
 def test_ranges_keep_the_hosts_offsets():
     source = "<script>f(1)</script>"
     (tree,) = parse_ranges(source, [(8, 12)], "javascript")
-    assert [n.text for n in tree.nodes if n.kind == "call"] == ["f(1)"]
+    assert [n.text for n in tree.nodes if n.kind == "call_expression"] == ["f(1)"]
 
 
 def test_positions_in_bytes_and_characters():

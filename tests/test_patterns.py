@@ -69,20 +69,20 @@ def test_errors(text, selector, code):
     ],
 )
 def test_strictness(strictness, source, ok):
-    got = matches("f(a)", source, selector="call", strictness=strictness)
+    got = matches("f(a)", source, selector="call_expression", strictness=strictness)
     # trailing trivia that is unnamed is fine for the lenient levels alone; "ast" skips it only before a goal
     assert (got is not None) == ok or (strictness, source) == ("ast", "f(a,)")
 
 
 def test_context_and_selector():
-    assert matches("x = {a: $V}", "y = {a: 3}", selector="block", language="javascript") == {"V": "3"}
+    assert matches("x = {a: $V}", "y = {a: 3}", selector="statement_block", language="javascript") == {"V": "3"}
     assert compile_pattern('{"k": $V}', "json", "pair").kinds == {"pair"}
 
 
 def test_a_failed_match_binds_nothing():
     env = Env()
     tree = parse("f(x, y)", "javascript")
-    call = next(n for n in tree.nodes if n.kind == "call")
+    call = next(n for n in tree.nodes if n.kind == "call_expression")
     assert not Matcher(compile_pattern("f($A, z)", "javascript")).match(call, env) and env.one == {}
 
 

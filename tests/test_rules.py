@@ -15,9 +15,9 @@ CODE = "function f() { g(1); h(x, 2); }\ng(3);"
 @pytest.mark.parametrize(
     ("rule", "want"),
     [
-        ({"kind": "number"}, ["1", "2", "3"]), ({"kind": "number", "regex": "^[13]$"}, ["1", "3"]), ({"kind": "number", "inside": {"kind": "block", "stopBy": "end"}}, ["1", "2"]),
-        ({"kind": "number", "inside": {"kind": "block"}}, []), ({"kind": "number", "not": {"inside": {"kind": "block", "stopBy": "end"}}}, ["3"]),
-        ({"kind": "call", "has": {"kind": "identifier", "regex": "^h$", "field": "function"}}, ["h(x, 2)"]), ({"kind": "call", "has": {"kind": "number", "stopBy": "end"}}, ["g(1)", "h(x, 2)", "g(3)"]),
+        ({"kind": "number"}, ["1", "2", "3"]), ({"kind": "number", "regex": "^[13]$"}, ["1", "3"]), ({"kind": "number", "inside": {"kind": "statement_block", "stopBy": "end"}}, ["1", "2"]),
+        ({"kind": "number", "inside": {"kind": "statement_block"}}, []), ({"kind": "number", "not": {"inside": {"kind": "statement_block", "stopBy": "end"}}}, ["3"]),
+        ({"kind": "call_expression", "has": {"kind": "identifier", "regex": "^h$", "field": "function"}}, ["h(x, 2)"]), ({"kind": "call_expression", "has": {"kind": "number", "stopBy": "end"}}, ["g(1)", "h(x, 2)", "g(3)"]),
         ({"any": [{"kind": "number", "regex": "1"}, {"kind": "identifier", "regex": "^x$"}]}, ["1", "x"]), ({"all": [{"kind": "number"}, {"regex": "2"}]}, ["2"]),
         ({"kind": "number", "follows": {"kind": "identifier", "stopBy": "end"}}, ["2"]), ({"kind": "identifier", "precedes": {"kind": "number", "stopBy": "end"}}, ["x"]),
         ({"kind": "number", "nthChild": 2}, ["2"]), ({"pattern": "g($A)"}, ["g(1)", "g(3)"]), ({"kind": "number", "range": {"start": {"line": 1, "column": 2}, "end": {"line": 1, "column": 3}}}, ["3"]),
@@ -60,12 +60,12 @@ BASE = {"id": "t", "language": "js", "rule": {"pattern": "f($A)"}}
 @pytest.mark.parametrize(
     ("change", "code"),
     [
-        ({"rule": {}}, "no_positive_matcher"), ({"rule": {"kind": "call", "odd": 1}}, "unknown_key"), ({"rule": {"kind": None}}, "null_value"), ({"rule": {"kind": "x", "regex": "("}}, "invalid_regex"),
+        ({"rule": {}}, "no_positive_matcher"), ({"rule": {"kind": "call_expression", "odd": 1}}, "unknown_key"), ({"rule": {"kind": None}}, "null_value"), ({"rule": {"kind": "x", "regex": "("}}, "invalid_regex"),
         ({"rule": {"regex": "x"}}, "missing_kinds"), ({"constraints": {"B": {"kind": "number"}}}, "undefined_meta_var"), ({"fix": "g($B)"}, "undefined_meta_var"), ({"fix": [{"template": "x"}]}, "fix_without_title"),
         ({"transform": {"A": "substring($A)"}}, "already_defined"), ({"transform": {"B": "substring($C)", "C": "substring($B)"}}, "cyclic_transform"), ({"transform": {"B": "odd($A)"}}, "parse"),
         ({"labels": {"B": {"style": "primary"}}}, "label_variable"), ({"rewriters": [{"id": "r", "rule": {"kind": "number"}}]}, "rewriter_without_fix"), ({"severity": "loud"}, "invalid_severity"), ({"language": "klingon"}, "unknown_language"),
-        ({"rule": {"kind": "call", "follows": {"kind": "x", "field": "f"}}}, "field_not_supported"), ({"rule": {"matches": "none"}}, "undefined_util"),
-        ({"utils": {"a": {"matches": "b"}, "b": {"matches": "a"}}, "rule": {"kind": "call", "matches": "a"}}, "cyclic_rule"),
+        ({"rule": {"kind": "call_expression", "follows": {"kind": "x", "field": "f"}}}, "field_not_supported"), ({"rule": {"matches": "none"}}, "undefined_util"),
+        ({"utils": {"a": {"matches": "b"}, "b": {"matches": "a"}}, "rule": {"kind": "call_expression", "matches": "a"}}, "cyclic_rule"),
         ({"rule": {"kind": "x", "range": {"start": {"line": 2, "column": 0}, "end": {"line": 1, "column": 0}}}}, "invalid_range"),
     ],
 )

@@ -26,7 +26,7 @@ def test_suppression(source, want):
 
 
 def test_labels_messages_and_diffs():
-    rules = load("id: a\nlanguage: javascript\nmessage: call of $A\nrule: {pattern: f($A), inside: {kind: block, stopBy: end}}\nfix: g($A)\nlabels: {A: {style: primary, message: here}}\n---\nid: b\nlanguage: javascript\nrule: {kind: call, inside: {kind: block, stopBy: end}}\n")
+    rules = load("id: a\nlanguage: javascript\nmessage: call of $A\nrule: {pattern: f($A), inside: {kind: statement_block, stopBy: end}}\nfix: g($A)\nlabels: {A: {style: primary, message: here}}\n---\nid: b\nlanguage: javascript\nrule: {kind: call_expression, inside: {kind: statement_block, stopBy: end}}\n")
     rows = scan.scan_tree(parse("{ f(x) }", "javascript"), rules, "f", separate_fix=True)
     a, b = rows
     assert (a[1], a[9], a[10], a[13]) == ("a", "call of x", True, "g(x)") and json.loads(a[14]) == [{"style": "primary", "message": "here", "start": 4, "end": 5}]
@@ -34,7 +34,7 @@ def test_labels_messages_and_diffs():
 
 
 def test_rules_for_a_path():
-    text = "id: z\nlanguage: javascript\nrule: {kind: call}\n---\nid: a\nlanguage: javascript\nrule: {kind: call}\nfix: x\n---\nid: g\nlanguage: javascript\nrule: {kind: call}\nfiles: ['src/**']\nignores: ['src/gen/**']\n---\nid: o\nlanguage: javascript\nseverity: 'off'\nrule: {kind: call}\n"
+    text = "id: z\nlanguage: javascript\nrule: {kind: call_expression}\n---\nid: a\nlanguage: javascript\nrule: {kind: call_expression}\nfix: x\n---\nid: g\nlanguage: javascript\nrule: {kind: call_expression}\nfiles: ['src/**']\nignores: ['src/gen/**']\n---\nid: o\nlanguage: javascript\nseverity: 'off'\nrule: {kind: call_expression}\n"
     rules = scan.Collection(load(text))
     assert len(rules) == 3
     assert [r.id for r in rules.for_path("src/a.js", "javascript")] == ["g", "z", "a"]  # those with a fix come last

@@ -14,6 +14,7 @@ from treeline.operators.rules import ORDER
 from treeline.operators.scan import applies_col
 from treeline.sources.languages import pairs
 from treeline.sources.parsers import PARSERS
+from treeline.storage import cut
 
 #: Paths that an analysis takes in, and those it leaves out, unless it is told otherwise.
 INCLUDE, EXCLUDE = ("**/*", "*"), ("**/node_modules/**", "node_modules/**", "**/target/**", "target/**")
@@ -46,7 +47,8 @@ def analyze(sources: DataFrame) -> tuple[DataFrame, DataFrame]:
     A file is a node; its functions are nodes that it contains, by the nearest
     one around them; calls are resolved by name, imports name their target.
     """
-    defs, calls, imports = symbols.functions(sources), symbols.calls(sources), symbols.imports(sources)
+    found = cut(symbols.extract(sources), "symbols")  # each source is parsed once
+    defs, calls, imports = (f(sources, found) for f in (symbols.functions, symbols.calls, symbols.imports))
     own = defs.withColumn("node_id", F.concat_ws("::", "file_id", "name"))
     files = sources.select(F.col("file_id").alias("node_id"), F.lit("file").alias("node_type"), F.col("path").alias("name"), "file_id", F.lit(0).alias("start_char"), F.length("content").alias("end_char"))
     nodes = files.unionByName(own.select("node_id", F.lit("function").alias("node_type"), "name", "file_id", "start_char", "end_char"))

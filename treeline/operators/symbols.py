@@ -2,25 +2,28 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from treeline.operators.rules import load
-from treeline.operators.scan import scan_sources
+from treeline.model import Node
+from treeline.operators.labels import recovered, usable
 
-#: A function's form by language.
+#: Which kinds of nodes define functions, call and import, by language.
 FUNCTIONS = {
-    "python": "{kind: function_definition}",
-    "javascript": "{kind: statement, regex: '^(export |async )*function [A-Za-z_]'}",
-    "typescript": "{kind: statement, regex: '^(export |async )*function [A-Za-z_]'}",
-    "rust": "{kind: statement, regex: '^(pub )?(async )?fn [a-z_]'}",
-}
+    "python": {"function_definition"}, "rust": {"function_item"}, "go": {"function_declaration", "method_declaration"}, "java": {"method_declaration", "constructor_declaration"},
+    **dict.fromkeys(("javascript", "typescript", "tsx"), {"function_declaration", "method_definition"}),
+}
+CALLS = {"python": "call", "java": "method_invocation"} | dict.fromkeys(("javascript", "typescript", "tsx", "rust", "go"), "call_expression")
 IMPORTS = {
-    "python": "{any: [{kind: import_statement}, {kind: import_from_statement}]}",
-    "javascript": "{kind: statement, regex: '^import '}",
-    "typescript": "{kind: statement, regex: '^import '}",
-    "rust": "{kind: statement, regex: '^use '}",
-}
+    "python": {"import_statement", "import_from_statement"}, "rust": {"use_declaration"}, "go": {"import_declaration"}, "java": {"import_declaration"},
+    **dict.fromkeys(("javascript", "typescript", "tsx"), {"import_statement"}),
+}
+_HEAD = re.compile(r"([\w.:$]+?)!?\s*\(")
+_TARGETS = [re.compile(p) for p in (r"from\s+([\w.]+)\s+import\b", r"[^'\"]*['\"]([^'\"]+)['\"]", r"use\s+([\w:]+)", r"import\s+(?:static\s+)?([\w.]+)")]
 #: Node kinds by the symbol that they declare.
 SYMBOL_KINDS = {
     **{f"{what}_{form}": what for what in ("function", "class", "type", "method") for form in ("declaration", "definition")},
@@ -30,34 +33,92 @@ SYMBOL_KINDS = {
 VISIBILITIES = {"pub": "public", "public": "public", "priv": "private", "private": "private", "protected": "protected", "internal": "internal", "package": "package"}
 
 
-def _scan(sources: DataFrame, forms: dict[str, str]) -> DataFrame:
-    rules = [r for lang, rule in forms.items() for r in load(f"id: {lang}\nlanguage: {lang}\nrule: {rule}", need_kinds=False)]
-    return scan_sources(sources, rules, report_unused=False)
-
-
-def functions(sources: DataFrame) -> DataFrame:
-    """(file_id, name, start_char, end_char, signature, n_args): definitions; of equal names the last one stays."""
-    found = _scan(sources, FUNCTIONS)
-    name = F.regexp_extract("text", r"(?:def|fn|function)\s+([A-Za-z_]\w*)", 1)
-    args = F.regexp_extract("text", r"\(([^)]*)\)", 1)
-    rows = found.select("file_id", name.alias("name"), "start_char", "end_char", F.regexp_extract("text", r"^([^\n{:]*)", 1).alias("signature"), argument_count(args).alias("n_args")).where("name <> ''")
-    last = rows.groupBy("file_id", "name").agg(F.max(F.struct("start_char", "end_char", "signature", "n_args")).alias("s"))
+def _group(text: str, at: int) -> tuple[int, list[str]]:
+    """Where the bracket that opens at `at` closes, and what stands between the commas inside it, nested ones left alone."""
+    depth, begin, parts, quote = 0, at + 1, [], ""
+    for i in range(at, len(text)):
+        c = text[i]
+        if quote:
+            quote = "" if c == quote and text[i - 1] != "\\" else quote
+        elif c in "'\"`":
+            quote = c
+        elif c in "([{":
+            depth += 1
+        elif c in ")]}":
+            depth -= 1
+            if not depth:
+                return i, [x for x in [*parts, text[begin:i]] if x.strip()]
+        elif c == "," and depth == 1:
+            parts.append(text[begin:i])
+            begin = i + 1
+    return len(text), [x for x in [*parts, text[begin:]] if x.strip()]
+
+
+def _definition(node: Node, language: str) -> tuple | None:
+    name, text = node.child("name"), node.text
+    if name is None:
+        return None
+    at = text.find("(", name.end - node.start)
+    close, args = _group(text, at) if at >= 0 else (len(name.text) - 1, [])
+    body = node.child("body")
+    stop = re.search(r":(?!:)|$" if language == "python" else r"[{;\n]|$", text[close + 1 :]).start() + close + 1
+    if body is not None and language != "python":
+        stop = min(stop, body.start - node.start)
+    return name.text, text[:stop].strip(), len(args)
+
+
+_ROW = "file_id string, what string, name string, receiver string, start_char int, end_char int, signature string, n_args int"
+
+
+def extract(sources: DataFrame, recovery: str = "partial") -> DataFrame:
+    """(file_id, what, name, receiver, start_char, end_char, signature, n_args) of sources (file_id, language, content), each parsed once.
+
+    what: def, call or import. Calls aren't resolved; an import's name is its
+    target. Arguments are counted at the top level of the brackets.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in _ROW.split(", ")]
+        for frame in frames:
+            rows: list[tuple] = []
+            for fid, language, content in zip(frame.file_id, frame.language, frame.content):
+                tree = recovered(content, language, recovery)
+                defs, call, imports = FUNCTIONS[language], CALLS[language], IMPORTS[language]
+                for n in tree.nodes if tree is not None else ():
+                    if n.kind in defs and (found := _definition(n, language)) is not None:
+                        rows.append((fid, "def", found[0], None, n.start, n.end, found[1], found[2]))
+                    elif n.kind == call and (m := _HEAD.match(n.text)) is not None:
+                        head = re.split(r"\.|::", m[1])
+                        receiver = m[1][: len(m[1]) - len(head[-1])].rstrip(".:") or None
+                        rows.append((fid, "call", head[-1], receiver, n.start, n.end, None, len(_group(n.text, m.end() - 1)[1])))
+                    elif n.kind in imports and (target := next((m[1] for p in _TARGETS if (m := p.match(n.text)) is not None), None)):
+                        rows.append((fid, "import", target, None, n.start, n.end, None, None))
+            out = pd.DataFrame(rows, columns=names)
+            for c in ("start_char", "end_char", "n_args"):
+                out[c] = out[c].astype("Int32")
+            yield out
+
+    known = sources.where(F.col("language").isin(sorted(FUNCTIONS)) & usable())
+    return known.select("file_id", "language", "content").mapInPandas(run, _ROW)
+
+
+def functions(sources: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
+    """(file_id, name, start_char, end_char, signature, n_args): definitions; of equal names the last one stays. extracted: what `extract` says, if it is at hand."""
+    found = (extract(sources) if extracted is None else extracted).where("what = 'def'")
+    last = found.groupBy("file_id", "name").agg(F.max(F.struct("start_char", "end_char", "signature", "n_args")).alias("s"))
     return last.select("file_id", "name", "s.*")
 
 
-def imports(sources: DataFrame) -> DataFrame:
+def imports(sources: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
     """(file_id, target): what a file imports."""
-    found = _scan(sources, IMPORTS)
-    target = F.coalesce(*(F.nullif(F.regexp_extract("text", p, 1), F.lit("")) for p in (r"^from\s+([\w.]+)", r"^import\s+([\w.]+)\s*$", r"from\s+['\"]([^'\"]+)['\"]", r"^import\s+['\"]([^'\"]+)['\"]", r"^use\s+([\w:]+)", r"^import\s+([\w.]+)")))
-    return found.select("file_id", target.alias("target")).where("target IS NOT NULL").distinct()
+    found = extract(sources) if extracted is None else extracted
+    return found.where("what = 'import'").select("file_id", F.col("name").alias("target")).distinct()
 
 
-def calls(sources: DataFrame) -> DataFrame:
+def calls(sources: DataFrame, extracted: DataFrame | None = None) -> DataFrame:
     """(file_id, name, receiver, start_char, n_args): calls, not yet resolved."""
-    found = _scan(sources, {lang: "{kind: call}" for lang in FUNCTIONS})
-    head = F.regexp_extract("text", r"^([\w.]+)\s*\(", 1)
-    args = F.regexp_extract("text", r"^[\w.]+\s*\((.*)\)$", 1)
-    return found.select("file_id", F.element_at(F.split(head, r"\."), -1).alias("name"), F.nullif(F.regexp_extract(head, r"^(.*)\.\w+$", 1), F.lit("")).alias("receiver"), "start_char", argument_count(args).alias("n_args")).where("name <> ''")
+    found = extract(sources) if extracted is None else extracted
+    return found.where("what = 'call'").select("file_id", "name", "receiver", "start_char", "n_args")
 
 
 def argument_count(args: Column) -> Column:

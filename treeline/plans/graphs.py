@@ -78,8 +78,9 @@ _CALLS = "WITH RECURSIVE e AS (SELECT p.p_partkey AS s, q.p_partkey AS t FROM pa
 def _call_edges(spark, sf_dir):
     """Calls between the parts' functions, resolved by name."""
     code = trees.part_code(spark, sf_dir)
-    calls = symbols.calls(code).select("file_id", F.col("file_id").cast("bigint").alias("caller_id"), "name")
-    defs = symbols.functions(code).select("file_id", F.col("file_id").cast("bigint").alias("symbol_id"), "name")
+    found = cut(symbols.extract(code), "symbols")
+    calls = symbols.calls(code, found).select("file_id", F.col("file_id").cast("bigint").alias("caller_id"), "name")
+    defs = symbols.functions(code, found).select("file_id", F.col("file_id").cast("bigint").alias("symbol_id"), "name")
     return cut(graph.resolve_calls(calls, defs), "calls")
 
 

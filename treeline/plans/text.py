@@ -53,7 +53,7 @@ def html_embedded_calls(spark, sf_dir):
     """Calls in the pages' scripts, parsed in place."""
     ranges = labels.embedded_ranges(trees.pages(spark, sf_dir)).where("language = 'javascript'")
     nodes = labels.parse_embedded(trees.page_sources(spark, sf_dir), ranges)
-    found = structural.with_text(structural.select(nodes, {"kind": "call"}), nodes)
+    found = structural.with_text(structural.select(nodes, {"kind": "call_expression"}), nodes)
     return found.select(F.split("file_id", "#")[0].cast("bigint").alias("page_id"), F.col("text").alias("call"))
 
 
@@ -321,3 +321,55 @@ def python_functions(spark, sf_dir):
     nodes = labels.parse_sources(trees.part_code(spark, sf_dir))
     found = structural.select(nodes, {"kind": "identifier", "inside": {"kind": "function_definition", "field": "name"}})
     return found.select(F.col("file_id").cast("bigint").alias("p_partkey"), F.col("text").alias("name"))
+
+
+#: A function, a call and an import in other languages; the number of the part stands for #, that of its size for %.
+CODES = {
+    "javascript": "import { a } from 'lib%';\n\nexport function part_#(a, b = [1, 2]) {\n  return part_%(a, [b, 2]);\n}\n",
+    "typescript": "import * as a from 'lib%';\n\nexport async function part_#(a: number, b: number[]): number\n{\n  return part_%(a, [b, 2]);\n}\n",
+    "rust": "use lib%;\n\npub fn part_#(a: i32, b: Vec<i32>) -> i32 {\n    part_%(a, [b, 2])\n}\n",
+    "go": "import \"lib%\"\n\nfunc part_#(a int, b []int) int {\n\treturn part_%(a, f{b, 2})\n}\n",
+    "java": "import lib%;\n\npublic class A {\n    private int part_#(int a, int... b) {\n        return part_%(a, g[b]);\n    }\n}\n",
+}
+
+
+def _codes(spark, sf_dir):
+    """A source for each part, in one of the languages by its number."""
+    names, key = sorted(CODES), F.col("p_partkey")
+    text = F.lit(None).cast("string")
+    language = F.element_at(F.array(*map(F.lit, names)), (key % len(names) + 1).cast("int"))
+    for n in names:
+        text = F.when(language == n, F.replace(F.replace(F.lit(CODES[n]), F.lit("#"), key.cast("string")), F.lit("%"), F.col("p_size").cast("string"))).otherwise(text)
+    return read(spark, sf_dir, "part").select(key.cast("string").alias("file_id"), language.alias("language"), text.alias("content"))
+
+
+@query("symbols_languages", f"SELECT p_partkey, ({sorted(CODES)})[p_partkey % {len(CODES)} + 1] AS language, w AS what, CASE w WHEN 'def' THEN 'part_' || p_partkey WHEN 'call' THEN 'part_' || p_size ELSE 'lib' || p_size END AS name, CASE WHEN w <> 'import' THEN 2 END AS n_args FROM part, (VALUES ('def'), ('call'), ('import')) v(w)")
+def symbols_languages(spark, sf_dir):
+    """Definitions, calls and imports of JavaScript, TypeScript, Rust, Go and Java."""
+    sources = _codes(spark, sf_dir)
+    found = symbols.extract(sources).join(sources.select("file_id", "language"), "file_id")
+    return found.select(F.col("file_id").cast("bigint").alias("p_partkey"), "language", "what", "name", "n_args")
+
+
+_NAMED = {"javascript": "function_declaration", "typescript": "function_declaration", "rust": "function_item", "go": "function_declaration", "java": "method_declaration"}
+
+
+@query("named_kinds", f"SELECT p_partkey, CASE ({sorted(CODES)})[p_partkey % {len(CODES)} + 1] " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _NAMED.items()) + " END AS kind, 'part_' || p_partkey AS name FROM part")
+def named_kinds(spark, sf_dir):
+    """The names of definitions by a rule over node kinds, in each of these languages."""
+    nodes = labels.parse_sources(_codes(spark, sf_dir))
+    kinds = {"any": [{"kind": k} for k in sorted(set(_NAMED.values()))]}
+    names = structural.select(nodes, {"all": [{"inside": {**kinds, "field": "name"}}]}).select("file_id", F.col("parent").alias("pre"), F.col("text").alias("name"))
+    found = structural.select(nodes, kinds).select("file_id", "pre", "kind").join(names, ["file_id", "pre"])
+    return found.select(F.col("file_id").cast("bigint").alias("p_partkey"), "kind", "name")
+
+
+@query("css_declarations", """SELECT p_partkey, 'margin' AS property, p_size || 'px' AS value FROM part UNION ALL SELECT p_partkey, 'color', '#' || lpad(CAST(p_partkey AS VARCHAR), 6, '0') FROM part""")
+def css_declarations(spark, sf_dir):
+    """Properties and values of style sheets."""
+    key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
+    text = F.concat(F.lit(".a, #b > p { margin: "), size, F.lit("px; /* x: y; */ }\n@media print { p { color: #"), F.lpad(key, 6, "0"), F.lit(" } }\n"))
+    nodes = labels.parse_sources(read(spark, sf_dir, "part").select(key.alias("file_id"), F.lit("css").alias("language"), text.alias("content")))
+    values = structural.select(nodes, {"any": [{"kind": "integer_value"}, {"kind": "color_value"}]}).select("file_id", "parent", F.col("text").alias("value"))
+    names = structural.select(nodes, {"kind": "property_name", "inside": {"kind": "declaration"}}).select("file_id", "parent", F.col("text").alias("property"))
+    return names.join(values, ["file_id", "parent"]).select(F.col("file_id").cast("bigint").alias("p_partkey"), "property", "value")

@@ -1,4 +1,4 @@
-"""Parsers from text to trees: HTML, JSON, YAML, Python, and bracketed code for all other languages.
+"""Parsers from text to trees: HTML, JSON, YAML, Python, CSS, and bracketed code for all other languages, some with kinds of their own (`code`).
 
 They are total: any text gives a tree, what can't be understood becomes an
 ERROR node. `$NAME`, `$$NAME` and `$$$NAME` are accepted wherever a name may
@@ -16,6 +16,7 @@ import tokenize
 from collections.abc import Callable
 
 from treeline.model import Node, Tree
+from treeline.sources import code
 
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _CLOSED_BY = {"p": {"p", "div", "ul", "ol", "table", "h1", "h2", "h3", "h4", "article", "section", "nav", "footer"}, "li": {"li"}, "td": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}}
@@ -330,6 +331,7 @@ def _hang(root: Node, leaves: list[Node]) -> None:
 _CODE = re.compile(
     r"""\s+|//[^\n]*|/\*.*?\*/|\#[^\n]*|\$\$\$[A-Z_0-9]*|\$+[A-Z_][A-Z0-9_]*|[^\W\d]\w*|\d[\w.]*|"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|=>|->|::|==|!=|<=|>=|&&|\|\||\+=|-=|.""", re.S
 )
+_GOES_ON = re.compile(r"[{.?:,&|]|=>|(?:else|catch|finally|where|extends|implements)\b")
 _PAIRS = {"(": ")", "[": "]", "{": "}"}
 _GROUPS = {"(": "arguments", "[": "brackets", "{": "block"}
 
@@ -352,7 +354,8 @@ def parse_brackets(source: str) -> Node:
     for m in _CODE.finditer(source):
         t, a, b = m[0], m.start(), m.end()
         if t.isspace():
-            if "\n" in t and stack[-1].kind in ("program", "block"):
+            # a line that begins like this goes on with the statement before it
+            if "\n" in t and stack[-1].kind in ("program", "block") and not _GOES_ON.match(source, b):
                 _end_statement(stack[-1], begins, wrap)
             continue
         top = stack[-1]
@@ -385,7 +388,7 @@ def parse_brackets(source: str) -> Node:
         elif t[0] == "$" and len(t) > 1 or t[0] == "_" or t[0].isalpha():
             top.add(Node("identifier", a, b))
             i = len(top.children) - 1
-            if i >= 2 and top.children[i - 1].kind == "." and top.children[i - 2].kind in ("identifier", "call", "member") and top.children[i - 1].end == a:
+            if i >= 2 and top.children[i - 1].kind in (".", "::") and top.children[i - 2].kind in ("identifier", "call", "member") and top.children[i - 1].end == a:
                 top.children[i - 2].field, top.children[i].field = "object", "property"
                 wrap(top, "member", i - 2)
         elif t == ";" and top.kind in ("program", "block"):
@@ -412,7 +415,118 @@ def _end_statement(node: Node, begins: list[int], wrap: Callable) -> None:
     begins[-1] = len(node.children)
 
 
-PARSERS: dict[str, Callable[[str], Node]] = {"html": parse_html, "json": parse_json, "yaml": parse_yaml, "python": parse_python}
+_CSS = re.compile(r"""/\*.*?(?:\*/|\Z)|"(?:[^"\\]|\\.)*"|'(?:[^'\\]|\\.)*'|[{};]""", re.S)
+_CSS_VALUE = re.compile(r"""/\*.*?\*/|"[^"]*"|'[^']*'|\#[0-9A-Fa-f]{3,8}\b|[-+]?\d*\.\d+[%\w]*|[-+]?\d+[%\w]*|!\s*important|[-\w$]+(?=\()|[-\w$]+|\S""", re.S)
+_CSS_AT = {"@media": "media_statement", "@keyframes": "keyframes_statement", "@supports": "supports_statement", "@import": "import_statement", "@charset": "charset_statement", "@namespace": "namespace_statement"}
+_CSS_SELECTOR = {".": "class_selector", "#": "id_selector", "[": "attribute_selector", ":": "pseudo_class_selector", "*": "universal_selector"}
+
+
+def parse_css(source: str) -> Node:
+    """Style sheets: rule_set > selectors, block > declaration > property_name and values; at-rules by their names."""
+    n = len(source)
+    root = Node("stylesheet", 0, n)
+    stack = [root]
+
+    def trimmed(a: int, b: int) -> tuple[int, int]:
+        text = source[a:b]
+        return a + len(text) - len(text.lstrip()), a + len(text.rstrip()) if text.strip() else a
+
+    def selectors(into: Node, a: int, b: int) -> None:
+        node = into.add(Node("selectors", a, b))
+        at = a
+        for piece in source[a:b].split(","):
+            x, y = trimmed(at, at + len(piece))
+            if y > x:
+                if node.children:
+                    comma = source.rindex(",", node.children[-1].end, x)
+                    node.add(Node(",", comma, comma + 1, named=False))
+                compound = any(c in source[x:y] for c in " >+~\n\t")
+                node.add(Node("descendant_selector" if compound else _CSS_SELECTOR.get(source[x], "tag_name"), x, y))
+            at += len(piece) + 1
+
+    def plain(a: int, b: int) -> None:
+        """What stands between two marks and is no rule: a declaration, or a statement of one line."""
+        a, b = trimmed(a, b)
+        if b <= a:
+            return
+        text, colon = source[a:b], source.find(":", a, b)
+        if text[0] == "@":
+            name = re.match(r"@[\w-]*", text)[0]
+            node = stack[-1].add(Node(_CSS_AT.get(name, "at_rule"), a, b))
+            node.add(Node("at_keyword", a, a + len(name), named=False))
+            begin = a + len(name)
+        elif colon > a:
+            node = stack[-1].add(Node("declaration", a, b))
+            x, y = trimmed(a, colon)
+            node.add(Node("property_name", x, y))
+            node.add(Node(":", colon, colon + 1, named=False))
+            begin = colon + 1
+        else:
+            stack[-1].add(Node("ERROR", a, b, error=True))
+            return
+        for m in _CSS_VALUE.finditer(source, begin, b):
+            t = m[0]
+            if t.startswith("/*"):
+                node.add(Node("comment", m.start(), m.end()))
+            elif t[0] in "\"'" and len(t) > 1:
+                node.add(Node("string_value", m.start(), m.end()))
+            elif t[0] == "#" and len(t) > 1:
+                node.add(Node("color_value", m.start(), m.end()))
+            elif t[0] == "!" and len(t) > 1:
+                node.add(Node("important", m.start(), m.end()))
+            elif t[0].isdigit() or len(t) > 1 and t[0] in "+-." and (t[1].isdigit() or t[1] == "."):
+                node.add(Node("float_value" if "." in t else "integer_value", m.start(), m.end()))
+            elif t[0] in "-$_" or t[0].isalpha():
+                call = source[m.end() : m.end() + 1] == "("
+                node.add(Node("function_name" if call else "plain_value", m.start(), m.end()))
+            else:
+                node.add(Node(t, m.start(), m.end(), named=False))
+
+    begin = 0
+    for m in _CSS.finditer(source):
+        t = m[0]
+        if t[0] == "/":
+            if not source[begin : m.start()].strip():
+                stack[-1].add(Node("comment", m.start(), m.end()))
+                begin = m.end()
+        elif t == "{":
+            a, b = trimmed(begin, m.start())
+            name = re.match(r"@[\w-]*", source[a:b])
+            node = stack[-1].add(Node(_CSS_AT.get(name[0], "at_rule") if name else "rule_set", a if b > a else m.start(), n))
+            if name:
+                node.add(Node("at_keyword", a, a + len(name[0]), named=False))
+                x, y = trimmed(a + len(name[0]), b)
+                if y > x:
+                    node.add(Node("query", x, y))
+            elif b > a:
+                selectors(node, a, b)
+            block = node.add(Node("block", m.start(), n))
+            block.add(Node("{", m.start(), m.end(), named=False))
+            stack += [node, block]
+            begin = m.end()
+        elif t == "}":
+            plain(begin, m.start())
+            if len(stack) > 1:
+                block, node = stack.pop(), stack.pop()
+                block.add(Node("}", m.start(), m.end(), named=False))
+                block.end = node.end = m.end()
+            else:
+                root.add(Node("ERROR", m.start(), m.end(), error=True))
+            begin = m.end()
+        elif t == ";":
+            plain(begin, m.start())
+            begin = m.end()
+    plain(begin, n)
+    for node in stack[1:]:
+        node.error = True
+    return root
+
+
+def _coded(language: str) -> Callable[[str], Node]:
+    return lambda source: code.refine(source, parse_brackets(source), language)
+
+
+PARSERS: dict[str, Callable[[str], Node]] = {"html": parse_html, "json": parse_json, "yaml": parse_yaml, "python": parse_python, "css": parse_css} | {name: _coded(name) for name in code.LANGUAGES}
 
 
 def register(language: str, parser: Callable[[str], Node]) -> None:
