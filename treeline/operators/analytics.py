@@ -81,9 +81,17 @@ def session_gaps(events: DataFrame, gap_s: int = 60, key: str = "user_id") -> Da
 
 
 def circuit_breaker(ops: DataFrame, most: int = 5, window_s: int = 30, pause_s: int = 60) -> DataFrame:
-    """(operation_type, opened, half_open): failures after which more than `most` lie in the last window_s seconds."""
-    order = Window.partitionBy("operation_type").orderBy(_micros("timestamp")).rangeBetween(-window_s * 1_000_000, 0)
-    failures = ops.where(~F.col("success")).withColumn("recent", F.count("*").over(order))
+    """(operation_type, opened, half_open): failures after which more than `most` lie in the last window_s seconds.
+
+    Time is cut into buckets of that length, and each failure stands in its own
+    and the next one: so few types of operations make many small windows.
+    """
+    size = window_s * 1_000_000
+    failures = ops.where(~F.col("success")).withColumn("at", _micros("timestamp"))
+    mine = F.floor(F.col("at") / size)
+    failures = failures.withColumn("bucket", F.explode(F.array(mine, mine + 1))).withColumn("own", F.col("bucket") == mine)
+    order = Window.partitionBy("operation_type", "bucket").orderBy("at").rangeBetween(-size, 0)
+    failures = failures.withColumn("recent", F.count("*").over(order)).where("own")
     return failures.where(F.col("recent") > most).select("operation_type", F.col("timestamp").alias("opened"), (F.col("timestamp") + F.make_dt_interval(secs=F.lit(pause_s))).alias("half_open")).distinct()
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from typing import Any
 
 import pandas as pd
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame
 
 from treeline.functions.transforms import deindent, indent_at, shift
 from treeline.model import Node, Tree
-from treeline.operators.patterns import Env, Matcher, compile_pattern
+from treeline.operators.patterns import Env, Matcher, Pattern, compile_pattern
 from treeline.sources.parsers import parse
 
 _VAR = re.compile(r"\$\$\$([A-Z_][A-Z0-9_]*)|\$([A-Z_][A-Z0-9_]*)")
@@ -99,16 +100,22 @@ def rewrite_nodes(nodes: list[Node], rewriters: list[Any], join_by: str | None,
     return deindent(apply_edits(nodes[0].tree.source[a:b], inside), nodes[0].tree.source, a)
 
 
+@lru_cache(maxsize=256)
+def _compiled(pattern: str, language: str) -> Pattern:
+    return compile_pattern(pattern, language)
+
+
 def replacements(tree: Tree, pattern: str, template: str, only_first: bool = False) -> list[Edit]:
     """Edits for the outermost matches of a pattern, in document order; trailing trivia of a match stays."""
-    matcher = Matcher(compile_pattern(pattern, tree.language))
+    matcher = Matcher(_compiled(pattern, tree.language))
     edits, past = [], -1
     for n in tree.nodes:
         if n.pre <= past:
             continue
         env = Env()
         if matcher.match(n, env):
-            edits.append((n.start, matcher.length(n, env), render(template, env, n)))
+            size = (matcher.reach if matcher.reach > n.start else n.end) - n.start
+            edits.append((n.start, size, render(template, env, n)))
             past = n.end_pre
             if only_first:
                 break
@@ -127,15 +134,15 @@ def node_edit(kind: str, node: Node, text: str = "") -> Edit:
 # --- on tables --------------------------------------------------------------
 
 
-def rewrite_sources(sources: DataFrame, edits_of: Callable[[Tree], list[Edit]]) -> DataFrame:
-    """(file_id, content, n_edits) of sources (file_id, language, content); a null content stays null."""
+def rewrite_sources(sources: DataFrame, edits_of: Callable[[Tree], list[Edit]], may: Callable[[str, str], bool] | None = None) -> DataFrame:
+    """(file_id, content, n_edits) of sources (file_id, language, content); a null content stays null. may(content, language): whether a text can have edits at all; others aren't parsed."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for fid, language, content in zip(frame.file_id, frame.language, frame.content):
-                if content is None:
-                    rows.append((fid, None, 0))
+                if content is None or may is not None and not may(content, language):
+                    rows.append((fid, content, 0))
                     continue
                 edits = edits_of(parse(content, language))
                 rows.append((fid, apply_edits(content, edits), len(edits)))
@@ -145,8 +152,8 @@ def rewrite_sources(sources: DataFrame, edits_of: Callable[[Tree], list[Edit]])
 
 
 def replace_all(sources: DataFrame, pattern: str, template: str) -> DataFrame:
-    return rewrite_sources(sources, lambda tree: replacements(tree, pattern, template))
+    return rewrite_sources(sources, lambda tree: replacements(tree, pattern, template), lambda content, language: _compiled(pattern, language).fixed_text() in content)
 
 
 def replace_first(sources: DataFrame, pattern: str, template: str) -> DataFrame:
-    return rewrite_sources(sources, lambda tree: replacements(tree, pattern, template, only_first=True))
+    return rewrite_sources(sources, lambda tree: replacements(tree, pattern, template, only_first=True), lambda content, language: _compiled(pattern, language).fixed_text() in content)

@@ -214,5 +214,4 @@ def similarity_topk(spark, sf_dir):
 def similarity_min(spark, sf_dir):
     """All vectors that are like a label's mean to a least degree."""
     vectors = read(spark, sf_dir, "embeddings")
-    pairs = vectors.crossJoin(_means(vectors).select("query_id", F.col("embedding").alias("q")))
-    return pairs.select("query_id", "vec_id", F.round(similarity.cosine(F.col("embedding"), F.col("q")), 6).alias("score")).where("score >= 0.3")
+    return similarity.scores(vectors, _means(vectors), 0.3)

@@ -14,20 +14,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeline.operators.labels import label_paths, parse_sources
-from treeline.storage import cut, read
+from treeline.storage import cut, listing, read
 
-_stored: dict[tuple[str, str, str], DataFrame] = {}
+#: What was built, with the state that its input folder was in.
+_stored: dict[tuple[str, str, str], tuple[tuple, DataFrame]] = {}
 
 #: The order of an order's lines: the key's line number alone is not unique.
 LINE_ORDER = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_shipdate", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[SparkSession, str], DataFrame]) -> DataFrame:
-    """build's table, written once per session and input folder."""
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _stored:
-        _stored[key] = cut(build(spark, sf_dir), name)
-    return _stored[key]
+    """build's table, written once per session and input folder; anew when the folder's tables have changed."""
+    key, state = (spark.sparkContext.applicationId, sf_dir, name), listing(spark, sf_dir)
+    if key not in _stored or _stored[key][0] != state:
+        _stored[key] = state, cut(build(spark, sf_dir), name)
+    return _stored[key][1]
 
 
 def _plain(rows: DataFrame) -> DataFrame:
