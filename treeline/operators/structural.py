@@ -3,8 +3,10 @@
 Every rule becomes a boolean column of the nodes. Composites are boolean
 algebra; `inside ... end` and `has ... end` are running maxima and minima over
 one sort by (file_id, pre), exact since regions nest or are apart; siblings are
-windows over (file_id, parent). Only "direct parent or child" and "stop by a
-rule" join, on file_id and parent or with a range. Rules with patterns, bindings
+windows over (file_id, parent). "Direct parent or child" joins on file_id and
+parent; "stop by a rule" and bindings to ancestors go through whole files once,
+level by level, in Arrow batches - never a join of a file's nodes with each
+other. Rules with patterns, bindings
 or recursive utils go to the interpreter (`scan`).
 """
 
@@ -12,10 +14,15 @@ from __future__ import annotations
 
 import functools
 import itertools
+from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import WindowSpec
 
 from treeline.operators.rules import ORDER, RuleError, nth_holds, parse_nth
@@ -138,7 +145,8 @@ def _found_by_has(nodes: DataFrame, value: dict, utils: dict[str, dict], where:
         found = marked.withColumn("__b", below).where("__b <= end_pre").select("file_id", F.col("pre").alias("__up"), F.col("__b").alias("pre"))
     else:
         marked, halt = mark(marked, stop, utils)
-        found = _free_pairs(marked, hit, halt).groupBy("file_id", F.col("pre").alias("__up")).agg(F.min("d_pre").alias("pre"))
+        marked, first = _first_free(marked, hit, halt)
+        found = marked.where(F.col(first).isNotNull()).select("file_id", F.col("pre").alias("__up"), F.col(first).alias("pre"))
     ups = marked.where("__w").select("file_id", F.col("pre").alias("__up"))
     return nodes.join(found.join(ups, ["file_id", "__up"]), ["file_id", "pre"]).drop("__up")
 
@@ -298,22 +306,97 @@ def _inside(nodes: DataFrame, hit: str, stop: Any, halt: str | None, field: str
         return _named(nodes, F.col(name) & (F.col("child_idx") == F.col(at)))
     if stop == "end" and field is None:
         return _named(nodes, F.max(F.when(F.col(hit), F.col("end_pre"))).over(_before()) >= F.col("pre"))
-    # ancestors that match, each with the child on the way down where a field is asked for
-    up = nodes.where(F.col(hit) | (F.col(halt) if halt else F.lit(False))).select(
-        "file_id", F.col("pre").alias("a_pre"), F.col("end_pre").alias("a_end"), F.col(hit).alias("a_hit"), (F.col(halt) if halt else F.lit(False)).alias("a_halt")
-    )
+    # the nearest ancestor that matches, and the nearest one that stops
+    value = F.when(F.col(hit), F.col("pre"))
     if field is not None:
-        kids = nodes.where(F.col("field") == field).select("file_id", F.col("parent").alias("a_pre"), F.col("pre").alias("k_pre"), F.col("end_pre").alias("k_end"))
-        first = kids.groupBy("file_id", "a_pre").agg(F.min(F.struct("k_pre", "k_end")).alias("k"))
-        up = up.join(first, ["file_id", "a_pre"], "left")
-    low = nodes.select("file_id", "pre")
-    pairs = low.join(up, "file_id").where("a_pre < pre AND pre <= a_end")
-    good = F.col("a_hit")
-    if field is not None:
-        good = good & F.coalesce((F.col("k.k_pre") <= F.col("pre")) & (F.col("pre") <= F.col("k.k_end")), F.lit(False))
-    best = pairs.groupBy("file_id", "pre").agg(F.max(F.when(good, F.col("a_pre"))).alias("best"), F.max(F.when(F.col("a_halt"), F.col("a_pre"))).alias("halt"))
-    found = best.where("best IS NOT NULL AND best >= coalesce(halt, -1)").select("file_id", "pre")
-    return _join(nodes, found, ["file_id", "pre"])
+        # what counts is that the way up comes through the first child in the field: that child stands for its parent, below and on it
+        parents = nodes.where(F.col(hit)).select("file_id", F.col("pre").alias("parent"))
+        nodes, name = _join(nodes, parents, ["file_id", "parent"])
+        first = F.min(F.when(F.col("field") == field, F.col("child_idx"))).over(Window.partitionBy("file_id", "parent"))
+        nodes = nodes.withColumn(at := f"__m{next(_fresh)}", first)
+        value = F.when(F.col(name) & (F.col("child_idx") == F.col(at)), F.col("parent"))
+    nodes = nodes.withColumn(v := f"__m{next(_fresh)}", value.cast("int"))
+    if halt is None:
+        nodes, (up,) = _levels(nodes, [v], lambda x: [x.nearest(x[v])])
+        stop_at = F.lit(-1)
+    else:
+        nodes = nodes.withColumn(h := f"__m{next(_fresh)}", F.when(F.col(halt), F.col("pre")).cast("int"))
+        nodes, (up, end) = _levels(nodes, [v, h], lambda x: [x.nearest(x[v]), x.nearest(x[h])], 2)
+        stop_at = F.coalesce(end, F.lit(-1))
+    best = F.col(up) if field is None else F.coalesce(v, up)
+    return _named(nodes, best >= stop_at)
+
+
+class _Files:
+    """Whole files' rows, level by level: rows[d] are those at depth d, parents[d] where their parents stand."""
+
+    def __init__(self, columns: dict[str, np.ndarray]):
+        self.columns = columns
+        file, pre, parent, depth = (columns[c] for c in ("__file", "pre", "parent", "depth"))
+        key = (file << 32) | pre
+        up = np.searchsorted(key, (file << 32) | np.maximum(parent, 0))
+        up = np.where((parent >= 0) & (up < len(key)), np.minimum(up, len(key) - 1), -1)
+        up = np.where((up >= 0) & (key[up] == ((file << 32) | np.maximum(parent, 0))), up, -1)
+        order = np.argsort(depth, kind="stable")
+        cuts = np.searchsorted(depth[order], np.arange(int(depth.max(initial=0)) + 2))
+        self.rows = [order[i:j] for i, j in zip(cuts, cuts[1:])]
+        self.rows = [r[up[r] >= 0] if d else r for d, r in enumerate(self.rows)]
+        self.parents = [up[r] for r in self.rows]
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        return self.columns[name]
+
+    def nearest(self, value: np.ndarray) -> np.ndarray:
+        """For each row the value of its nearest ancestor that has one; -1 is none."""
+        out = np.full(len(value), -1, np.int64)
+        for rows, up in zip(self.rows[1:], self.parents[1:]):
+            out[rows] = np.where(value[up] >= 0, value[up], out[up])
+        return out
+
+    def first_free(self, hit: np.ndarray, halt: np.ndarray) -> np.ndarray:
+        """For each row the first descendant that hits, none being looked for below one that halts; -1 is none."""
+        none = np.iinfo(np.int64).max
+        out = np.full(len(hit), none)
+        for rows, up in zip(self.rows[:0:-1], self.parents[:0:-1]):
+            np.minimum.at(out, up, np.where(hit[rows] == 1, self["pre"][rows], np.where(halt[rows] == 1, none, out[rows])))
+        return np.where(out == none, -1, out)
+
+
+#: Rows of whole files that are worked on at once, at least.
+_AT_ONCE = 1 << 16
+
+
+def _levels(nodes: DataFrame, columns: list[str], work: Callable[[_Files], list[np.ndarray]], outs: int = 1) -> tuple[DataFrame, list[str]]:
+    """nodes with what work makes of columns of whole files, each an int column with null for -1. One shuffle by file; every file is gone through once, a level at a time."""
+    names = [f"__m{next(_fresh)}" for _ in range(outs)]
+    schema = StructType([*nodes.schema.fields, *(StructField(n, IntegerType()) for n in names)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            held.append(batch)
+            if sum(map(len, held)) >= _AT_ONCE:
+                ids = batch.column("file_id")
+                whole = pc.index(ids, ids[-1]).as_py()  # the last file may go on
+                if whole:
+                    yield from told([*held[:-1], batch.slice(0, whole)])
+                    held = [batch.slice(whole)]
+        if held:
+            yield from told(held)
+
+    def told(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        ids = table.column("file_id").combine_chunks()
+        new = np.ones(len(ids), bool)
+        new[1:] = pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)
+        values = {c: pc.fill_null(table.column(c).cast(pa.int64()), -1).to_numpy() for c in dict.fromkeys(["pre", "parent", "depth", *columns])}
+        for name, out in zip(names, work(_Files({"__file": np.cumsum(new), **values}))):
+            table = table.append_column(name, pa.array(out.astype(np.int32), mask=out < 0))
+        yield from table.to_batches()
+
+    return nodes.repartition("file_id").sortWithinPartitions("file_id", "pre").mapInArrow(run, schema), names
 
 
 def _has(nodes: DataFrame, hit: str, stop: Any, halt: str | None, field: str | None) -> tuple[DataFrame, str]:
@@ -324,17 +407,15 @@ def _has(nodes: DataFrame, hit: str, stop: Any, halt: str | None, field: str | N
         return _join(nodes, kids, ["file_id", "pre"])
     if stop == "end":
         return _named(nodes, F.min(F.when(F.col(hit), F.col("pre"))).over(_after()) <= F.col("end_pre"))
-    return _join(nodes, _free_pairs(nodes, hit, halt).select("file_id", "pre").distinct(), ["file_id", "pre"])
+    nodes, name = _first_free(nodes, hit, halt)
+    return _named(nodes, F.col(name).isNotNull())
 
 
-def _free_pairs(nodes: DataFrame, hit: str, halt: str) -> DataFrame:
-    """(file_id, pre, d_pre): descendants that hit, for the ancestors from their nearest one that stops on down to them."""
-    low = nodes.where(F.col(hit)).select("file_id", F.col("pre").alias("d_pre"))
-    stops = nodes.where(F.col(halt)).select("file_id", F.col("pre").alias("s_pre"), F.col("end_pre").alias("s_end"))
-    nearest = low.join(stops, "file_id").where("s_pre < d_pre AND d_pre <= s_end").groupBy("file_id", "d_pre").agg(F.max("s_pre").alias("s_pre"))
-    low = low.join(nearest, ["file_id", "d_pre"], "left")
-    up = nodes.select("file_id", "pre", "end_pre")
-    return up.join(low, "file_id").where("pre < d_pre AND d_pre <= end_pre AND pre >= coalesce(s_pre, -1)").select("file_id", "pre", "d_pre")
+def _first_free(nodes: DataFrame, hit: str, halt: str) -> tuple[DataFrame, str]:
+    """nodes with the first descendant that hits, none being looked for below one that halts."""
+    nodes = nodes.withColumns({(a := f"__m{next(_fresh)}"): F.col(hit).cast("int"), (b := f"__m{next(_fresh)}"): F.col(halt).cast("int")})
+    nodes, (name,) = _levels(nodes, [a, b], lambda x: [x.first_free(x[a], x[b])])
+    return nodes, name
 
 
 def _has_field(nodes: DataFrame, hit: str, stop: Any, halt: str | None, field: str) -> tuple[DataFrame, str]:
@@ -359,10 +440,11 @@ def _has_field(nodes: DataFrame, hit: str, stop: Any, halt: str | None, field: s
 
 def nearest_ancestor(nodes: DataFrame, low: dict, up: dict, utils: dict[str, dict] | None = None) -> DataFrame:
     """(file_id, pre, ancestor_pre): for nodes that match low, the nearest ancestor that matches up."""
-    d = select(nodes, low, utils).select("file_id", "pre")
-    a = select(nodes, up, utils).select("file_id", F.col("pre").alias("a_pre"), "end_pre")
-    pairs = d.join(a, "file_id").where("a_pre < pre AND pre <= end_pre")
-    return pairs.groupBy("file_id", "pre").agg(F.max("a_pre").alias("ancestor_pre"))
+    marked, d = mark(nodes, low, utils)
+    marked, a = mark(marked, up, utils)
+    marked = marked.withColumn(v := f"__m{next(_fresh)}", F.when(F.col(a), F.col("pre")).cast("int"))
+    marked, (found,) = _levels(marked.select("file_id", "pre", "parent", "depth", d, v), [v], lambda x: [x.nearest(x[v])])
+    return marked.where(F.col(d) & F.col(found).isNotNull()).select("file_id", "pre", F.col(found).alias("ancestor_pre"))
 
 
 def first_descendant(nodes: DataFrame, up: dict, low: dict, utils: dict[str, dict] | None = None) -> DataFrame:
