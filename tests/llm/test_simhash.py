@@ -72,12 +72,12 @@ def test_the_spread_level_has_its_recall_and_grows_without_a_step():
     base = random_prints(draw, 3000)
     other = flipped(draw, base, simhash.DISTANCE)
     before = None
-    for n in (10**5 * 2**k for k in range(11)):
+    for n in (10**5 * 2**k for k in range(17)):
         kept = simhash.spread_kept(n)
         sent = simhash.filters_needed(simhash.BITS // 2, simhash.RECALL**0.5, kept) * sum(math.comb(128, i) for i in range(simhash._weight_limit(128, kept) + 1)) / 2.0**128
         assert before is None or sent <= before * 1.6
-        assert kept * n <= simhash.LOCAL + 1 or kept == simhash.KEPT
-        assert sent < 100
+        assert kept * n <= max(simhash.LOCAL, simhash.ROOT * n**0.5) + 1 or kept == simhash.KEPT
+        assert sent < 200
         before = sent
     together = np.zeros(3000, bool)
     for _, rows in simhash.Filters(simhash.SEED, 0, simhash.RECALL**0.5).passing(np.concatenate([base, other])):

@@ -47,7 +47,8 @@ RECALL = 0.9
 KEPT = 0.03
 #: Lists up to BRUTE are compared all with all: about where a level of filters begins to cost less.
 BRUTE = 8000
-LOCAL = 8000
+#: Spread lists aim at LOCAL rows, or at ROOT times the root of the number of all: there, passing the filters of the first level costs about as much as searching the lists.
+LOCAL, ROOT = 8000, 2
 #: So many rows of a list are tried as centres of a group, and a group is taken out if it has MUCH of the list.
 TRIED, MUCH = 64, 0.02
 SEED = 5
@@ -157,7 +158,7 @@ class Filters:
 
 def spread_kept(n: int, local: int = LOCAL) -> float:
     """What the filters of the first level keep of n fingerprints."""
-    return min(KEPT, local / max(n, 1))
+    return min(KEPT, max(local, ROOT * math.sqrt(n)) / max(n, 1))
 
 
 def depth_of(n: int) -> int:
