@@ -1,9 +1,11 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
-from treeline.operators import scan
+from treeline.operators import labels, rewrite, rules, scan, structural, symbols
 from treeline.operators.rules import load
+from treeline.plans.catalogue import QUERIES
 from treeline.sources.parsers import parse
 
 RULE = "id: call\nlanguage: javascript\nrule: {pattern: f($A)}\n"
@@ -62,3 +64,29 @@ def test_suppression_on_tables(spark):
     hits = spark.createDataFrame([("f", 1, "x"), ("f", 3, "a"), ("f", 3, "x"), ("f", 9, "c")], "file_id string, line int, rule_id string")
     assert {(r.line, r.rule_id) for r in scan.suppress(hits, marks).collect()} == {(3, "x"), (9, "c")}
     assert {(r.line, r.rule_id) for r in scan.unused(hits, marks).collect()} == {(3, "b"), (5, "c")}
+
+
+def test_sources_of_one_row_group_are_parsed_by_all_cores(spark, tmp_path):
+    spark.createDataFrame([(str(i), "rust", f"fn f{i}() {{ g{i}(1) }}") for i in range(400)], "file_id string, language string, content string").coalesce(1).write.parquet(str(tmp_path / "s"))
+    sources = spark.read.parquet(str(tmp_path / "s")).withColumn("path", F.lit("x.rs"))
+    assert sources.select(F.spark_partition_id()).distinct().count() == 1
+    rule = rules.load("id: c\nlanguage: rust\nrule: {kind: call_expression}\n")
+    for found in (labels.parse_sources(sources), symbols.extract(sources), scan.matches(sources, {"c": {"kind": "call_expression"}}), scan.scan_sources(sources, rule), rewrite.rewrite_sources(sources, lambda tree: [])):
+        assert found.select(F.spark_partition_id()).distinct().count() >= 2 * spark.sparkContext.defaultParallelism - 1
+
+
+def test_matches_are_what_rules_select_from_the_node_table(spark):
+    texts = ["def f(a, b=1):\n    return g(a, [b])\n\nclass C(D):\n    def h(self): pass\n", "", None, "x = (\n", "def é(): # " + "y" * 300]
+    sources = spark.createDataFrame([(str(i), "python", t) for i, t in enumerate(texts)], "file_id string, language string, content string")
+    specs = {"name": {"kind": "identifier", "inside": {"kind": "function_definition", "field": "name"}}, "def": {"kind": "function_definition"}, "error": {"kind": "ERROR"}, "bare": {"has": {"kind": "identifier", "stopBy": "end"}}, "deep": {"inside": {"kind": "class_definition", "stopBy": "end"}}}
+    nodes, columns = labels.parse_sources(sources), [c.split()[0] for c in scan.MATCH.split(", ")]
+    wanted = []
+    for k, spec in specs.items():
+        wanted += structural.with_text(structural.select(nodes, spec), nodes).select(*(F.lit(k).alias(c) if c == "rule_id" else F.col(c) for c in columns)).collect()
+    assert len(wanted) > 20 and sorted(map(str, scan.matches(sources, specs).collect())) == sorted(map(str, wanted))
+
+
+def test_a_query_over_code_parses_each_source_once(spark, sf):
+    for name in ("named_kinds", "css_declarations", "python_functions", "symbols_languages"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInPandas") + plan.count("MapInArrow") == 1 and " Join " not in plan

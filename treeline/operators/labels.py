@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from treeline.model import COLUMNS, NODE, Node, Tree
 from treeline.sources.languages import ALIASES
 from treeline.sources.parsers import parse, parse_brackets, parse_ranges
-from treeline.storage import cut
+from treeline.storage import cut, spread
 
 #: Further tries of a parser that raised, under the recovery "retry".
 ATTEMPTS = 2
@@ -22,22 +26,81 @@ def label_paths(rows: DataFrame, levels: list[str], keep: list[str]) -> DataFram
 
     levels: columns outermost first; a node at depth d has the first d + 1 of
     them set and null below. The pairs of a file's paths must differ. One
-    shuffle by file_id and one sort by the path serve all windows.
+    shuffle by file_id and one sort by the path; the labels of whole files are
+    worked out in Arrow batches.
     """
-    depth = sum((F.col(c).isNotNull().cast("int") for c in levels), F.lit(0)) - 1
-    path = [F.col(c).asc_nulls_first() for c in levels]
-    rows = rows.withColumn("depth", depth).withColumn("pre", (F.row_number().over(Window.partitionBy("file_id").orderBy(*path)) - 1).cast("int"))
-    size = F.lit(1).cast("bigint")
-    parent = F.lit(-1)
-    for d in range(len(levels)):
-        inside = Window.partitionBy("file_id", *levels[: d + 1])
-        size = F.when(F.col("depth") == d, F.count("*").over(inside)).otherwise(size)
+    kept = {f.name: f for f in rows.select(*keep).schema.fields}
+    schema = StructType([StructField("file_id", StringType()), *(StructField(c, IntegerType()) for c in _LABELS), *kept.values()])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_files(batches):
+            found = _path_labels(table.column("file_id"), [table.column(c) for c in levels])
+            out = [table.column("file_id"), *(pa.array(x.astype(np.int32), mask=x < -1) for x in found), *(table.column(c) for c in keep)]
+            yield from pa.table(out, names=["file_id", *_LABELS, *keep]).to_batches()
+
+    columns = dict.fromkeys(["file_id", *levels, *keep])
+    return spread(rows.select(*columns)).sortWithinPartitions("file_id", *(F.col(c).asc_nulls_first() for c in levels)).mapInArrow(run, schema)
+
+
+_LABELS = ["pre", "end_pre", "parent", "depth", "child_idx"]
+
+
+def _differs(column: pa.ChunkedArray) -> np.ndarray:
+    """Where a value is another than the one before it; null is a value."""
+    a, b = column.slice(1), column.slice(0, max(0, len(column) - 1))
+    other = pc.if_else(pc.and_(pc.is_null(a), pc.is_null(b)), False, pc.fill_null(pc.not_equal(a, b), True))
+    return np.concatenate([np.ones(min(1, len(column)), bool), other.to_numpy()])
+
+
+def _path_labels(files: pa.ChunkedArray, levels: list[pa.ChunkedArray]) -> list[np.ndarray]:
+    """_LABELS of rows of whole files in the order of their paths; -2 is null."""
+    n = len(files)
+    at = np.arange(n)
+    depth = sum(c.is_valid().to_numpy().astype(np.int64) for c in levels) - 1
+    new = _differs(files)
+    file = np.maximum.accumulate(np.where(new, at, 0))
+    pre, end, parent = at - file, np.full(n, -2), np.full(n, -2)
+    up = n + file  # where the parent stands: all roots of a file are children of one place, and so are all nodes without their parent
+    parent[depth == 0] = -1
+    for d, column in enumerate(levels):
+        first = np.maximum.accumulate(np.where(new, at, 0))  # of the rows with the same d outer keys
         if d:
-            above = F.first(F.when(F.col("depth") == d - 1, F.col("pre")), ignorenulls=True).over(Window.partitionBy("file_id", *levels[:d]))
-            parent = F.when(F.col("depth") == d, above).otherwise(parent)
-    rows = rows.withColumn("end_pre", (F.col("pre") + size - 1).cast("int")).withColumn("parent", parent.cast("int"))
-    index = F.row_number().over(Window.partitionBy("file_id", "parent").orderBy("pre")) - 1
-    return rows.withColumn("child_idx", index.cast("int")).select("file_id", "pre", "end_pre", "parent", "depth", "child_idx", *keep)
+            here = depth == d
+            there = here & (depth[first] == d - 1)
+            parent[there] = pre[first[there]]
+            up[here] = np.where(there, first, 2 * n + file)[here]
+        new = new | _differs(column)
+        here = depth == d
+        begins = np.flatnonzero(new)
+        sizes = np.diff(np.append(begins, n))[np.cumsum(new) - 1]
+        end[here] = (pre + sizes - 1)[here]
+    order = np.argsort(up, kind="stable")
+    fresh = np.ones(n, bool)
+    fresh[1:] = up[order][1:] != up[order][:-1]
+    index = np.empty(n, np.int64)
+    index[order] = at - np.maximum.accumulate(np.where(fresh, at, 0))
+    return [pre, end, parent, depth, index]
+
+
+def whole_files(batches: Iterator[pa.RecordBatch], least: int = 1 << 16) -> Iterator[pa.Table]:
+    """Batches in the order of file_id as tables of whole files, of `least` rows at least."""
+
+    def table(parts: list[pa.RecordBatch]) -> pa.Table:
+        return pa.Table.from_batches(parts).combine_chunks()
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        if sum(map(len, held)) >= least:
+            ids = batch.column("file_id")
+            whole = pc.index(ids, ids[-1]).as_py() if ids[-1].is_valid else 0  # the last file may go on
+            if whole > 0:
+                yield table([*held[:-1], batch.slice(0, whole)])
+                held = [batch.slice(whole)]
+    if held:
+        yield table(held)
 
 
 def label_tree(edges: DataFrame) -> DataFrame:
@@ -86,27 +149,22 @@ def parse_sources(sources: DataFrame, most_bytes: int = 10 << 20, recovery: str
     """The node table of sources (file_id, language, content).
 
     Empty, null and oversized contents are left out; `rejected_sources` names
-    them. Files are packed into Arrow batches, nothing is shuffled. Where a
+    them. Files are dealt out to all cores and packed into Arrow batches. Where a
     parser raises, recovery says what becomes of the file: partial - one ERROR
     node for all of it; fallback - its tree as bracketed code; skip - nothing;
     retry - ATTEMPTS more, then as abort - the job fails. `parse_errors` tells
     which files these are.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows: list[tuple] = []
-            for fid, language, content in zip(frame.file_id, frame.language, frame.content):
-                tree = recovered(content, language, recovery)
-                rows += tree.rows(fid) if tree is not None else []
-                if len(rows) > 50_000:
-                    yield _frame(rows)
-                    rows = []
-            if rows:
-                yield _frame(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(tree.columns(fid) for fid, language, content in told(batches) if (tree := recovered(content, language, recovery)) is not None)
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns))
 
-    good = sources.where(usable(most_bytes)).select("file_id", "language", "content")
-    return good.mapInPandas(run, NODE)
+    good = sources.where(usable(most_bytes)).select(F.col("file_id").cast("string").alias("file_id"), "language", "content")
+    return spread(good).mapInArrow(run, NODE)
 
 
 def parse_errors(sources: DataFrame, most_bytes: int = 10 << 20) -> DataFrame:
@@ -123,7 +181,7 @@ def parse_errors(sources: DataFrame, most_bytes: int = 10 << 20) -> DataFrame:
                     rows.append((fid, {"code": "parse", "message": f"{type(e).__name__}: {e}", "file": fid, "line": getattr(e, "lineno", None), "op": language}))
             yield pd.DataFrame(rows, columns=["file_id", "_error"])
 
-    return sources.where(usable(most_bytes)).select("file_id", "language", "content").mapInPandas(run, kind)
+    return spread(sources.where(usable(most_bytes)).select("file_id", "language", "content")).mapInPandas(run, kind)
 
 
 def usable(most_bytes: int = 10 << 20) -> Column:
@@ -154,18 +212,33 @@ def embedded_ranges(nodes: DataFrame) -> DataFrame:
 def parse_embedded(sources: DataFrame, ranges: DataFrame) -> DataFrame:
     """The node table of ranges (file_id, language, start_char, end_char) within sources; offsets are the host's."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows: list[tuple] = []
-            for fid, content, language, a, b in zip(frame.file_id, frame.content, frame.language, frame.start_char, frame.end_char):
-                rows += parse_ranges(content, [(a, b)], language)[0].rows(f"{fid}#{a}")
-            yield _frame(rows)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _batches(parse_ranges(content, [(a, b)], language)[0].columns(f"{fid}#{a}") for fid, content, language, a, b in told(batches))
+
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns))
+
+    return spread(with_ranges(sources, ranges)).mapInArrow(run, NODE)
+
+
+def with_ranges(sources: DataFrame, ranges: DataFrame) -> DataFrame:
+    """(file_id, content, language, start_char, end_char): the ranges with the sources that they are in."""
+    return sources.select("file_id", "content").join(ranges, "file_id").select("file_id", "content", "language", "start_char", "end_char")
+
 
-    joined = sources.select("file_id", "content").join(ranges, "file_id").select("file_id", "content", "language", "start_char", "end_char")
-    return joined.mapInPandas(run, NODE)
+_TYPES = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+_SCHEMA = pa.schema([(c.split()[0], _TYPES[c.split()[1]]) for c in NODE.split(", ")])
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=COLUMNS)
-    out["named_idx"] = out["named_idx"].astype("Int32")
-    return out
+def _batches(files: Iterator[list[list]], most_rows: int = 50_000) -> Iterator[pa.RecordBatch]:
+    """The node columns of files, put together to batches of some size."""
+    held: list[list] = [[] for _ in COLUMNS]
+    for columns in files:
+        for own, more in zip(held, columns):
+            own += more
+        if len(held[0]) > most_rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, _SCHEMA.types)], schema=_SCHEMA)
+            held = [[] for _ in COLUMNS]
+    if held[0]:
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, _SCHEMA.types)], schema=_SCHEMA)

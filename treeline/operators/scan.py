@@ -1,12 +1,13 @@
 """Scans of many rules over many files: dispatch, path globs, suppression, fixes.
 
 Two ways give the same findings. `scan_sources` parses each file once and runs
-all rules on its tree, in Arrow batches without any shuffle; it takes every rule.
+all rules on its tree, in Arrow batches that are dealt out to all cores; it takes every rule.
 `scan_nodes` compiles rules without bindings to plans over the node table.
 """
 
 from __future__ import annotations
 
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -18,10 +19,12 @@ from pyspark.sql import functions as F
 from treeline.functions.transforms import template_col
 from treeline.model import Node, Tree
 from treeline.operators import structural
+from treeline.operators.labels import recovered, usable
 from treeline.operators.patterns import Env
 from treeline.operators.rewrite import edit_of, render
-from treeline.operators.rules import Config
-from treeline.sources.parsers import parse
+from treeline.operators.rules import Config, Rule, build
+from treeline.sources.parsers import parse, parse_ranges
+from treeline.storage import spread
 
 MARKER = "lint-ignore"
 UNUSED_ID = "unused-suppression"
@@ -229,7 +232,40 @@ def scan_sources(sources: DataFrame, rules: list[Config], separate_fix: bool = F
         for needle in needles:
             keep = keep | F.col("content").contains(needle)
         wanted = wanted.where(keep)
-    return wanted.select("file_id", "path", "language", "content").mapInPandas(run, FINDING)
+    return spread(wanted.select("file_id", "path", "language", "content")).mapInPandas(run, FINDING)
+
+
+MATCH = "file_id string, rule_id string, pre int, end_pre int, parent int, field string, kind string, start_char int, end_char int, text string"
+
+
+def matches(sources: DataFrame, specs: dict[str, dict], most_bytes: int = 10 << 20) -> DataFrame:
+    """The columns MATCH of the nodes of sources (file_id, language, content) that match rules, by their ids.
+
+    What `structural.select` finds in the tables of `parse_sources` and, where
+    sources has start_char and end_char, of `parse_embedded`; but each source is
+    parsed once for all rules, and only matches leave the task. Texts are whole.
+    """
+    inside = {"start_char", "end_char"} <= set(sources.columns)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        built: dict[str, list[tuple[str, Rule, set[str] | None]]] = {}
+        for frame in frames:
+            rows: list[tuple] = []
+            spots = zip(frame.start_char, frame.end_char) if inside else itertools.repeat((None, None))
+            for fid, language, content, (a, b) in zip(frame.file_id, frame.language, frame.content, spots):
+                if language not in built:
+                    found = [(k, build(spec, language, {})) for k, spec in specs.items()]
+                    built[language] = [(k, r, kinds if (kinds := r.kinds()) is not None and "ERROR" not in kinds else None) for k, r in found]
+                tree = parse_ranges(content, [(a, b)], language)[0] if inside else recovered(content, language, "partial")
+                name = f"{fid}#{a}" if inside else fid
+                for n in tree.nodes:
+                    for rule_id, rule, kinds in built[language]:
+                        if (kinds is None or n.kind in kinds) and (m := rule.match(n, Env())) is not None:
+                            rows.append((name, rule_id, m.pre, m.end_pre, m.parent.pre if m.parent else -1, m.field, m.kind, m.start, m.end, m.text))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in MATCH.split(", ")])
+
+    good = sources if inside else sources.where(usable(most_bytes))
+    return spread(good.select(F.col("file_id").cast("string").alias("file_id"), "language", "content", *(["start_char", "end_char"] if inside else []))).mapInPandas(run, MATCH)
 
 
 def _needle(rule: Config) -> str:

@@ -52,8 +52,7 @@ def html_embedded_lang(spark, sf_dir):
 def html_embedded_calls(spark, sf_dir):
     """Calls in the pages' scripts, parsed in place."""
     ranges = labels.embedded_ranges(trees.pages(spark, sf_dir)).where("language = 'javascript'")
-    nodes = labels.parse_embedded(trees.page_sources(spark, sf_dir), ranges)
-    found = structural.with_text(structural.select(nodes, {"kind": "call_expression"}), nodes)
+    found = scan.matches(labels.with_ranges(trees.page_sources(spark, sf_dir), ranges), {"call": {"kind": "call_expression"}})
     return found.select(F.split("file_id", "#")[0].cast("bigint").alias("page_id"), F.col("text").alias("call"))
 
 
@@ -318,8 +317,7 @@ def import_edges(spark, sf_dir):
 @query("python_functions", "SELECT p_partkey, 'part_' || p_partkey AS name FROM part")
 def python_functions(spark, sf_dir):
     """A node rule over parsed code: the names that stand in the field `name` of a definition."""
-    nodes = labels.parse_sources(trees.part_code(spark, sf_dir))
-    found = structural.select(nodes, {"kind": "identifier", "inside": {"kind": "function_definition", "field": "name"}})
+    found = scan.matches(trees.part_code(spark, sf_dir), {"name": {"kind": "identifier", "inside": {"kind": "function_definition", "field": "name"}}})
     return found.select(F.col("file_id").cast("bigint").alias("p_partkey"), F.col("text").alias("name"))
 
 
@@ -346,8 +344,7 @@ def _codes(spark, sf_dir):
 @query("symbols_languages", f"SELECT p_partkey, ({sorted(CODES)})[p_partkey % {len(CODES)} + 1] AS language, w AS what, CASE w WHEN 'def' THEN 'part_' || p_partkey WHEN 'call' THEN 'part_' || p_size ELSE 'lib' || p_size END AS name, CASE WHEN w <> 'import' THEN 2 END AS n_args FROM part, (VALUES ('def'), ('call'), ('import')) v(w)")
 def symbols_languages(spark, sf_dir):
     """Definitions, calls and imports of JavaScript, TypeScript, Rust, Go and Java."""
-    sources = _codes(spark, sf_dir)
-    found = symbols.extract(sources).join(sources.select("file_id", "language"), "file_id")
+    found = symbols.extract(_codes(spark, sf_dir))
     return found.select(F.col("file_id").cast("bigint").alias("p_partkey"), "language", "what", "name", "n_args")
 
 
@@ -357,10 +354,11 @@ _NAMED = {"javascript": "function_declaration", "typescript": "function_declarat
 @query("named_kinds", f"SELECT p_partkey, CASE ({sorted(CODES)})[p_partkey % {len(CODES)} + 1] " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _NAMED.items()) + " END AS kind, 'part_' || p_partkey AS name FROM part")
 def named_kinds(spark, sf_dir):
     """The names of definitions by a rule over node kinds, in each of these languages."""
-    nodes = labels.parse_sources(_codes(spark, sf_dir))
     kinds = {"any": [{"kind": k} for k in sorted(set(_NAMED.values()))]}
-    names = structural.select(nodes, {"all": [{"inside": {**kinds, "field": "name"}}]}).select("file_id", F.col("parent").alias("pre"), F.col("text").alias("name"))
-    found = structural.select(nodes, kinds).select("file_id", "pre", "kind").join(names, ["file_id", "pre"])
+    found = scan.matches(_codes(spark, sf_dir), {"definition": kinds, "name": {"kind": "identifier", "inside": {**kinds, "field": "name"}}})
+    pick = lambda rule, column: F.max(F.when(F.col("rule_id") == rule, F.col(column))).alias(column)
+    node = F.when(F.col("rule_id") == "name", F.col("parent")).otherwise(F.col("pre")).alias("node")
+    found = found.withColumnRenamed("text", "name").groupBy("file_id", node).agg(pick("definition", "kind"), pick("name", "name")).where("name IS NOT NULL")
     return found.select(F.col("file_id").cast("bigint").alias("p_partkey"), "kind", "name")
 
 
@@ -369,7 +367,9 @@ def css_declarations(spark, sf_dir):
     """Properties and values of style sheets."""
     key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
     text = F.concat(F.lit(".a, #b > p { margin: "), size, F.lit("px; /* x: y; */ }\n@media print { p { color: #"), F.lpad(key, 6, "0"), F.lit(" } }\n"))
-    nodes = labels.parse_sources(read(spark, sf_dir, "part").select(key.alias("file_id"), F.lit("css").alias("language"), text.alias("content")))
-    values = structural.select(nodes, {"any": [{"kind": "integer_value"}, {"kind": "color_value"}]}).select("file_id", "parent", F.col("text").alias("value"))
-    names = structural.select(nodes, {"kind": "property_name", "inside": {"kind": "declaration"}}).select("file_id", "parent", F.col("text").alias("property"))
-    return names.join(values, ["file_id", "parent"]).select(F.col("file_id").cast("bigint").alias("p_partkey"), "property", "value")
+    sources = read(spark, sf_dir, "part").select(key.alias("file_id"), F.lit("css").alias("language"), text.alias("content"))
+    found = scan.matches(sources, {"value": {"any": [{"kind": "integer_value"}, {"kind": "color_value"}]}, "property": {"kind": "property_name", "inside": {"kind": "declaration"}}})
+    of = lambda rule: F.collect_list(F.when(F.col("rule_id") == rule, F.col("text"))).alias(rule)
+    found = found.groupBy("file_id", "parent").agg(of("property"), of("value"))  # a declaration has a few of each
+    found = found.select("file_id", F.explode("property").alias("property"), "value").select("file_id", "property", F.explode("value").alias("value"))
+    return found.select(F.col("file_id").cast("bigint").alias("p_partkey"), "property", "value")

@@ -27,6 +27,25 @@ def cut(df: DataFrame, tag: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of the tables behind a plan for which `spread` makes a task, at least.
+TASK_BYTES = 16 << 20
+
+
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt out by columns, file_id by default, to at least two tasks a core and one for TASK_BYTES of what it reads.
+
+    A scan makes a task of a row group at least, so that a table of a few MB
+    would be parsed by one core. Adaptive execution would go by compressed
+    bytes, and node rows are ten times as large when they are sorted: with the
+    number given, it leaves the partitions as they are.
+    """
+    spark = df.sparkSession
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    read = sum(s for s in sizes if s < 1 << 50)  # what isn't a file has no size
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism, read // TASK_BYTES), *by or ["file_id"])
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(path)
