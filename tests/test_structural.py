@@ -1,6 +1,7 @@
 """Rules as plans over the node table give what the interpreter gives over the tree."""
 
 import random
+import re
 
 import pytest
 from hypothesis import example, given, settings
@@ -9,6 +10,7 @@ from hypothesis import strategies as st
 from treeline.model import NODE, Node, Tree
 from treeline.operators import labels, scan, structural
 from treeline.operators.rules import from_dict
+from treeline.plans.catalogue import QUERIES
 
 KINDS = "abc"
 
@@ -171,3 +173,30 @@ def test_scan_nodes_has_a_row_for_each_rule(forest):
     counts = {r.rule_id: r["count"] for r in got.groupBy("rule_id").count().collect()}
     assert counts == {"r1": n(lambda x: x.kind == "a"), "r2": n(lambda x: "x" in x.text)}
     assert {r.message for r in got.where("rule_id = 'r1'").collect()} == {"a a"}
+
+
+def test_labels_of_paths_are_those_of_a_walk(spark):
+    rng, rows, wanted = random.Random(7), [], []
+    for f in range(60):
+        paths = {(0,)} if f % 7 else set()
+        for _ in range(rng.randint(0, 40)):
+            paths.add(tuple(rng.choice([0, 1, 2, -3]) for _ in range(rng.randint(1, 4))))
+        order = sorted(paths)  # a prefix comes first, as null does
+        kids = {}
+        for pre, p in enumerate(order):
+            parent = -1 if len(p) == 1 else order.index(p[:-1]) if p[:-1] in paths else None
+            index = kids[parent] = kids.get(parent, -1) + 1
+            wanted.append((f"f{f}", pre, pre + sum(q[: len(p)] == p for q in order) - 1, parent, len(p) - 1, index, str(p)))
+            rows.append((f"f{f}", *p, *[None] * (4 - len(p)), str(p)))
+    rng.shuffle(rows)
+    table = spark.createDataFrame(rows, "file_id string, a int, b int, c int, d int, name string")
+    assert sorted(map(tuple, labels.label_paths(table, ["a", "b", "c", "d"], ["name"]).collect()), key=str) == sorted(wanted, key=str)
+
+
+def test_joins_and_fields_keep_to_small_tasks(spark, sf):
+    """No partition is put together with others, and a field on the way up takes no join and no window."""
+    for name, joins in (("rule_matches_util", 1), ("has_child", 1), ("rule_not", 1), ("nearest_ancestor_binding", 1), ("inside_field", 0)):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution()
+        text, done = plan.optimizedPlan().toString(), plan.executedPlan().toString()
+        assert (len(re.findall(r"Join \w+", text)), text.count("Window")) == (joins, 0)
+        assert done.count("REPARTITION_BY_NUM") == 2 * joins + (name in ("inside_field", "nearest_ancestor_binding"))

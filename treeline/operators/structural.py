@@ -25,7 +25,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 from pyspark.sql.window import WindowSpec
 
+from treeline.operators.labels import whole_files
 from treeline.operators.rules import ORDER, RuleError, nth_holds, parse_nth
+from treeline.storage import spread
 
 _fresh = itertools.count()
 
@@ -290,7 +292,7 @@ def _sideways(nodes: DataFrame, key: str, hit: str, stop: Any, halt: str | None)
 def _join(nodes: DataFrame, keys: DataFrame, on: list[str]) -> tuple[DataFrame, str]:
     """A column that tells whether a row's `on` is in keys, which has it without repeats."""
     name = f"__m{next(_fresh)}"
-    joined = nodes.join(keys.select(*on, F.lit(True).alias(name)), on, "left")
+    joined = spread(nodes, *on).join(spread(keys.select(*on, F.lit(True).alias(name)), *on), on, "left")
     return joined.withColumn(name, F.coalesce(name, F.lit(False))), name
 
 
@@ -307,24 +309,18 @@ def _inside(nodes: DataFrame, hit: str, stop: Any, halt: str | None, field: str
     if stop == "end" and field is None:
         return _named(nodes, F.max(F.when(F.col(hit), F.col("end_pre"))).over(_before()) >= F.col("pre"))
     # the nearest ancestor that matches, and the nearest one that stops
-    value = F.when(F.col(hit), F.col("pre"))
+    nodes = nodes.withColumn(v := f"__m{next(_fresh)}", F.when(F.col(hit), F.col("pre")).cast("int"))
+    columns, above = [v], lambda x: x.nearest(x[v])
     if field is not None:
         # what counts is that the way up comes through the first child in the field: that child stands for its parent, below and on it
-        parents = nodes.where(F.col(hit)).select("file_id", F.col("pre").alias("parent"))
-        nodes, name = _join(nodes, parents, ["file_id", "parent"])
-        first = F.min(F.when(F.col("field") == field, F.col("child_idx"))).over(Window.partitionBy("file_id", "parent"))
-        nodes = nodes.withColumn(at := f"__m{next(_fresh)}", first)
-        value = F.when(F.col(name) & (F.col("child_idx") == F.col(at)), F.col("parent"))
-    nodes = nodes.withColumn(v := f"__m{next(_fresh)}", value.cast("int"))
+        nodes = nodes.withColumn(f := f"__m{next(_fresh)}", (F.col("field") == field).cast("int"))
+        columns, above = [v, f, "child_idx"], lambda x: x.nearest_or_own(x.through(x[v], x[f]))
     if halt is None:
-        nodes, (up,) = _levels(nodes, [v], lambda x: [x.nearest(x[v])])
-        stop_at = F.lit(-1)
-    else:
-        nodes = nodes.withColumn(h := f"__m{next(_fresh)}", F.when(F.col(halt), F.col("pre")).cast("int"))
-        nodes, (up, end) = _levels(nodes, [v, h], lambda x: [x.nearest(x[v]), x.nearest(x[h])], 2)
-        stop_at = F.coalesce(end, F.lit(-1))
-    best = F.col(up) if field is None else F.coalesce(v, up)
-    return _named(nodes, best >= stop_at)
+        nodes, (best,) = _levels(nodes, columns, lambda x: [above(x)])
+        return _named(nodes, F.col(best) >= -1)
+    nodes = nodes.withColumn(h := f"__m{next(_fresh)}", F.when(F.col(halt), F.col("pre")).cast("int"))
+    nodes, (best, end) = _levels(nodes, [*columns, h], lambda x: [above(x), x.nearest(x[h])], 2)
+    return _named(nodes, F.col(best) >= F.coalesce(end, F.lit(-1)))
 
 
 class _Files:
@@ -337,6 +333,7 @@ class _Files:
         up = np.searchsorted(key, (file << 32) | np.maximum(parent, 0))
         up = np.where((parent >= 0) & (up < len(key)), np.minimum(up, len(key) - 1), -1)
         up = np.where((up >= 0) & (key[up] == ((file << 32) | np.maximum(parent, 0))), up, -1)
+        self.up = up
         order = np.argsort(depth, kind="stable")
         cuts = np.searchsorted(depth[order], np.arange(int(depth.max(initial=0)) + 2))
         self.rows = [order[i:j] for i, j in zip(cuts, cuts[1:])]
@@ -353,6 +350,17 @@ class _Files:
             out[rows] = np.where(value[up] >= 0, value[up], out[up])
         return out
 
+    def nearest_or_own(self, value: np.ndarray) -> np.ndarray:
+        return np.where(value >= 0, value, self.nearest(value))
+
+    def through(self, hit: np.ndarray, fits: np.ndarray) -> np.ndarray:
+        """For the first of the children that fit, what its parent has in hit; -1 for all others."""
+        index, none = self["child_idx"], np.iinfo(np.int64).max
+        first = np.full(len(index), none)
+        kids = np.flatnonzero((fits == 1) & (self.up >= 0))
+        np.minimum.at(first, self.up[kids], index[kids])
+        return np.where((self.up >= 0) & (index == first[self.up]), hit[self.up], -1)
+
     def first_free(self, hit: np.ndarray, halt: np.ndarray) -> np.ndarray:
         """For each row the first descendant that hits, none being looked for below one that halts; -1 is none."""
         none = np.iinfo(np.int64).max
@@ -362,32 +370,16 @@ class _Files:
         return np.where(out == none, -1, out)
 
 
-#: Rows of whole files that are worked on at once, at least.
-_AT_ONCE = 1 << 16
-
-
 def _levels(nodes: DataFrame, columns: list[str], work: Callable[[_Files], list[np.ndarray]], outs: int = 1) -> tuple[DataFrame, list[str]]:
     """nodes with what work makes of columns of whole files, each an int column with null for -1. One shuffle by file; every file is gone through once, a level at a time."""
     names = [f"__m{next(_fresh)}" for _ in range(outs)]
     schema = StructType([*nodes.schema.fields, *(StructField(n, IntegerType()) for n in names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not len(batch):
-                continue
-            held.append(batch)
-            if sum(map(len, held)) >= _AT_ONCE:
-                ids = batch.column("file_id")
-                whole = pc.index(ids, ids[-1]).as_py()  # the last file may go on
-                if whole:
-                    yield from told([*held[:-1], batch.slice(0, whole)])
-                    held = [batch.slice(whole)]
-        if held:
-            yield from told(held)
-
-    def told(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(parts).combine_chunks()
+        for table in whole_files(batches):
+            yield from told(table)
+
+    def told(table: pa.Table) -> Iterator[pa.RecordBatch]:
         ids = table.column("file_id").combine_chunks()
         new = np.ones(len(ids), bool)
         new[1:] = pc.not_equal(ids[1:], ids[:-1]).to_numpy(zero_copy_only=False)
@@ -396,7 +388,7 @@ def _levels(nodes: DataFrame, columns: list[str], work: Callable[[_Files], list[
             table = table.append_column(name, pa.array(out.astype(np.int32), mask=out < 0))
         yield from table.to_batches()
 
-    return nodes.repartition("file_id").sortWithinPartitions("file_id", "pre").mapInArrow(run, schema), names
+    return spread(nodes).sortWithinPartitions("file_id", "pre").mapInArrow(run, schema), names
 
 
 def _has(nodes: DataFrame, hit: str, stop: Any, halt: str | None, field: str | None) -> tuple[DataFrame, str]:
@@ -438,13 +430,13 @@ def _has_field(nodes: DataFrame, hit: str, stop: Any, halt: str | None, field: s
 # --- bindings of relations --------------------------------------------------
 
 
-def nearest_ancestor(nodes: DataFrame, low: dict, up: dict, utils: dict[str, dict] | None = None) -> DataFrame:
-    """(file_id, pre, ancestor_pre): for nodes that match low, the nearest ancestor that matches up."""
+def nearest_ancestor(nodes: DataFrame, low: dict, up: dict, utils: dict[str, dict] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(file_id, pre, ancestor_pre) and the columns keep: for nodes that match low, the nearest ancestor that matches up."""
     marked, d = mark(nodes, low, utils)
     marked, a = mark(marked, up, utils)
     marked = marked.withColumn(v := f"__m{next(_fresh)}", F.when(F.col(a), F.col("pre")).cast("int"))
-    marked, (found,) = _levels(marked.select("file_id", "pre", "parent", "depth", d, v), [v], lambda x: [x.nearest(x[v])])
-    return marked.where(F.col(d) & F.col(found).isNotNull()).select("file_id", "pre", F.col(found).alias("ancestor_pre"))
+    marked, (found,) = _levels(marked.select("file_id", "pre", "parent", "depth", *keep, d, v), [v], lambda x: [x.nearest(x[v])])
+    return marked.where(F.col(d) & F.col(found).isNotNull()).select("file_id", "pre", F.col(found).alias("ancestor_pre"), *keep)
 
 
 def first_descendant(nodes: DataFrame, up: dict, low: dict, utils: dict[str, dict] | None = None) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from treeline.operators import labels, scan, structural
 from treeline.plans.registry import query
 from treeline.sources import trees
+from treeline.storage import spread
 
 KEYS = ["kind", "custkey", "orderkey", "line_no"]
 
@@ -76,9 +77,11 @@ def match_all_none(spark, sf_dir):
 @query("nearest_ancestor_binding", WITH + "SELECT l.ck AS custkey, l.ok AS orderkey, l.ln AS line_no, CASE WHEN o.t = '1-URGENT' THEN 'order' ELSE 'customer' END AS ancestor_kind FROM l" + _UP + " WHERE l.t = 'R' AND (o.t = '1-URGENT' OR c.t = 'BUILDING')")
 def nearest_ancestor_binding(spark, sf_dir):
     nodes = trees.commerce(spark, sf_dir)
-    found = structural.nearest_ancestor(nodes, RETURNED, {"any": [URGENT, {"kind": "customer", "regex": "BUILDING"}]})
-    up = nodes.select("file_id", F.col("pre").alias("ancestor_pre"), F.col("kind").alias("ancestor_kind"))
-    return found.join(nodes.select("file_id", "pre", "custkey", "orderkey", "line_no"), ["file_id", "pre"]).join(up, ["file_id", "ancestor_pre"]).select("custkey", "orderkey", "line_no", "ancestor_kind")
+    above = {"any": [URGENT, {"kind": "customer", "regex": "BUILDING"}]}
+    found = structural.nearest_ancestor(nodes, RETURNED, above, keep=("custkey", "orderkey", "line_no"))
+    up = structural.select(nodes, above).select("file_id", F.col("pre").alias("ancestor_pre"), F.col("kind").alias("ancestor_kind"))
+    key = ["file_id", "ancestor_pre"]
+    return spread(found, *key).join(spread(up, *key), key).select("custkey", "orderkey", "line_no", "ancestor_kind")
 
 
 @query("first_descendant_binding", WITH + "SELECT ck AS custkey, min(ok) AS orderkey, CAST(min_by(ln, ok * 1000 + ln) AS INT) AS line_no FROM l WHERE t = 'R' GROUP BY ck")
