@@ -1,7 +1,9 @@
 import random
+import re
 from collections import deque
 
 import pytest
+from pyspark.sql import functions as F
 
 from treeline.operators import graph, similarity, versions
 
@@ -94,3 +96,25 @@ def test_top_k(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.6, 0.8]), (3, [0.0, 1.0]), (4, [1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id int, embedding array<float>")
     assert [(r.vec_id, r.score) for r in similarity.search(df, [1.0, 0.0], k=3, least=0.5).collect()] == [(1, 1.0), (4, 1.0), (2, 0.6)]
+
+
+def test_calls_are_resolved_without_pairs_of_callers_and_definitions(spark):
+    n = 3000  # pairs would be 9 million
+    calls = spark.range(n).selectExpr("cast(id AS string) AS file_id", "id AS caller_id", "if(id < 0, 'none', 'main') AS name")
+    symbols = spark.range(n).selectExpr("cast(id + 1000 AS string) AS file_id", "id + 1000 AS symbol_id", "if(id < 0, 'none', 'main') AS name")
+    imports = spark.range(n).selectExpr("cast(id AS string) AS file_id", "cast(id + 1500 AS string) AS target_file").where("target_file < '2000'")
+    for given in (None, imports):
+        found = graph.resolve_calls(calls, symbols, given)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert re.search(r"Aggregate \[name#", plan)  # what meets the calls by name alone has a row for each name
+        target = lambda i: i if i >= 1000 else i + 1500 if given is not None and str(i + 1500) < "2000" else 1000
+        assert {(r.source_id, r.target_id) for r in found.collect()} == {(i, target(i)) for i in range(n)}
+
+
+def test_cycles_leave_out_what_only_leads_to_them(spark, monkeypatch):
+    edges = [(i, i // 2 + 1) for i in range(3, 400)] + [(1, 2), (2, 1), (2, 3), (-1, 1), (500, 501), (501, 501), (600, 601)]
+    table = spark.createDataFrame(edges, "source_id int, target_id int").withColumn("edge_type", F.lit("Calls"))
+    sizes, whole = [], graph.reachability
+    monkeypatch.setattr(graph, "reachability", lambda e, depth=None: sizes.append(e.count()) or whole(e, depth))
+    assert {(r.node_id, r.hops) for r in graph.cycles(table).collect()} == {(r.ancestor_id, r.hops) for r in whole(table).where("ancestor_id = descendant_id").collect()}
+    assert sizes == [len(set(edges) & {(1, 2), (2, 1), (2, 3), (3, 2), (501, 501)})]

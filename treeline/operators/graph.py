@@ -110,8 +110,25 @@ def paths_between(edges: DataFrame, starts: DataFrame, targets: DataFrame, max_d
 
 
 def cycles(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """(node_id, hops): nodes on a cycle and the length of the shortest one through them."""
-    return reachability(edges, max_depth).where("ancestor_id = descendant_id").select(F.col("ancestor_id").alias("node_id"), "hops")
+    """(node_id, hops): nodes on a cycle and the length of the shortest one through them.
+
+    Edges that can't be on a cycle go first, or the closure of all that leads to
+    one would be worked out as well.
+    """
+    return reachability(_inner(edges), max_depth).where("ancestor_id = descendant_id").select(F.col("ancestor_id").alias("node_id"), "hops")
+
+
+def _inner(edges: DataFrame) -> DataFrame:
+    """The edges between nodes that have both an edge that comes in and one that goes out, again and again until all have: no more rounds than the longest path has nodes."""
+    left = cut(edges.select("source_id", "target_id").distinct(), "inner")
+    n = left.count()
+    while n:
+        ins, outs = left.select(F.col("target_id").alias("source_id")).distinct(), left.select(F.col("source_id").alias("target_id")).distinct()
+        left = cut(left.join(ins, "source_id", "left_semi").join(outs, "target_id", "left_semi").select("source_id", "target_id"), "inner")
+        before, n = n, left.count()
+        if n == before:
+            break
+    return left
 
 
 def impact(edges: DataFrame, nodes: DataFrame, max_depth: int = 3) -> DataFrame:
@@ -129,15 +146,22 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame | Non
 
     A definition in the caller's file comes first, then one in an imported file
     (imports: file_id, target_file), then any other; of several the least id.
+    Definitions come down to the least of a file and of all before they meet
+    the calls, so that a name that many files define and call makes no pairs of
+    these.
     """
-    c, s = calls.alias("c"), symbols.alias("s")
-    near = F.when(F.col("c.file_id") == F.col("s.file_id"), 0).otherwise(2)
-    pairs = c.join(s, F.col("c.name") == F.col("s.name"))
+    own = symbols.groupBy("file_id", "name").agg(F.min("symbol_id").alias("id"))
+    any_ = own.groupBy("name").agg(F.min("id").alias("any_id"))
+    found = calls.select("file_id", "caller_id", "name").distinct().join(own.withColumnRenamed("id", "own_id"), ["file_id", "name"], "left")
+    seen = [F.struct(F.lit(0).alias("near"), F.col("own_id").alias("id"))]
     if imports is not None:
-        i = imports.select(F.col("file_id").alias("i_file"), F.col("target_file").alias("i_target")).distinct()
-        pairs = pairs.join(i, (F.col("c.file_id") == F.col("i_file")) & (F.col("s.file_id") == F.col("i_target")), "left")
-        near = F.when(F.col("c.file_id") == F.col("s.file_id"), 0).when(F.col("i_file").isNotNull(), 1).otherwise(2)
-    best = pairs.groupBy(F.col("c.caller_id").alias("source_id"), F.col("c.name").alias("name")).agg(F.min(F.struct(near.alias("near"), F.col("s.symbol_id").alias("id"))).alias("m"))
+        i = imports.select("file_id", "target_file").distinct().join(own.withColumnRenamed("file_id", "target_file"), "target_file")
+        found = found.join(i.groupBy("file_id", "name").agg(F.min("id").alias("import_id")), ["file_id", "name"], "left")
+        seen.append(F.struct(F.lit(1).alias("near"), F.col("import_id").alias("id")))
+    seen.append(F.struct(F.lit(2).alias("near"), F.col("any_id").alias("id")))
+    found = found.join(any_, "name")
+    least = F.array_min(F.filter(F.array(*seen), lambda x: x["id"].isNotNull()))
+    best = found.groupBy(F.col("caller_id").alias("source_id"), "name").agg(F.min(least).alias("m"))
     return best.select("source_id", F.col("m.id").alias("target_id"), F.lit("Calls").alias("edge_type"), "name")
 
 
