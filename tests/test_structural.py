@@ -1,5 +1,6 @@
 """Rules as plans over the node table give what the interpreter gives over the tree."""
 
+import pathlib
 import random
 import re
 
@@ -7,6 +8,7 @@ import pytest
 from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
+from treeline import storage
 from treeline.model import NODE, Node, Tree
 from treeline.operators import labels, scan, structural
 from treeline.operators.rules import from_dict
@@ -200,3 +202,13 @@ def test_joins_and_fields_keep_to_small_tasks(spark, sf):
         text, done = plan.optimizedPlan().toString(), plan.executedPlan().toString()
         assert (len(re.findall(r"Join \w+", text)), text.count("Window")) == (joins, 0)
         assert done.count("REPARTITION_BY_NUM") == 2 * joins + (name in ("inside_field", "nearest_ancestor_binding"))
+
+
+def test_tasks_grow_with_the_tables(spark, sf, monkeypatch):
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet")
+    size = sum(f.stat().st_size for f in [pathlib.Path(f"{sf}/lineitem.parquet")])
+    for bytes_ in (size // 100, size // 50):
+        monkeypatch.setattr(storage, "TASK_BYTES", bytes_)
+        assert storage.spread(lines.where("l_tax > 0"), "l_orderkey").rdd.getNumPartitions() == size // bytes_
+    monkeypatch.undo()
+    assert storage.spread(lines, "l_orderkey").rdd.getNumPartitions() == max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from treeline.operators.labels import label_paths, parse_sources
-from treeline.storage import cut, listing, read
+from treeline.storage import cut, listing, read, spread
 
 #: What was built, with the state that its input folder was in.
 _stored: dict[tuple[str, str, str], tuple[tuple, DataFrame]] = {}
@@ -49,7 +49,7 @@ def _commerce(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     customer = read(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "c_mktsegment", "n_name", "r_name")
     orders = read(spark, sf_dir, "orders").join(customer.select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_custkey", "o_orderkey", "o_orderpriority")
-    lines = read(spark, sf_dir, "lineitem").withColumn("line_no", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)))
+    lines = spread(read(spark, sf_dir, "lineitem").select("l_orderkey", *LINE_ORDER), "l_orderkey").withColumn("line_no", F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*LINE_ORDER)))
     lines = lines.select("l_orderkey", "line_no", "l_returnflag").join(orders.select("o_custkey", "o_orderkey"), F.col("l_orderkey") == F.col("o_orderkey"))
 
     none = F.lit(None)

@@ -28,7 +28,7 @@ def cut(df: DataFrame, tag: str = "table") -> DataFrame:
 
 
 #: Bytes of the tables behind a plan for which `spread` makes a task, at least.
-TASK_BYTES = 16 << 20
+TASK_BYTES = 8 << 20
 
 
 def spread(df: DataFrame, *by: str) -> DataFrame:
