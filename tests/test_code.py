@@ -2,7 +2,7 @@
 
 import pytest
 
-from treeline.operators import symbols
+from treeline.operators import labels, symbols
 from treeline.operators.patterns import Env, Matcher, compile_pattern
 from treeline.sources.parsers import parse
 
@@ -56,3 +56,16 @@ def test_symbols_count_arguments_at_the_top_level(spark):
     got = symbols.extract(spark.createDataFrame(rows, "file_id string, language string, content string")).collect()
     assert {(r.file_id, r.what, r.name, r.receiver, r.n_args) for r in got} == {("1", "def", "f", None, 3), ("1", "call", "h", "g", 3), ("1", "call", "f", None, 2), ("2", "def", "f", None, 1), ("2", "call", "b", "a", 2)}
     assert {r.signature for r in got if r.what == "def"} == {"def f(a=(1, 2), b={'x': [3, 4]}, *c)", "fn f<T>(a: Vec<(i32, i32)>) -> i32"}
+
+
+def test_python_symbols_need_no_tree_and_are_those_of_the_tree(monkeypatch):
+    plain = [
+        "import json\nfrom a.b import c\n\ndef f(a, b=1):\n    return g(a, [b, 2])\n", "@d(1)\nasync def \\\n f(a,\n b: 'x:y' = {1: 2}) -> h(1): await p.q(k(1)(2), *z)\n", "class A:\n  def f(self): f'{c(1)} {d[2](e)}'\n",
+        "from . import x\nfrom .a import (b,\n c)\nimport os, sys as s", "(\nf)(1)\na.b.c(1).d(2)[3](4)\n", "\tx", "", "# f()",
+    ]
+    odd = ["def é(): g('é', h())\n", "f($A)", "f(1)\r\ng(2)\r\n", "x = (\nf(1)", "f(" * 150 + ")" * 150, "x = " + "+".join(["f(1)"] * 3000)]
+    for text in plain + odd:
+        assert sorted(symbols._extracted("x", text, "python", "partial"), key=repr) == sorted(symbols._of_tree("x", labels.recovered(text, "python", "partial"), "python"), key=repr)
+    monkeypatch.setattr(symbols, "recovered", None)
+    assert [r[1:3] for r in symbols._extracted("x", plain[0], "python", "partial")] == [("import", "json"), ("import", "a.b"), ("def", "f"), ("call", "g")]
+    assert sum(len(list(symbols._extracted("x", text, "python", "partial"))) for text in plain[:5]) > 20
