@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from hypothesis import example, given, settings
@@ -114,3 +115,15 @@ def test_deep_texts_are_total():
     assert parse("x = " + "[" * 150 + "]" * 150, "python").nodes
     assert parse("(" * 3000 + ")" * 3000, "javascript").nodes
     assert parse("{" * 3000, "json").nodes
+
+
+def test_a_script_ends_where_it_ends_behind_letters_that_grow_in_lower_case():
+    text = "\u0130\u0130\u0130<script>f(1)</SCRIPT><p>x</p>"
+    assert [n.text for n in parse(text, "html").nodes if n.kind in ("raw_text", "text")] == ["\u0130\u0130\u0130", "f(1)", "x"]
+
+
+def test_end_tags_without_a_start_do_not_look_through_all_open_elements():
+    n = 20_000
+    began = time.process_time()
+    tree = parse("<div>" * n + "</span>" * n, "html")
+    assert time.process_time() - began < 20 and sum(x.kind == "erroneous_end_tag" for x in tree.nodes) == n

@@ -28,7 +28,8 @@ def html_links_in_nav(spark, sf_dir):
 
 @query("html_tag_count", "SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, lower(unnest(regexp_extract_all(html, '<([a-zA-Z][a-zA-Z0-9]*)', 1))) AS tag FROM pages) GROUP BY page_id, tag")
 def html_tag_count(spark, sf_dir):
-    found = structural.select(trees.pages(spark, sf_dir), {"kind": "tag_name", "inside": {"kind": "start_tag"}})
+    """A rule over the pages where they are parsed: no table of all their nodes is written or sorted for it."""
+    found = scan.matches(trees.page_sources(spark, sf_dir), {"tag": {"kind": "tag_name", "inside": {"kind": "start_tag"}}})
     return _page_id(found).groupBy("page_id", F.lower("text").alias("tag")).agg(F.count("*").alias("n"))
 
 
