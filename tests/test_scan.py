@@ -90,3 +90,21 @@ def test_a_query_over_code_parses_each_source_once(spark, sf):
     for name in ("named_kinds", "css_declarations", "python_functions", "symbols_languages"):
         plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
         assert plan.count("MapInPandas") + plan.count("MapInArrow") == 1 and " Join " not in plan
+
+
+def test_a_query_over_pages_parses_each_page_once_and_stores_nothing(spark, sf):
+    for name in ("html_tag_count", "html_embedded_calls"):
+        plan = QUERIES[name](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInPandas") + plan.count("MapInArrow") == 1 and " Join " not in plan
+
+
+def test_matches_in_embedded_code_are_those_of_the_tables(spark):
+    pages = ["<p>a</p><script>f(1); g(h(2))</script><style>a { b: c }</style><script LANG=\"ts\">t(3)</script>", "é<script lang='js'>é(1)</script><script src=x></script><script>k(", "", None, "<script>" + "f(1);" * 100 + "</script>"]
+    sources = spark.createDataFrame([(str(i), "html", t) for i, t in enumerate(pages)], "file_id string, language string, content string")
+    ranges = labels.embedded_ranges(labels.parse_sources(sources))
+    for language, calls in (("javascript", 104), ("typescript", 1), ("css", 0)):
+        nodes = labels.parse_embedded(sources, ranges.where(F.col("language") == language))
+        wanted = structural.with_text(structural.select(nodes, {"kind": "call_expression"}), nodes)
+        wanted = wanted.select(*(F.lit("c").alias(c) if c == "rule_id" else F.col(c) for c in [c.split()[0] for c in scan.MATCH.split(", ")])).collect()
+        found = scan.matches(sources, {"c": {"kind": "call_expression"}}, embedded=language).collect()
+        assert len(found) == calls and sorted(map(str, found)) == sorted(map(str, wanted))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -209,6 +210,22 @@ def embedded_ranges(nodes: DataFrame) -> DataFrame:
     return rows.select("file_id", F.coalesce(names, "usual").alias("language"), "start_char", "end_char")
 
 
+_LANG = re.compile("lang\\s*=\\s*[\"']?([^\"']+)", re.I | re.A)
+
+
+def embedded_spots(tree: Tree) -> list[tuple[str, int, int]]:
+    """(language, start, end) of the scripts and styles of one HTML tree: `embedded_ranges` in the task that has it."""
+    out = []
+    for n in tree.nodes:
+        if n.kind not in ("script_element", "style_element"):
+            continue
+        raw = [c for c in n.children if c.kind == "raw_text"]
+        given = [m[1].lower() for tag in n.children if raw and tag.kind == "start_tag" for c in tag.children if c.kind == "attribute" and (m := _LANG.match(c.text))]
+        usual = "javascript" if n.kind == "script_element" else "css"
+        out += [(ALIASES.get(min(given), min(given)) if given else usual, c.start, c.end) for c in raw]
+    return out
+
+
 def parse_embedded(sources: DataFrame, ranges: DataFrame) -> DataFrame:
     """The node table of ranges (file_id, language, start_char, end_char) within sources; offsets are the host's."""
 

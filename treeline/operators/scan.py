@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from treeline.functions.transforms import template_col
 from treeline.model import Node, Tree
 from treeline.operators import structural
-from treeline.operators.labels import recovered, usable
+from treeline.operators.labels import embedded_spots, recovered, usable
 from treeline.operators.patterns import Env
 from treeline.operators.rewrite import edit_of, render
 from treeline.operators.rules import Config, Rule, build
@@ -238,30 +238,43 @@ def scan_sources(sources: DataFrame, rules: list[Config], separate_fix: bool = F
 MATCH = "file_id string, rule_id string, pre int, end_pre int, parent int, field string, kind string, start_char int, end_char int, text string"
 
 
-def matches(sources: DataFrame, specs: dict[str, dict], most_bytes: int = 10 << 20) -> DataFrame:
+def matches(sources: DataFrame, specs: dict[str, dict], most_bytes: int = 10 << 20, embedded: str | None = None) -> DataFrame:
     """The columns MATCH of the nodes of sources (file_id, language, content) that match rules, by their ids.
 
     What `structural.select` finds in the tables of `parse_sources` and, where
     sources has start_char and end_char, of `parse_embedded`; but each source is
     parsed once for all rules, and only matches leave the task. Texts are whole.
+    embedded: HTML sources are searched in their scripts and styles of that
+    language, in the task that parsed them: no source travels once a script.
     """
     inside = {"start_char", "end_char"} <= set(sources.columns)
 
+    def found_in(fid: str, language: str, content: str, a: int | None, b: int | None) -> Iterator[tuple[str, Tree]]:
+        if inside:
+            yield f"{fid}#{a}", parse_ranges(content, [(a, b)], language)[0]
+            return
+        tree = recovered(content, language, "partial")
+        if embedded is None:
+            yield fid, tree
+            return
+        for held, a, b in embedded_spots(tree):
+            if held == embedded:
+                yield f"{fid}#{a}", parse_ranges(content, [(a, b)], held)[0]
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         built: dict[str, list[tuple[str, Rule, set[str] | None]]] = {}
         for frame in frames:
             rows: list[tuple] = []
             spots = zip(frame.start_char, frame.end_char) if inside else itertools.repeat((None, None))
             for fid, language, content, (a, b) in zip(frame.file_id, frame.language, frame.content, spots):
-                if language not in built:
-                    found = [(k, build(spec, language, {})) for k, spec in specs.items()]
-                    built[language] = [(k, r, kinds if (kinds := r.kinds()) is not None and "ERROR" not in kinds else None) for k, r in found]
-                tree = parse_ranges(content, [(a, b)], language)[0] if inside else recovered(content, language, "partial")
-                name = f"{fid}#{a}" if inside else fid
-                for n in tree.nodes:
-                    for rule_id, rule, kinds in built[language]:
-                        if (kinds is None or n.kind in kinds) and (m := rule.match(n, Env())) is not None:
-                            rows.append((name, rule_id, m.pre, m.end_pre, m.parent.pre if m.parent else -1, m.field, m.kind, m.start, m.end, m.text))
+                for name, tree in found_in(fid, language, content, a, b):
+                    if tree.language not in built:
+                        found = [(k, build(spec, tree.language, {})) for k, spec in specs.items()]
+                        built[tree.language] = [(k, r, kinds if (kinds := r.kinds()) is not None and "ERROR" not in kinds else None) for k, r in found]
+                    for n in tree.nodes:
+                        for rule_id, rule, kinds in built[tree.language]:
+                            if (kinds is None or n.kind in kinds) and (m := rule.match(n, Env())) is not None:
+                                rows.append((name, rule_id, m.pre, m.end_pre, m.parent.pre if m.parent else -1, m.field, m.kind, m.start, m.end, m.text))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in MATCH.split(", ")])
 
     good = sources if inside else sources.where(usable(most_bytes))

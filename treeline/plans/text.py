@@ -52,8 +52,7 @@ def html_embedded_lang(spark, sf_dir):
 @query("html_embedded_calls", "SELECT page_id, unnest(regexp_extract_all(html, 'track\\([^)]*\\)')) AS call FROM pages")
 def html_embedded_calls(spark, sf_dir):
     """Calls in the pages' scripts, parsed in place."""
-    ranges = labels.embedded_ranges(trees.pages(spark, sf_dir)).where("language = 'javascript'")
-    found = scan.matches(labels.with_ranges(trees.page_sources(spark, sf_dir), ranges), {"call": {"kind": "call_expression"}})
+    found = scan.matches(trees.page_sources(spark, sf_dir), {"call": {"kind": "call_expression"}}, embedded="javascript")
     return found.select(F.split("file_id", "#")[0].cast("bigint").alias("page_id"), F.col("text").alias("call"))
 
 
