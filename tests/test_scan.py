@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from treeline.operators import labels, rewrite, rules, scan, structural, symbols
 from treeline.operators.rules import load
 from treeline.plans.catalogue import QUERIES
-from treeline.sources.parsers import parse
+from treeline.sources.parsers import parse, parse_css
 
 RULE = "id: call\nlanguage: javascript\nrule: {pattern: f($A)}\n"
 
@@ -108,3 +108,26 @@ def test_matches_in_embedded_code_are_those_of_the_tables(spark):
         wanted = wanted.select(*(F.lit("c").alias(c) if c == "rule_id" else F.col(c) for c in [c.split()[0] for c in scan.MATCH.split(", ")])).collect()
         found = scan.matches(sources, {"c": {"kind": "call_expression"}}, embedded=language).collect()
         assert len(found) == calls and sorted(map(str, found)) == sorted(map(str, wanted))
+
+
+STYLES = [".a, #b > p { margin: 3px; /* x: y; */ }\n@media print { p { color: #000001 } }\n", "a{b:1 2;c:'x;y' #fff/* d:4 */;e:}", "@import 'a' 7; x: 5", "é: 8", "", None, "/* a: 1", "b {c: url(1) 9em !important; :3; d}", "} e: -1; f: 1.5; {g:2"]
+
+
+def test_declarations_are_those_of_the_tree(spark, monkeypatch):
+    kinds = {"integer_value", "color_value", "string_value", "plain_value"}
+    sources = spark.createDataFrame([(str(i), "css", t) for i, t in enumerate(STYLES)] + [("0", "css", STYLES[0]), ("x", "json", "a: 1")], "file_id string, language string, content string")
+    wanted = [(str(i), p.text, v.kind, v.text) for i, t in [*enumerate(STYLES), (0, STYLES[0])] if t for n in parse(t, "css").nodes if n.kind == "declaration" for p in n.children[:1] for v in n.children[1:] if v.kind in kinds]
+    found = scan.declarations(sources, kinds).collect()
+    assert len(wanted) > 12 and sorted(map(tuple, found)) == sorted(wanted)
+    own = [list(scan._declared(t)) for t in STYLES if t]
+    monkeypatch.setitem(scan.PARSERS, "css", lambda source: parse_css(source))  # another parser is asked for its tree
+    assert [sorted(scan._declared(t)) for t in STYLES if t] == [sorted(x) for x in own]
+
+
+def test_css_declarations_sort_nothing_and_keep_repeated_rows(spark, sf, tmp_path):
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    part.limit(3).union(part.limit(3)).write.parquet(str(tmp_path / "part.parquet"))
+    found = QUERIES["css_declarations"](spark, str(tmp_path))
+    assert found.groupBy("p_partkey", "property").count().where("count = 2").count() == 6 and found.count() == 12
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan

@@ -23,7 +23,7 @@ from treeline.operators.labels import embedded_spots, recovered, usable
 from treeline.operators.patterns import Env
 from treeline.operators.rewrite import edit_of, render
 from treeline.operators.rules import Config, Rule, build
-from treeline.sources.parsers import parse, parse_ranges
+from treeline.sources.parsers import PARSERS, css_declarations, parse, parse_css, parse_ranges
 from treeline.storage import spread
 
 MARKER = "lint-ignore"
@@ -281,6 +281,34 @@ def matches(sources: DataFrame, specs: dict[str, dict], most_bytes: int = 10 <<
     return spread(good.select(F.col("file_id").cast("string").alias("file_id"), "language", "content", *(["start_char", "end_char"] if inside else []))).mapInPandas(run, MATCH)
 
 
+def _declared(content: str) -> Iterator[tuple[str, list[tuple[str, str]]]]:
+    """Each declaration's property and its named values (kind, text)."""
+    if PARSERS.get("css") is parse_css:
+        yield from css_declarations(content)
+        return
+    for node in recovered(content, "css", "partial").nodes:
+        if node.kind == "declaration":
+            found = [(c.kind, c.text) for c in node.children if c.named and c.kind != "property_name"]
+            yield from ((c.text, found) for c in node.children if c.kind == "property_name")
+
+
+def declarations(sources: DataFrame, kinds: set[str], most_bytes: int = 10 << 20) -> DataFrame:
+    """(file_id, property, kind, value): the values of some kinds in the declarations of CSS sources (file_id, language, content).
+
+    A declaration's values are put to its property where it is read, so that
+    nothing is sorted or travels by file and node. The parser's own pieces are
+    enough, without a tree; where another parser is in place, its tree is read.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            rows = [(fid, name, kind, value) for fid, content in zip(frame.file_id, frame.content) for name, values in _declared(content) for kind, value in values if kind in kinds]
+            yield pd.DataFrame(rows, columns=["file_id", "property", "kind", "value"])
+
+    good = sources.where(usable(most_bytes) & (F.col("language") == "css"))
+    return spread(good.select(F.col("file_id").cast("string").alias("file_id"), "content")).mapInPandas(run, "file_id string, property string, kind string, value string")
+
+
 def _needle(rule: Config) -> str:
     pattern = getattr(rule.rule, "pattern", None)
     return pattern.fixed_text() if pattern is not None else ""

@@ -368,8 +368,5 @@ def css_declarations(spark, sf_dir):
     key, size = F.col("p_partkey").cast("string"), F.col("p_size").cast("string")
     text = F.concat(F.lit(".a, #b > p { margin: "), size, F.lit("px; /* x: y; */ }\n@media print { p { color: #"), F.lpad(key, 6, "0"), F.lit(" } }\n"))
     sources = read(spark, sf_dir, "part").select(key.alias("file_id"), F.lit("css").alias("language"), text.alias("content"))
-    found = scan.matches(sources, {"value": {"any": [{"kind": "integer_value"}, {"kind": "color_value"}]}, "property": {"kind": "property_name", "inside": {"kind": "declaration"}}})
-    of = lambda rule: F.collect_list(F.when(F.col("rule_id") == rule, F.col("text"))).alias(rule)
-    found = found.groupBy("file_id", "parent").agg(of("property"), of("value"))  # a declaration has a few of each
-    found = found.select("file_id", F.explode("property").alias("property"), "value").select("file_id", "property", F.explode("value").alias("value"))
+    found = scan.declarations(sources, {"integer_value", "color_value"})
     return found.select(F.col("file_id").cast("bigint").alias("p_partkey"), "property", "value")
