@@ -69,3 +69,37 @@ def test_python_symbols_need_no_tree_and_are_those_of_the_tree(monkeypatch):
     monkeypatch.setattr(symbols, "recovered", None)
     assert [r[1:3] for r in symbols._extracted("x", plain[0], "python", "partial")] == [("import", "json"), ("import", "a.b"), ("def", "f"), ("call", "g")]
     assert sum(len(list(symbols._extracted("x", text, "python", "partial"))) for text in plain[:5]) == 18
+
+
+def test_the_last_definition_of_a_name_is_known_where_its_source_is_read(spark, sf):
+    from treeline.plans.catalogue import QUERIES
+
+    texts = [("1", "python", "def f(a): g(1)\nclass A:\n    def f(self, b): pass\n    def h(self): pass\ndef f(): import json\n"), ("2", "rust", "fn f(a: i32) {}\nfn f() { g(1) }\n"), ("3", "python", "def é(): pass\ndef é(a): pass\n"), ("4", "python", None), ("5", "go", "")]
+    sources = spark.createDataFrame(texts, "file_id string, language string, content string")
+    found = symbols.functions(sources)
+    assert sorted((r.file_id, r.name, r.n_args) for r in found.collect()) == [("1", "f", 0), ("1", "h", 1), ("2", "f", 0), ("3", "é", 1)]
+    assert sorted(map(str, found.collect())) == sorted(map(str, symbols.functions(sources, symbols.extract(sources)).collect()))
+    whole = symbols.extract(sources)
+    for what in sorted(symbols.WHATS):
+        assert sorted(map(str, symbols.extract(sources, wanted=frozenset([what])).collect())) == sorted(map(str, whole.where(f"what = '{what}'").collect()))
+    plan = QUERIES["symbols_defs"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Aggregate" not in plan
+
+
+def test_sources_of_one_shape_are_parsed_once(monkeypatch):
+    parsed, parse_spots = [], symbols._parsed_spots
+    monkeypatch.setattr(symbols, "_shapes", {})
+    monkeypatch.setattr(symbols, "_parsed_spots", lambda source: parsed.append(source) or parse_spots(source))
+    alike = [f"import m{i}\n\ndef f_{i}(a, b={i}):  # {'x' * i}\n    return g{i}(a, ['{'y' * i}', 2])('')" for i in range(1, 60)]
+    for text in alike:
+        assert symbols._python_spots(text) == parse_spots(text) and len(parse_spots(text)) == 4
+    assert len(parsed) == 1
+    # names, numbers and strings that the grammar tells from others
+    pairs = [("x = 1.e5", "x = 1.real"), ("f(10)", "f(01)"), ("match(x)", "match (x):\n case y: f(1)"), ("type(x)", "type x = f(1)"), ("r'a'(1)", "q'a'(1)"), ("f'{g(1)}'", "b'{g(1)}'"), ("f(1)", "f(1if x else 2)"), ("x = f(1)", "x = \x01"), ("f('a')", "f('a\n')"), ("'''a'''(1)", "'''b(1)"), ("f(a)", "f(if)"), ("from __future__ import barry_as_FLUFL\nf(1) <> 2", "from __future__ import division\nf(1) <> 2"), ("f('\\'')", "f('\\n')")]
+    for a, b in pairs:
+        for text in (a, b, a):
+            assert symbols._python_spots(text) == parse_spots(text), text
+    monkeypatch.setattr(symbols, "_SHAPED", 20)
+    for i in range(100):
+        symbols._python_spots("f(" + "1," * (i % 9) + ")" + "\n" * (i % 3))
+    assert len(symbols._shapes) <= 20

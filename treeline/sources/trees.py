@@ -174,7 +174,9 @@ def order_versions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
 
 def part_code(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A small Python source for each part: it defines a function and calls that of the part numbered by its size."""
-    text = F.format_string("import json\nfrom parts.part_%s import part_%s\n\n\ndef part_%s(a, b=1):\n    # %s\n    return part_%s(a, [b, 2])\n", "size", "size", "key", "name", "size")
+    key, size, name = (F.coalesce(c, F.lit("null")) for c in ("key", "size", "name"))
+    head, definition, call = F.lit("import json\nfrom parts.part_"), F.lit("\n\n\ndef part_"), F.lit("\n    return part_")
+    text = F.concat(head, size, F.lit(" import part_"), size, definition, key, F.lit("(a, b=1):\n    # "), name, call, size, F.lit("(a, [b, 2])\n"))
     rows = read(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("key"), F.col("p_size").cast("string").alias("size"), F.col("p_name").alias("name"))
     return rows.select(F.col("key").alias("file_id"), F.concat(F.lit("parts/part_"), "key", F.lit(".py")).alias("path"), F.lit("python").alias("language"), text.alias("content"))
 
