@@ -118,3 +118,24 @@ def test_cycles_leave_out_what_only_leads_to_them(spark, monkeypatch):
     monkeypatch.setattr(graph, "reachability", lambda e, depth=None: sizes.append(e.count()) or whole(e, depth))
     assert {(r.node_id, r.hops) for r in graph.cycles(table).collect()} == {(r.ancestor_id, r.hops) for r in whole(table).where("ancestor_id = descendant_id").collect()}
     assert sizes == [len(set(edges) & {(1, 2), (2, 1), (2, 3), (3, 2), (501, 501)})]
+
+
+def test_calls_are_resolved_as_one_by_one_and_without_sorts_of_results(spark):
+    from random import Random
+
+    r = Random(3)
+    defs = [(f"f{r.randrange(8)}", i, f"n{r.randrange(12)}") for i in r.sample(range(100), 25)]
+    calls = [(f"f{r.randrange(8)}", r.randrange(6), f"n{r.randrange(14)}") for _ in range(120)]
+    imports = [(f"f{r.randrange(8)}", f"f{r.randrange(8)}") for _ in range(10)]
+    tables = [spark.createDataFrame(rows, schema) for rows, schema in ((calls, "file_id string, caller_id long, name string"), (defs, "file_id string, symbol_id long, name string"), (imports, "file_id string, target_file string"))]
+    for given in ([], imports):
+        wanted = {}
+        for file, caller, name in calls:
+            for near, files in enumerate(({file}, {t for f, t in given if f == file}, {d[0] for d in defs})):
+                ids = [i for f, i, n in defs if n == name and f in files]
+                if ids:
+                    wanted[caller, name] = min(wanted.get((caller, name), (9, 0)), (near, min(ids)))
+                    break
+        found = graph.resolve_calls(*tables[: 2 + bool(given)])
+        assert len(wanted) > 30 and {(x.source_id, x.name): x.target_id for x in found.collect()} == {k: v[1] for k, v in wanted.items()} and found.count() == len(wanted)
+        assert "SortAggregate" not in found._jdf.queryExecution().executedPlan().toString()

@@ -151,18 +151,16 @@ def resolve_calls(calls: DataFrame, symbols: DataFrame, imports: DataFrame | Non
     these.
     """
     own = symbols.groupBy("file_id", "name").agg(F.min("symbol_id").alias("id"))
-    any_ = own.groupBy("name").agg(F.min("id").alias("any_id"))
+    any_ = symbols.groupBy("name").agg(F.min("symbol_id").alias("any_id"))
     found = calls.select("file_id", "caller_id", "name").distinct().join(own.withColumnRenamed("id", "own_id"), ["file_id", "name"], "left")
-    seen = [F.struct(F.lit(0).alias("near"), F.col("own_id").alias("id"))]
+    seen = ["own_id", "any_id"]
     if imports is not None:
         i = imports.select("file_id", "target_file").distinct().join(own.withColumnRenamed("file_id", "target_file"), "target_file")
         found = found.join(i.groupBy("file_id", "name").agg(F.min("id").alias("import_id")), ["file_id", "name"], "left")
-        seen.append(F.struct(F.lit(1).alias("near"), F.col("import_id").alias("id")))
-    seen.append(F.struct(F.lit(2).alias("near"), F.col("any_id").alias("id")))
+        seen.insert(1, "import_id")
     found = found.join(any_, "name")
-    least = F.array_min(F.filter(F.array(*seen), lambda x: x["id"].isNotNull()))
-    best = found.groupBy(F.col("caller_id").alias("source_id"), "name").agg(F.min(least).alias("m"))
-    return best.select("source_id", F.col("m.id").alias("target_id"), F.lit("Calls").alias("edge_type"), "name")
+    best = F.coalesce(*map(F.min, seen)).alias("target_id")  # of numbers, which a hash keeps without a sort
+    return found.groupBy(F.col("caller_id").alias("source_id"), "name").agg(best).select("source_id", "target_id", F.lit("Calls").alias("edge_type"), "name")
 
 
 def contains_edges(symbols: DataFrame) -> DataFrame:

@@ -78,9 +78,10 @@ _CALLS = "WITH RECURSIVE e AS (SELECT p.p_partkey AS s, q.p_partkey AS t FROM pa
 def _call_edges(spark, sf_dir):
     """Calls between the parts' functions, resolved by name."""
     code = trees.part_code(spark, sf_dir)
-    found = cut(symbols.extract(code), "symbols")
-    calls = symbols.calls(code, found).select("file_id", F.col("file_id").cast("bigint").alias("caller_id"), "name")
-    defs = symbols.functions(code, found).select("file_id", F.col("file_id").cast("bigint").alias("symbol_id"), "name")
+    found = symbols.extract(code, wanted=frozenset(("def", "call")), last=True)
+    found = cut(found.select("file_id", "what", "name", F.col("file_id").cast("bigint").alias("id")), "symbols")
+    calls = found.where("what = 'call'").select("file_id", F.col("id").alias("caller_id"), "name")
+    defs = found.where("what = 'def'").select("file_id", F.col("id").alias("symbol_id"), "name")
     return cut(graph.resolve_calls(calls, defs), "calls")
 
 
